@@ -36,12 +36,17 @@ def without(text: Column, characters: str) -> Column:
     return text
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the folder named by spark.checkpoint.dir, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. Where none is named (a test on one machine), one is made."""
+    context = spark.sparkContext
+    if folder := spark.conf.get("spark.checkpoint.dir", ""):
+        return folder
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
 
-    Where no folder is named (a test on one machine), one is made.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+def durable(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
