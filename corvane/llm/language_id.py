@@ -204,7 +204,7 @@ class Labeler:
         if len(self.number) > CACHE_WORDS:
             self.number, self.table = {}, self.table[:0]
         number = self.number
-        unseen = list(set().union(*texts) - number.keys())
+        unseen = [w for w in set().union(*texts) if w not in number]
         if unseen:
             number.update(zip(unseen, range(len(number), len(number) + len(unseen)), strict=True))
             self.table = np.concatenate([self.table, emissions(self.model, unseen)])

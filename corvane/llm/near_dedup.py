@@ -45,8 +45,9 @@ class Shingler:
         known = self.known
         if len(known) > self.keep:
             known.clear()
-        for w in set(found) - known.keys():
-            known[w] = self.hash(w)
+        for w in set(found):
+            if w not in known:  # a difference of sets would walk through all that is known
+                known[w] = self.hash(w)
         return np.fromiter(map(known.__getitem__, found), _U, len(found))
 
     def shingles(self, text: str | None) -> np.ndarray:

@@ -43,7 +43,7 @@ class ChunkedTokenizer:
         cache, tail = self.cache, np.array([last], dtype="<u4").tobytes()
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
-        need = list({c for chunks in cut if chunks for c in chunks} - cache.keys())
+        need = [c for c in {c for chunks in cut if chunks for c in chunks} if c not in cache]
         own = dict(zip(need, self._encode(need), strict=True))
         out = []
         for text, chunks in zip(texts, cut, strict=True):
