@@ -37,7 +37,9 @@ class Shingler:
     def __init__(self, size: int, keep: int = 300_000):
         import xxhash
 
-        self.size, self.keep, self.hash, self.known = size, keep, xxhash.xxh64_intdigest, {}
+        self.size, self.keep, self.hash = size, keep, xxhash.xxh64_digest
+        self.known: dict[bytes, int] = {}
+        self.hashes = np.zeros(0, _U)
 
     def words(self, text: str) -> np.ndarray:
         # UTF-8 has bytes of ASCII for its characters only, and split() of bytes knows exactly the six white spaces
@@ -45,10 +47,13 @@ class Shingler:
         known = self.known
         if len(known) > self.keep:
             known.clear()
-        for w in set(found):
-            if w not in known:  # a difference of sets would walk through all that is known
-                known[w] = self.hash(w)
-        return np.fromiter(map(known.__getitem__, found), _U, len(found))
+        if unseen := [w for w in set(found) if w not in known]:  # a difference of sets would walk through all that is known
+            n = len(known)
+            if n + len(unseen) > len(self.hashes):
+                self.hashes = np.concatenate([self.hashes[:n], np.zeros(n + len(unseen) + 10_000, _U)])
+            self.hashes[n : n + len(unseen)] = np.frombuffer(b"".join(map(self.hash, unseen)), ">u8")
+            known.update(zip(unseen, range(n, n + len(unseen)), strict=True))
+        return self.hashes[np.fromiter(map(known.__getitem__, found), np.int64, len(found))]
 
     def shingles(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes; of a text with fewer words than a shingle, that of the whole sequence."""
@@ -58,8 +63,11 @@ class Shingler:
         k = min(self.size, len(h))
         out = np.full(len(h) - k + 1, k, _U)
         for i in range(k):
-            out = _mixed(out * _U(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-        return np.unique(out)
+            out *= _U(0x9E3779B97F4A7C15)
+            out += h[i : len(h) - k + 1 + i]
+        out = _mixed(out)
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def minwise(sets: np.ndarray) -> np.ndarray:
