@@ -34,6 +34,7 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, bool, int]] = []  # name, aside, region
         self.regions: list[tuple[str, int]] = [("html", 0)]  # name, parent
         self.texts: list[str] = []
+        self.skipped = False
         self.tags = 0
         self.lines: list[tuple[str, int, bool, int]] = []
 
@@ -41,11 +42,11 @@ class Lines(HTMLParser):
         return self.stack[-1][1:] if self.stack else (False, 0)
 
     def _end_line(self) -> None:
-        if self.texts:
-            if text := " ".join("".join(self.texts).split()):
-                self.lines.append((text, self.tags, *self._top()))
-                self.tags = 0
-            self.texts.clear()
+        text = " ".join("".join(self.texts).split())
+        if text or self.skipped:  # a line of which all is aside has no text
+            self.lines.append((text, self.tags, not text, self._top()[1]))
+            self.tags, self.skipped = 0, False
+        self.texts.clear()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -94,7 +95,10 @@ class Lines(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        self.texts.append(data)
+        if not self._top()[0]:
+            self.texts.append(data)
+        elif data.strip():
+            self.skipped = True
 
     def close(self) -> None:
         super().close()
