@@ -36,6 +36,17 @@ def without(text: Column, characters: str) -> Column:
     return text
 
 
+def join_summed(rows: DataFrame, summed: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with summed, an aggregate by the same keys (longs), so that Spark can split a key with very many rows.
+
+    Joined by the keys themselves, the aggregate would stay as it lies and all rows of a key would go to its
+    task. By another form of the keys both sides are shuffled, the smaller one once more, and adaptive
+    execution deals the rows of a hot key to several tasks.
+    """
+    other = {f"_k{i}": F.bitwise_not(k) for i, k in enumerate(keys)}
+    return rows.withColumns(other).join(summed.withColumns(other).drop(*keys), list(other)).drop(*other)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share. Where none is named (a test on one machine), one is made."""
     context = spark.sparkContext

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACES, ascii_lower, let
+from corvane.llm.common import SPACES, ascii_lower, join_summed, let
 
 
 def line_key(line: Column) -> Column:
@@ -50,7 +50,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
         .select("_id", "_version", "_at", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
     )
     lost = (
-        lines.join(_shared(lines, min_docs), ["_h1", "_h2"])
+        join_summed(lines, _shared(lines, min_docs), ["_h1", "_h2"])
         .where(F.col("_id") != F.col("_first"))
         .groupBy("_id", "_version")
         .agg(F.sort_array(F.collect_set("_at")).alias("_lost"))
