@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LOWER, UPPER, durable
+from corvane.llm.common import LOWER, UPPER, durable, join_summed
 
 #: Minwise tokens of a document. Trees begin with the first ones; deeper nodes choose among all.
 TOKENS = 32
@@ -182,7 +182,7 @@ def _nodes(rows: DataFrame) -> DataFrame:
     """Rows in nodes of several documents, with the node's least document as pivot and its figures."""
     stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc", "n", "sketch")).alias("_pivot"))
     many = stats.where(F.col("size") > 1).select("node", "size", *(F.col(f"_pivot.{k}").alias(f"p_{k}") for k in ("doc", "n", "sketch")))
-    return rows.join(many, "node")
+    return join_summed(rows, many, ["node"])
 
 
 def links(sets: DataFrame, docs: DataFrame, shingle_words: int, percent: int, trees: int, small: int, depth: int, id_col: str, text_col: str) -> DataFrame:
@@ -206,7 +206,7 @@ def links(sets: DataFrame, docs: DataFrame, shingle_words: int, percent: int, tr
         stats = parts.groupBy("node").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("_squares"), F.count(F.lit(1)).alias("_parts")).where(F.col("_parts") > 1)
         crossing = (F.col("size") * F.col("size") - F.col("_squares")) / 2
         sized = stats.select("node", (crossing > small * F.col("size")).alias("large") if d < depth else F.lit(False).alias("large"))
-        open_nodes = durable(named.join(sized, "node"))
+        open_nodes = durable(join_summed(named, sized, ["node"]))
         x = open_nodes.where(~F.col("large")).select("node", *(F.col(k).alias(f"x_{k}") for k in ("doc", "n", "sketch", "component")))
         y = x.select(F.col("node").alias("y_node"), *(F.col(f"x_{k}").alias(f"y_{k}") for k in ("doc", "n", "sketch", "component")))
         meet = x.join(y, (F.col("node") == F.col("y_node")) & (F.col("x_doc") < F.col("y_doc")) & (F.col("x_component") != F.col("y_component")) & alike("x_", "y_", percent))
