@@ -148,14 +148,17 @@ def alike(a: str, b: str, percent: int, least_equal: int = 16) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (TOKENS - F.bit_count(places) >= least_equal)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Those of the pairs (a, b) that are linked on their full sets; only texts of pairs are shingled again."""
+def compared(pairs: DataFrame, docs: DataFrame, shingle_words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar by percent, with common and total, the sizes of intersection and union.
+
+    Only texts of pairs are shingled again.
+    """
     named = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(named, "_id", "left_semi")
     sets = shingle_sets(texts, shingle_words, "_id", "_text")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", (F.size("x") + F.size("y")).alias("_sizes"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return met.select("a", "b", "common", (F.col("_sizes") - F.col("common")).alias("total")).where(100 * F.col("common") >= percent * F.col("total"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -179,27 +182,46 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
-    """Rows in nodes of several documents, with the node's least document as pivot and its figures."""
-    stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc", "n", "sketch")).alias("_pivot"))
-    many = stats.where(F.col("size") > 1).select("node", "size", *(F.col(f"_pivot.{k}").alias(f"p_{k}") for k in ("doc", "n", "sketch")))
+    """Rows in nodes of several documents, with the node's first document by order as pivot."""
+    stats = rows.groupBy("node").agg(F.count(F.lit(1)).alias("_size"), F.min(F.struct("order", "doc", "n", "sketch")).alias("_pivot"))
+    many = stats.where(F.col("_size") > 1).select("node", *(F.col(f"_pivot.{k}").alias(f"p_{k}") for k in ("doc", "n", "sketch")))
     return join_summed(rows, many, ["node"])
 
 
+def _unexplained(first: DataFrame, scored: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of nodes that still may hold links between components: without documents linked to their node's pivot.
+
+    By the triangle inequality of Jaccard distance, what is linked to such a document is at least near the
+    pivot; so they stay only in nodes where a document of another component is near the pivot.
+    """
+    part = lambda k: known.select(F.col("doc_id").alias(k), F.col("component").alias(f"_c_{k}"))
+    judged = first.join(part("doc"), "doc", "left").join(part("p_doc"), "p_doc", "left").join(scored.select(F.col("a").alias("p_doc"), F.col("b").alias("doc"), "linked"), ["p_doc", "doc"], "left")
+    other = F.coalesce("_c_doc", "doc") != F.coalesce("_c_p_doc", "p_doc")
+    near = F.col("linked").isNotNull() & ~F.col("linked") & other
+    flagged = judged.select("node", "doc", "n", "sketch", ((F.col("doc") == F.col("p_doc")) | F.coalesce("linked", F.lit(False))).alias("_own"), near.alias("_near"))
+    nodes = flagged.groupBy("node").agg(F.max("_near").alias("_any"), F.count_if(~F.col("_own")).alias("_rest"))
+    kept = join_summed(flagged, nodes.where((F.col("_rest") > 1) | F.col("_any")), ["node"])
+    return kept.where(F.col("_any") | ~F.col("_own")).select("node", "doc", "n", "sketch")
+
+
 def links(sets: DataFrame, docs: DataFrame, shingle_words: int, percent: int, trees: int, small: int, depth: int, id_col: str, text_col: str) -> DataFrame:
     """Components of documents of different sets: doc_id (of those that are linked) and component.
 
     sets has a row per different set: doc, n, sketch, tokens. In the first nodes of all trees each document is
-    first held against the node's pivot only, which joins most of a group of near copies without pairing it up.
-    Then nodes whose documents are not all in one component yet compare those of different components, if
-    these pairs are at most `small` times the node's documents, or else branch; at the last depth whatever is
-    left is compared. So no link between components is lost, and none inside one is looked for again.
+    first held against the node's pivot only (one of three orders, by tree), which joins most of a group of
+    near copies without pairing it up. Then nodes with unexplained documents of several components compare
+    those of different components, if these pairs are at most `small` times the node's documents, or else
+    branch; at the last depth whatever is left is compared. So no link between components is lost, and none
+    inside one is looked for again.
     """
-    rows = sets.select("doc", "n", "sketch", F.posexplode(F.slice("tokens", 1, trees)).alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "doc", "n", "sketch")
-    first = durable(_nodes(rows).drop("size"))
-    stars = first.where((F.col("doc") != F.col("p_doc")) & alike("", "p_", percent)).select(F.col("p_doc").alias("a"), F.col("doc").alias("b")).distinct()
-    edges = durable(confirmed(durable(stars), docs, shingle_words, percent, id_col, text_col))
+    roots = sets.select("doc", "n", "sketch", F.posexplode(F.slice("tokens", 1, trees)).alias("tree", "token"))
+    rows = roots.select(F.xxhash64("tree", "token").alias("node"), "doc", "n", "sketch", F.xxhash64(F.col("tree") % 3, "doc").alias("order"))
+    first = durable(_nodes(rows).drop("order"))
+    stars = durable(first.where((F.col("doc") != F.col("p_doc")) & alike("", "p_", 2 * percent - 100)).select(F.col("p_doc").alias("a"), F.col("doc").alias("b")).distinct())
+    scored = durable(compared(stars, docs, shingle_words, 2 * percent - 100, id_col, text_col).select("a", "b", (100 * F.col("common") >= percent * F.col("total")).alias("linked")))
+    edges = scored.where("linked").select("a", "b")
     known = components(edges)
-    level, pairs = first.select("node", "doc", "n", "sketch"), []
+    level, pairs = durable(_unexplained(first, scored, known)), []
     for d in range(depth + 1):
         named = level.join(known.withColumnRenamed("doc_id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         parts = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"))
@@ -216,10 +238,10 @@ def links(sets: DataFrame, docs: DataFrame, shingle_words: int, percent: int, tr
             break
         chosen = F.array(*(F.pmod(F.xxhash64("node", F.lit(i)), F.lit(TOKENS // 2)) + i * (TOKENS // 2) for i in range(2)))
         branched = large.select("node", "doc").join(sets, "doc").select("node", "doc", "n", "sketch", "tokens", F.explode(chosen).alias("at"))
-        children = branched.select(F.xxhash64("node", "at", F.get("tokens", F.col("at").cast("int"))).alias("node"), "doc", "n", "sketch")
+        children = branched.select(F.xxhash64("node", "at", F.get("tokens", F.col("at").cast("int"))).alias("node"), "doc", "n", "sketch", F.col("doc").alias("order"))
         level = durable(_nodes(children).select("node", "doc", "n", "sketch"))
     rest = durable(reduce(DataFrame.union, pairs).distinct())
-    more = confirmed(rest, docs, shingle_words, percent, id_col, text_col)
+    more = compared(rest, docs, shingle_words, percent, id_col, text_col).select("a", "b")
     return components(edges.union(more))
 
 
