@@ -22,8 +22,9 @@ CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
 class ChunkedTokenizer:
     """Ids of whole texts by a byte-level tokenizer file, made chunk by chunk and kept for chunks that come again.
 
-    A single space between two other non-space characters always begins a new token of such a tokenizer, so
-    the text may be cut before it. Texts that hold the string of a special token go to the library whole.
+    A single space between two non-space characters always begins a new token of such a tokenizer, a single
+    line end between two is one, and so does a mark after a letter; the text may be cut there. Texts that hold
+    the string of a special token go to the library whole.
     """
 
     def __init__(self, file: str):
@@ -31,25 +32,43 @@ class ChunkedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cut = re.compile(r"(?<=\S)(?= \S)").split
-        self.cache: dict[str, bytes] = {}
+        self.cut = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)|(?<=[a-z])(?=[.,;:!?#&%$*])").split
+        self.uneven = re.compile(r"[^\S \n]|^ | $|  | \n|\n ").search  # white space beyond single spaces and line ends
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # with the space before them
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, cut into parts."""
+        cut, known = [self.cut(t) if t else [] for t in texts], self.parts
+        if len(known) > CACHE_ENTRIES:
+            known.clear()
+        need = [p for p in set().union(*cut) if p not in known]
+        new = dict(zip(need, self._encode(need), strict=True))
+        out = [b"".join([known[p] if p in known else new[p] for p in parts]) for parts in cut]
+        known.update((p, v) for p, v in new.items() if len(p) <= CACHE_CHARS)
+        return out
+
     def encode(self, texts: list[str], last: int) -> list[np.ndarray]:
         """Each text's ids and then the id last."""
-        cut = [None if any(s in t for s in self.special) else self.cut(t) for t in texts]
-        cache, tail = self.cache, np.array([last], dtype="<u4").tobytes()
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-        need = [c for c in {c for chunks in cut if chunks for c in chunks} if c not in cache]
-        own = dict(zip(need, self._encode(need), strict=True))
+        words, tail = self.words, np.array([last], dtype="<u4").tobytes()
+        if len(words) > CACHE_ENTRIES:
+            words.clear()
+        special = [any(s in t for s in self.special) for t in texts]
+        split = [None if s or self.uneven(t) else t.split(" ") for s, t in zip(special, texts, strict=True)]
+        need = [w for w in set().union(*(x[1:] for x in split if x)) if w not in words]
+        new = dict(zip(need, self._joined([" " + w for w in need]), strict=True))
+        # what is not in words: first words of texts, and texts of uneven white space as a whole
+        firsts = iter(self._joined([x[0] if x else t for x, t, s in zip(split, texts, special, strict=True) if not s]))
         out = []
-        for text, chunks in zip(texts, cut, strict=True):
-            ids = self._encode([text])[0] if chunks is None else b"".join([cache.get(c) or own.get(c, b"") for c in chunks])
+        for text, x, s in zip(texts, split, special, strict=True):
+            ids = self._encode([text])[0] if s else next(firsts)
+            if x:
+                ids += b"".join([words[w] if w in words else new[w] for w in x[1:]])
             out.append(np.frombuffer(ids + tail, dtype="<u4"))
-        cache.update((c, v) for c, v in own.items() if len(c) <= CACHE_CHARS)
+        words.update((w, v) for w, v in new.items() if len(w) <= CACHE_CHARS)
         return out
 
 
