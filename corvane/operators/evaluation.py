@@ -155,10 +155,10 @@ def greedy_instances(pairs: DataFrame, least_iou: float = 0.1) -> DataFrame:
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
         for (_, det), rows in pdf.assign(_s=-pdf.score).groupby(["_s", "det"], sort=True):
-            free = rows[(rows.iou >= least_iou) & ~rows.gt.isin(used)].sort_values(["iou", "gt"], ascending=[False, True])
+            free = rows[(rows.iou >= least_iou) & ~rows["gt"].isin(used)].sort_values(["iou", "gt"], ascending=[False, True])
             if len(free):
-                used.add(free.gt.iloc[0])
-                out.append((pdf.image_id.iloc[0], pdf.category_id.iloc[0], det, free.gt.iloc[0], free.iou.iloc[0]))
+                used.add(free["gt"].iloc[0])
+                out.append((pdf.image_id.iloc[0], pdf.category_id.iloc[0], det, free["gt"].iloc[0], free.iou.iloc[0]))
         return pd.DataFrame(out, columns=["image_id", "category_id", "det", "gt", "iou"])
 
     return pairs.groupBy("image_id", "category_id").applyInPandas(match, "image_id long, category_id long, det string, gt string, iou double")
