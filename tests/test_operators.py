@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,7 +122,7 @@ def test_sql_parity(spark, name):
 
 def norm_rows(df, key):
     def one(x):
-        if x is None or x != x:
+        if pd.isna(x):
             return "null"
         if isinstance(x, str):
             return x
