@@ -237,7 +237,7 @@ def links(sets: DataFrame, docs: DataFrame, shingle_words: int, percent: int, tr
         place = lambda i: F.pmod(F.xxhash64("node", F.lit(i)), F.lit(TOKENS)).cast("int")
         keys = F.array(*(F.xxhash64("node", F.lit(i), *(F.get("tokens", place(i * TOGETHER + k)) for k in range(TOGETHER))) for i in range(BRANCHES)))
         children = large.select("node", "doc").join(sets, "doc").select(F.explode(keys).alias("node"), *FIGURES)
-        level = durable(_nodes(children).select("node", *FIGURES))
+        level = durable(children)
     rest = durable(reduce(DataFrame.union, pairs).distinct())
     more = confirmed(rest, docs, shingle_words, percent, id_col, text_col)
     return components(edges.union(more))
