@@ -253,7 +253,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     A pair at 80 percent is in a root of a tree with 0.8, and in one of three branches that agree on three tokens
     with 0.88; down any number of branchings it stays together with 0.78. So ten trees miss it once in ten
-    million times where roots are small, and five times in 100,000 at most where nodes branch on and on. `small`
+    million times where roots are small, and about five times in 100,000 where nodes branch on and on, with tokens
+    taken as independent; trees share 32 of them, so a pair that few of them favour is lost more often. `small`
     is the number of comparisons that cost about as much as branching a document.
 
     Nulls and ties: rows without id are linked with nothing, have a null component and are kept. Rows of one
