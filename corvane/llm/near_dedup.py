@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import LOWER, UPPER, durable, join_summed
 
-#: Minwise tokens of a document. Trees begin with the first ones; deeper nodes choose among all.
+#: Minwise tokens of a document in its sketch. Trees begin with the first ones.
 TOKENS = 32
+#: Further minwise tokens, of a byte each, among which nodes that branch choose.
+DEEP = 512
 #: Longs that hold the parities of a set, 64 each.
 PARITIES = 4
 #: Branches of a large node, and the tokens that the documents of a branch agree on.
@@ -30,6 +32,7 @@ FIGURES = ("doc", "n", "sketch", *(f"q{i}" for i in range(PARITIES)))
 _LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _U = np.uint64
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 63, TOKENS, dtype=np.uint64) | _U(1)
+_DEEP_SEEDS = np.random.default_rng(21).integers(1, 1 << 32, DEEP, dtype=np.uint32) | np.uint32(1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -86,6 +89,16 @@ def minwise(sets: np.ndarray) -> np.ndarray:
     return _mixed(out * _SEEDS)
 
 
+def deep_tokens(sets: np.ndarray) -> bytes:
+    """For each of DEEP orders, other than those of minwise(), a byte of the set's first token."""
+    out, x = np.empty(DEEP, np.uint32), sets.astype(np.uint32)
+    step = max(1, 65536 // len(x))
+    for at in range(0, DEEP, step):
+        out[at : at + step] = (x[None, :] * _DEEP_SEEDS[at : at + step, None]).min(axis=1)
+    out ^= out >> np.uint32(15)
+    return ((out * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
 def sketch(tokens: np.ndarray) -> np.uint64:
     """Two bits of each token."""
     return np.bitwise_or.reduce((tokens & _U(3)) << (_U(2) * np.arange(TOKENS, dtype=_U)))
@@ -106,16 +119,16 @@ def _shingler(size: int) -> Shingler:
     return _shinglers[size]
 
 
-def signatures(docs: DataFrame, shingle_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (shingles), s1 and s2 (128 bits that tell sets apart), sketch, parities and tokens of each row."""
-    kinds = {**dict.fromkeys(("doc_id", "n", "s1", "s2", *FIGURES[2:]), "long"), "tokens": "array<long>"}
+def signatures(docs: DataFrame, shingle_words: int, trees: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n (shingles), s1 and s2 (128 bits that tell sets apart), sketch, parities, tokens and deep tokens of each row."""
+    kinds = {**dict.fromkeys(("doc_id", "n", "s1", "s2", *FIGURES[2:]), "long"), "tokens": "array<long>", "deep": "binary"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = _shingler(shingle_words).shingles
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                n, s1, s2, sk, odd, tokens = [], [], [], [], [], []
+                n, s1, s2, sk, odd, tokens, deep = [], [], [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     x = shingles(text)
                     n.append(len(x))
@@ -123,14 +136,15 @@ def signatures(docs: DataFrame, shingle_words: int, id_col: str = "doc_id", text
                     s1.append(np.add.reduce(x * _SEEDS[0], dtype=_U))
                     s2.append(np.add.reduce(weighed, dtype=_U))
                     t = minwise(x) if len(x) else np.zeros(TOKENS, _U)
-                    tokens.append(t)
+                    tokens.append(t[:trees])
+                    deep.append(deep_tokens(x) if len(x) else b"")
                     sk.append(sketch(t))
                     odd.append(parities(x))
                 long = lambda v: pa.array(np.array(v, _U).view(np.int64))
                 flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, TOKENS), pa.int32()), pa.array(flat))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, trees), pa.int32()), pa.array(flat))
                 odds = np.array(odd, _U).reshape(-1, PARITIES).T
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), long(s1), long(s2), long(sk), *map(long, odds), lists], list(kinds))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), long(s1), long(s2), long(sk), *map(long, odds), lists, pa.array(deep, pa.binary())], list(kinds))
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return picked.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in kinds.items()))
@@ -205,10 +219,16 @@ def _nodes(rows: DataFrame) -> DataFrame:
     return join_summed(rows, many, ["node"])
 
 
+def branches(node: str, deep: str) -> Column:
+    """The nodes to which a document of a large node goes; the node chooses the tokens that each looks at."""
+    token = lambda i: F.substring(deep, F.pmod(F.xxhash64(node, F.lit(i)), F.lit(DEEP)).cast("int") + 1, F.lit(1))
+    return F.array(*(F.xxhash64(node, F.lit(i), *(token(i * TOGETHER + k) for k in range(TOGETHER))) for i in range(BRANCHES)))
+
+
 def links(sets: DataFrame, docs: DataFrame, shingle_words: int, percent: int, trees: int, small: int, depth: int, id_col: str, text_col: str) -> DataFrame:
     """Components of documents of different sets: doc_id (of those that are linked) and component.
 
-    sets has a row per different set: FIGURES and tokens. In the first nodes of all trees each document is
+    sets has a row per different set: FIGURES, tokens and deep tokens. In the first nodes of all trees each document is
     first held against the node's pivot only, which joins most of a group of near copies without pairing it up.
     Then nodes whose documents are not all in one component yet compare those of different components, if
     these pairs are at most `small` times the node's documents, or else branch; at the last depth whatever is
@@ -234,9 +254,7 @@ def links(sets: DataFrame, docs: DataFrame, shingle_words: int, percent: int, tr
         large = open_nodes.where("large")
         if d == depth or large.isEmpty():
             break
-        place = lambda i: F.pmod(F.xxhash64("node", F.lit(i)), F.lit(TOKENS)).cast("int")
-        keys = F.array(*(F.xxhash64("node", F.lit(i), *(F.get("tokens", place(i * TOGETHER + k)) for k in range(TOGETHER))) for i in range(BRANCHES)))
-        children = large.select("node", "doc").join(sets, "doc").select(F.explode(keys).alias("node"), *FIGURES)
+        children = large.select("node", "doc").join(sets, "doc").select(F.explode(branches("node", "deep")).alias("node"), *FIGURES)
         level = durable(children)
     rest = durable(reduce(DataFrame.union, pairs).distinct())
     more = confirmed(rest, docs, shingle_words, percent, id_col, text_col)
@@ -252,10 +270,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     smallest id that links reach, kept whether it is the row's own.
 
     A pair at 80 percent is in a root of a tree with 0.8, and in one of three branches that agree on three tokens
-    with 0.88; down any number of branchings it stays together with 0.78. So ten trees miss it once in ten
-    million times where roots are small, and about five times in 100,000 where nodes branch on and on, with tokens
-    taken as independent; trees share 32 of them, so a pair that few of them favour is lost more often. `small`
-    is the number of comparisons that cost about as much as branching a document.
+    with 0.88. Roots have a token of their own each; nodes that branch choose among DEEP others, which all share,
+    so a pair that few of these favour is lost more often. The binomial sum over how many do: ten trees miss a
+    pair at 80 percent once in ten million times where roots are small, and 0.6, 2.5, 5.0 and 10.9 times in
+    100,000 where all its nodes branch once, twice, three and six times (0.5, 1.6, 2.7 and 4.4 if no token were
+    shared). `small` is the number of comparisons that cost about as much as branching a document.
 
     Nulls and ties: rows without id are linked with nothing, have a null component and are kept. Rows of one
     id are one document, linked by whatever any of them is like. Null and empty texts have no words. An empty
@@ -265,11 +284,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     hundred bytes a document are written to the shared folder; texts are read twice, and only sets of candidate
     pairs are shuffled.
     """
-    rows = durable(signatures(docs, shingle_words, id_col, text_col))
+    rows = durable(signatures(docs, shingle_words, trees, id_col, text_col))
     full = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    sets = full.groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").alias("doc"), *FIGURES[1:], "tokens")).alias("r")).select("s1", "s2", "r.*")
+    sets = full.groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").alias("doc"), *FIGURES[1:], "tokens", "deep")).alias("r")).select("s1", "s2", "r.*")
     sets = durable(sets)
-    linked = links(sets.select(*FIGURES, "tokens"), docs, shingle_words, percent, trees, small, depth, id_col, text_col)
+    linked = links(sets.select(*FIGURES, "tokens", "deep"), docs, shingle_words, percent, trees, small, depth, id_col, text_col)
     leaders = sets.select("s1", "s2", F.col("doc").alias("_doc")).join(linked.select(F.col("doc_id").alias("_doc"), "component"), "_doc", "left").select("s1", "s2", F.coalesce("component", "_doc").alias("_c"))
     own = F.when(F.col("n") > 0, F.coalesce("_c", "doc_id")).otherwise(F.col("doc_id"))
     out = rows.select("doc_id", "n", "s1", "s2").join(leaders, ["s1", "s2"], "left").withColumn("component_id", own)

@@ -242,6 +242,23 @@ def test_near_dedup(spark, small):
     assert got == components_by_hand(rows, 4)
 
 
+def test_near_dedup_keeps_pairs_together_where_nodes_branch(spark):
+    """Pairs at 80 to 82 percent whose nodes all branch: the part that shares no node in any tree."""
+    n = 10_000
+    a, b, c = (F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i, s=s: F.concat(F.lit(s), F.col("id"), F.lit("x"), i)) for s in "abc")
+    common, own = 80 + F.col("id") % 3, 10 - F.ceil(F.col("id") % 3 / 2).cast("int")  # 80/100, 81/99, 82/100
+    text = lambda own_words: F.concat_ws(" ", F.slice(a, F.lit(1), common.cast("int")), F.slice(own_words, F.lit(1), own))
+    x, y = (near_dedup.signatures(spark.range(n).select("id", text(w).alias("text")), 1, id_col="id").select("doc_id", "tokens", "deep").localCheckpoint() for w in (b, c))
+    tokens = lambda side: side.select("doc_id", F.posexplode("tokens").alias("tree", "token"))
+    level = tokens(x).join(tokens(y), ["doc_id", "tree", "token"]).select("doc_id", F.xxhash64("tree", "token").alias("node"))
+    lost = []
+    for _ in range(3):
+        children = lambda side, level=level: level.join(side, "doc_id").select("doc_id", "node", F.posexplode(near_dedup.branches("node", "deep")).alias("i", "child"))
+        level = children(x).join(children(y), ["doc_id", "node", "i", "child"]).select("doc_id", F.col("child").alias("node")).localCheckpoint()
+        lost.append(1 - level.select("doc_id").distinct().count() / n)
+    assert lost[1] <= 0.0005 and lost[2] <= 0.0008, lost
+
+
 def test_near_dedup_odd_rows(spark, odd, empty):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and [r.kept for r in got if r.doc_id is None] == [True] and sum(r.doc_id == 4 and r.kept for r in got) == 2
