@@ -16,6 +16,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that may hold a page's main text, the first kind more likely.
 ARTICLES, CONTAINERS = frozenset({"article", "main"}), frozenset("div section td body html blockquote".split())
+#: Containers that are parts of a text rather than the whole of it, and characters for each tag that only prose has.
+PARTS, PROSE = frozenset({"section", "blockquote"}), 80.0
 #: Words in class, id or role that tell of menus, notices, adverts, comments and the like.
 ASIDE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|complementary|contentinfo|consent|cookies?|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|"
@@ -126,12 +128,14 @@ def threshold(values: np.ndarray, rounds: int = 20) -> float:
 
 
 def main_text(html: str) -> str:
-    """The lines of the page's content regions, joined by \\n.
+    """The lines of the page's content region, joined by \\n.
 
     Lines in menus, notices and the like (SKIPPED, ASIDE) have no score; others score characters for each tag,
-    smoothed over their neighbours. The regions are the page's articles if any holds text, else the elements
-    around its lines; those whose lines reach, in the mean by characters, the threshold between low and high
-    scores are content, and the best one in any case. All lines of a content region stay, short ones too.
+    smoothed over their neighbours. Where articles hold more than half of the other text, they are the content.
+    Else it is the block around all lines that reach, themselves and smoothed, the threshold between low and
+    high scores (PROSE at most). A block is a child of the innermost element with all text that is not aside; a
+    section, a quote or a cell with no more than half of the text is a part of what is around it. All lines of
+    the content stay, short ones, tables and nested blocks too.
     """
     page = Lines()
     page.feed(html)
@@ -142,27 +146,32 @@ def main_text(html: str) -> str:
     ratio = np.array([0.0 if aside else len(text) / max(tags, 1) for text, tags, aside, _ in lines])
     score = smoothed(ratio)
 
-    def article(region: int) -> int:
-        """The outermost article around a region, else -1."""
-        found = -1
-        while region:
-            found = region if page.regions[region][0] in ARTICLES else found
-            region = page.regions[region][1]
-        return found
-
-    held = [article(x[3]) for x in lines]
-    if not any(a >= 0 and not x[2] for a, x in zip(held, lines, strict=True)):
-        held = [x[3] for x in lines]
-    sums: dict[int, list[float]] = {}
-    for where, (text, _, aside, _), s in zip(held, lines, score, strict=True):
-        if where >= 0 and not aside:
-            total = sums.setdefault(where, [0.0, 0.0])
-            total[0] += s * len(text)
-            total[1] += len(text)
-    means = {k: a / b for k, (a, b) in sums.items()}
-    cut = min(threshold(score), max(means.values()))
-    content = {k for k, v in means.items() if v >= cut}
-    return "\n".join(text for where, (text, _, aside, _) in zip(held, lines, strict=True) if where in content and not aside)
+    def path(region: int) -> list[int]:
+        """The regions around a region, outermost first, and itself."""
+        out = [region]
+        while out[-1]:
+            out.append(page.regions[out[-1]][1])
+        return out[::-1]
+
+    def common(paths: list[list[int]]) -> list[int]:
+        """What all paths begin with."""
+        low, high = min(paths), max(paths)
+        return low[: next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))]
+
+    paths = {k: path(k) for k in {x[3] for x in lines}}
+    texts = [(text, paths[where], min(r, s)) for (text, _, aside, where), r, s in zip(lines, ratio, score, strict=True) if not aside]
+    total = sum(len(text) for text, _, _ in texts)
+    articles = [text for text, around, _ in texts if any(page.regions[k][0] in ARTICLES for k in around)]
+    if 2 * sum(map(len, articles)) > total:
+        return "\n".join(articles)
+    cut = min(threshold(score), PROSE, max(v for _, _, v in texts))
+    whole = len(common([around for _, around, _ in texts]))
+    content = common([around for _, around, v in texts if v >= cut])[: whole + 1]
+    while len(content) > 1 and (
+        (kind := page.regions[content[-1]][0]) in PARTS or kind == "td" and 2 * sum(len(text) for text, around, _ in texts if content[-1] in around) <= total
+    ):
+        content.pop()
+    return "\n".join(text for text, around, _ in texts if content[-1] in around)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -123,6 +123,23 @@ def test_html_extraction(spark):
     assert got[5].text == "\n".join(["a<b"] * 2000)
 
 
+def test_html_extraction_keeps_whole_blocks():
+    """Short nested blocks of the main text stay, and a teaser article does not take its place."""
+    menu, prose = "<div><ul>" + "<li><a href=x>Go</a></li>" * 8 + "</ul></div>", [f"{i} " + "some words of text " * 15 for i in range(12)]
+    p = "".join(f"<p>{x}</p>" for x in prose)
+    cells = "<table>" + "<tr>" + "<td>twelve chars</td>" * 3 + "</tr>" + "</table>"
+    for part, n in ((cells * 8, 24), ("<section><h2>Short</h2><p>Yes.</p></section>", 2), ("<blockquote>Quoted.</blockquote>", 1), ("<div><div>Nested.</div></div>", 1)):
+        got = html_extraction.main_text(f"<body>{menu}<div>{p}{part}</div></body>").split("\n")
+        assert got[:12] == [x.strip() for x in prose] and len(got) == 12 + n and "Go" not in got
+    got = html_extraction.main_text(f"<body>{menu}<div>{p}</div><article>Read our other story now</article></body>").split("\n")
+    assert got[:12] == [x.strip() for x in prose]
+    got = html_extraction.main_text(f"<body><article>{p}</article><article>Short one.</article></body>").split("\n")
+    assert len(got) == 13
+    got = html_extraction.main_text(f"<body><section>{p}</section><section>Short one.</section></body>").split("\n")
+    assert len(got) == 13
+    assert html_extraction.main_text(f"<table><tr><td>{menu}</td><td>{p}</td></tr></table>").split("\n") == [x.strip() for x in prose]
+
+
 def test_packing(spark, odd, empty):
     import tokenizers
 
