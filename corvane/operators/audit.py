@@ -87,6 +87,13 @@ def confirmed_pairs(pairs: DataFrame, thumbs: DataFrame, least: float = 0.98) ->
     return scored.withColumn("verdict", F.when(F.coalesce(F.col("ncc") >= least, F.lit(True)), "confirmed").otherwise("rejected"))
 
 
+def confirmed_partners(pairs: DataFrame, thumbs: DataFrame, least: float = 0.98) -> DataFrame:
+    """Each left file's nearest confirmed partner, or its nearest one if all are rejected, ties to the first name, with ncc, verdict and the number of its pairs."""
+    counted = pairs.withColumn("n_pairs", F.count(F.lit(1)).over(Window.partitionBy("left_file")))
+    best = F.min(F.struct((F.col("verdict") != "confirmed").alias("_r"), "hamming", "right_file", "ncc", "verdict"))
+    return confirmed_pairs(counted, thumbs, least).groupBy("left_file", "n_pairs").agg(best.alias("_best")).select("left_file", "n_pairs", "_best.right_file", "_best.hamming", "_best.ncc", "_best.verdict")
+
+
 def best_partners(pairs: DataFrame) -> DataFrame:
     """Each left file's nearest partner, ties to the first name, and the number of its pairs."""
     w = Window.partitionBy("left_file")

@@ -43,6 +43,16 @@ def test_banded_join_is_exhaustive(spark):
     assert got == want and want
 
 
+def test_a_rejected_nearer_candidate_hides_no_duplicate(spark):
+    rnd = random.Random(9)
+    thumb, other, third = ([rnd.random() for _ in range(64)] for _ in range(3))
+    rows = [("t1", thumb, 0), ("t2", other, 1 << 40), ("t3", thumb, 1 << 50), ("near", third, 0), ("same", [v + 1 for v in thumb], 0b111), ("same2", thumb, 0b111), ("far", third, 1 << 40)]
+    df = spark.createDataFrame(rows, "file_name string, thumb array<double>, dhash long")
+    pairs = audit.hamming_pairs(df.where("file_name like 't%'"), df.where("file_name not like 't%'"))
+    got = {r.left_file: (r.right_file, r.hamming, r.n_pairs, r.verdict) for r in audit.confirmed_partners(pairs, df).collect()}
+    assert got == {"t1": ("same", 3, 4, "confirmed"), "t2": ("far", 0, 4, "rejected"), "t3": ("same", 4, 4, "confirmed")}
+
+
 def test_self_evaluation_is_perfect(spark):
     rows = [(i, c, f"{i}-{c}-{k}", 100.0 * k, 10.0, 20.0 + 30 * k, 20.0 + 30 * k) for i in range(12) for c in (1, 2) for k in range(2)]
     gt = spark.createDataFrame(rows, BOXES)
