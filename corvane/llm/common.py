@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
+from collections.abc import Callable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +52,25 @@ def join_summed(rows: DataFrame, summed: DataFrame, keys: list[str]) -> DataFram
     return rows.withColumns(other).join(summed.withColumns(other).drop(*keys), list(other)).drop(*other)
 
 
+def named_apart(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores put before it until no column bears it (column names differ by more than case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Where none is named (a test on one machine), one is made."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where none is named and all runs on one machine (a test), one is made."""
     context = spark.sparkContext
     if folder := spark.conf.get("spark.checkpoint.dir", ""):
         return folder
     if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -61,3 +79,19 @@ def durable(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+_held: list[Any] = [None, None]
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """make(), which the Python worker keeps for this key until another is asked for.
+
+    Spark uses its workers again from stage to stage; so one operator's dictionaries never lie beside another's.
+    """
+    if _held[0] != key:
+        _held[:] = [None, None]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _held[:] = [key, make()]
+    return _held[1]

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.llm.common import held, named_apart
+
 #: Runs that may be words: letters with some numerals.
 RUNS = re.compile(r"[^\W\d_]+").findall
 #: Bytes of Latin-1 with all but letters made spaces.
@@ -233,9 +235,6 @@ class Labeler:
         return out
 
 
-_labelers: dict[int, Labeler] = {}
-
-
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score, shares (array of doubles, in the order of model.langs) and n_switches (long).
 
@@ -255,15 +254,13 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
         if model is None:
             got = [(UNKNOWN, 0.0, [], 0)] * len(texts)
         else:
-            if id(model) not in _labelers:
-                _labelers.clear()
-                _labelers[id(model)] = Labeler(model)
-            given, label = texts.tolist(), _labelers[id(model)].label
-            got = [x for at in range(0, len(given), 4000) for x in label(given[at : at + 4000])]
+            label = held(("languages", id(model)), lambda: Labeler(model)).label  # which holds the model, so that no other has its id
+            got = [x for at in range(0, len(texts), 1000) for x in label(texts.iloc[at : at + 1000].tolist())]
         return pd.DataFrame(got, columns=["lang_pred", "score", "shares", "n_switches"])
 
-    out = docs.withColumn("_label", labelled(F.col(text_col)))
-    return out.withColumns({k: F.col(f"_label.{k}") for k in ("lang_pred", "score", "shares", "n_switches")}).drop("_label")
+    (label,) = named_apart(docs.columns, "_label")
+    out = docs.withColumn(label, labelled(F.col(text_col)))
+    return out.withColumns({k: F.col(f"{label}.{k}") for k in ("lang_pred", "score", "shares", "n_switches")}).drop(label)
 
 
 def held_out(id_col: Column) -> Column:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LOWER, UPPER, durable, join_summed
+from corvane.llm.common import LOWER, UPPER, durable, held, join_summed
 
 #: Minwise tokens of a document in its sketch. Trees begin with the first ones.
 TOKENS = 32
@@ -110,13 +110,8 @@ def parities(sets: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view(_U)
 
 
-_shinglers: dict[int, Shingler] = {}
-
-
 def _shingler(size: int) -> Shingler:
-    if size not in _shinglers:
-        _shinglers[size] = Shingler(size)
-    return _shinglers[size]
+    return held(("shingles", size), lambda: Shingler(size))
 
 
 def signatures(docs: DataFrame, shingle_words: int, trees: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import held
+
 #: Chunks whose counts a worker keeps at most, and the longest chunk it keeps.
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
 
@@ -83,16 +85,6 @@ class PieceCounter:
         return total
 
 
-_counters: dict[str, PieceCounter] = {}
-
-
-def counter(model_file: str) -> PieceCounter:
-    """The worker's counter for this file."""
-    if model_file not in _counters:
-        _counters[model_file] = PieceCounter(model_file)
-    return _counters[model_file]
-
-
 def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, text_col: str = "text") -> DataFrame:
     """docs with n_bytes (long, UTF-8), n_tokens (long) and over_limit (n_tokens > limit).
 
@@ -106,7 +98,7 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, text_col:
 
     @F.pandas_udf("long")
     def tokens(texts: pd.Series) -> pd.Series:
-        count = counter(model_file).count
+        count = held(("pieces", model_file), lambda: PieceCounter(model_file)).count
         return pd.Series([count(t) for t in texts], dtype="int64")
 
     text = F.coalesce(F.col(text_col), F.lit(""))
