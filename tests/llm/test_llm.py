@@ -239,14 +239,15 @@ def test_quality_rules(spark, odd, empty):
 def test_topk_search(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=5) * 0.2]) for i in range(130)] + [(200, None), (201, [1.0, None, 0.0, 0.0, 0.0]), (202, [float("nan")] * 5), (203, [float("inf")] * 5), (None, [0.0] * 5), (220, [0.1] * 5), (221, [0.1] * 5), (240, [0.5, 0.5]), (241, [0.25, -0.5]), (260, [])]
+    rows += [(7, [9.0] * 5)] * 25 + [(7, [-9.0] * 5), (7, [3.0] * 5), (40, [0.3] * 5), (40, [0.3] * 5), (40, [-0.2] * 5)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"q": F.lit(1), "id": F.lit(2), "block": F.lit(3)})
     got = defaultdict(list)
     for r in topk_search.top_k(df, F.col("vec_id") % 20 == 0, block_rows=40, block_queries=3).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
-    usable = {i: np.floor(64 * np.array(np.float32(v), float)).astype(int) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    for q in [i for i in usable if i % 20 == 0]:
-        want = sorted(((i, int(v @ usable[q])) for i, v in usable.items() if i != q and len(v) == len(usable[q])), key=lambda x: (-x[1], x[0]))[:20]
-        assert got[q] == want
+    usable = [(i, np.floor(64 * np.array(np.float32(v), float)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    for q in {i for i, _ in usable if i % 20 == 0}:
+        scored = [(i, int(v @ w)) for j, w in usable if j == q for i, v in usable if i != q and len(v) == len(w)]
+        assert got[q] == sorted(scored, key=lambda x: (-x[1], x[0]))[:20]
     assert topk_search.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
