@@ -56,17 +56,17 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 _FORMATTED = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("formatted", pa.string()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
-def format_conversations(conversations: DataFrame, template: str = TEMPLATE, part_chars: int = 1_000_000) -> DataFrame:
+def format_conversations(conversations: DataFrame, template: str = TEMPLATE, part_chars: int | None = None) -> DataFrame:
     """Formatted conversations: conv_id, part (long), formatted (string), loss_spans (array of start and end).
 
     A conversation is the rows of one conv_id by turn, then role and text where turns are equal, nulls first; a
     null role or text renders as an empty one; rows without conv_id are one conversation. Repeated rows are
-    turns. Spans count code points from the part's begin. A conversation is one row, part 0, unless it is
-    longer than part_chars: then it goes on in further rows, cut after a turn. An empty table gives no row.
-    Columns other than conv_id, turn, role and text are not read.
+    turns. Spans count code points from the part's begin. A conversation is one row, part 0; if the caller
+    names part_chars, one that is longer goes on in further rows, cut after a turn. An empty table gives no
+    row. Columns other than conv_id, turn, role and text are not read, whatever their names.
 
     Rows are shuffled by conversation and sorted inside partitions; the template takes turns one by one, so
-    that a task holds one part and never a whole conversation, however long.
+    that a task holds one row of the result: with part_chars never a whole conversation, however long.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +83,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE, par
                     elif x is not Mark.PAUSE:
                         texts.append(x)
                         size += len(x)
-                    elif size >= part_chars:
+                    elif part_chars is not None and size >= part_chars:
                         yield conv, part, "".join(texts), spans
                         texts, spans, size, part = [], [], 0, part + 1
                 if texts or not part:

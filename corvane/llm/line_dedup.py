@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACES, ascii_lower, join_summed, let
+from corvane.llm.common import SPACES, ascii_lower, join_summed, let, named_apart
 
 
 def line_key(line: Column) -> Column:
@@ -55,8 +55,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
         .groupBy("_id", "_version")
         .agg(F.sort_array(F.collect_set("_at")).alias("_lost"))
     )
-    joined = docs.withColumns({"_id": F.col(id_col), "_version": version}).join(lost, ["_id", "_version"], "left")
-    gone = F.coalesce("_lost", F.array().cast("array<int>"))
+    own = named_apart(docs.columns, "_id", "_version", "_lost")
+    lost = lost.toDF(*own)
+    joined = docs.withColumns({own[0]: F.col(id_col), own[1]: version}).join(lost, own[:2], "left")
+    gone = F.coalesce(own[2], F.array().cast("array<int>"))
 
     def kept(all_lines: Column) -> Column:
         """Lines between two dropped positions, for each pair of them: linear in lines and positions."""
@@ -71,4 +73,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
             "n_lines": (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
             "n_dropped": F.size(gone).cast("long"),
         }
-    ).drop("_id", "_version", "_lost")
+    ).drop(*own)

@@ -55,33 +55,39 @@ def inverse_demand(share: Column, begin: Column, end: Column) -> Column:
     return F.when(F.abs(bend) < 1e-12, share / begin).otherwise((root - begin) / (2 * bend))
 
 
-def _placed(docs: DataFrame, weights: Sequence[int], max_repeat: int) -> DataFrame:
-    """A row per document with its source's figures and at, the words before it in its source's stream."""
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """A row per document: doc_id, source, size, a hash of the id (52 bits), one of the text, and more."""
     hashed = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13), 16, 10).cast("long")
-    sized = durable(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), hashed.alias("_hash"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_version")))
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), hashed.alias("_hash"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_version"), *more)
+
+
+def _placed(docs: DataFrame, weights: Sequence[int], max_repeat: int, *more: Column) -> DataFrame:
+    """A row per document with its source's figures and at, the words before it in its source's stream; and with more, as it is."""
+    sized = durable(_sized(docs))
     targets = durable(source_targets(sized, weights, max_repeat).withColumnRenamed("source", "_source"))
     if targets.count() <= BROADCAST_SOURCES:  # else Spark shuffles, and splits a source with very many rows
         targets = F.broadcast(targets)
     ranges = F.ceil(2 * F.sqrt(F.col("n_docs")))
-    known = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_range", F.floor(F.col("_hash") / F.lit(float(1 << 52)) * ranges).cast("long"))
+    known = lambda rows: rows.join(targets, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_range", F.floor(F.col("_hash") / F.lit(float(1 << 52)) * ranges).cast("long"))
     earlier = Window.partitionBy("no").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = known.groupBy("no", "_range").agg(F.sum("size").alias("_sum"))
+    sums = known(sized).groupBy("no", "_range").agg(F.sum("size").alias("_sum"))
     starts = sums.select("no", "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("no", "_range").orderBy("_hash", "doc_id", "_version").rowsBetween(Window.unboundedPreceding, -1)
-    summed = known.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    summed = known(_sized(docs, *more) if more else sized).withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return summed.join(starts, ["no", "_range"]).withColumn("at", F.col("_start") + F.col("_inside"))
 
 
-def _planned(docs: DataFrame, weights: Sequence[int], max_repeat: int, schedule: dict[int, tuple[float, float]]) -> DataFrame:
+def _planned(docs: DataFrame, weights: Sequence[int], max_repeat: int, schedule: dict[int, tuple[float, float]], *more: Column) -> DataFrame:
     size, at, whole, need = F.col("size"), F.col("at"), F.col("source_size"), F.floor("target").cast("long")
     rounds = F.when(whole > 0, F.least(F.floor(need / whole), F.lit(max_repeat))).otherwise(F.lit(0)).cast("long")
-    part = F.greatest(F.lit(0), F.least(size, need - rounds * whole - at)).cast("long")
+    rest = need - F.col("_rounds") * whole - at
     side = lambda k: F.element_at(F.create_map(*(F.lit(x) for w, ends in schedule.items() for x in (w, float(ends[k])))), F.col("weight").cast("int"))
-    planned = _placed(docs, weights, max_repeat).withColumns({"_rounds": rounds, "_part": part})
+    planned = _placed(docs, weights, max_repeat, *more).withColumn("_rounds", rounds).withColumn("_part", F.greatest(F.lit(0), F.least(size, rest)).cast("long"))
+    empty = ((F.col("_rounds") > 0) | (rest > 0) | (whole == 0)).cast("int")  # a document without words, once if the stream comes by it
     return planned.withColumns(
         {
             "taken": F.col("_rounds") * size + F.col("_part"),
-            "copies": (F.col("_rounds") * (size > 0).cast("int") + ((size > 0) & (2 * F.col("_part") >= size)).cast("int")).cast("int"),
+            "copies": F.when(size > 0, F.col("_rounds") + (2 * F.col("_part") >= size).cast("int")).otherwise(empty).cast("int"),
             "_begin": side(0),
             "_end": side(1),
         }
@@ -90,8 +96,8 @@ def _planned(docs: DataFrame, weights: Sequence[int], max_repeat: int, schedule:
 
 def _position(passes: Column) -> Column:
     """The training position of a document's pass (0 for the first), in words of the whole mix."""
-    share = (passes * F.col("source_size") + F.col("at")) / F.col("target")
-    return inverse_demand(share, F.col("_begin"), F.col("_end")) * F.col("total")
+    share = F.when(F.col("target") > 0, (passes * F.col("source_size") + F.col("at")) / F.col("target")).otherwise(F.lit(0.0))
+    return inverse_demand(share, F.col("_begin"), F.col("_end")) * F.col("total") + 0.0  # no negative zero
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, schedule: dict[int, tuple[float, float]] = SCHEDULE) -> DataFrame:
@@ -100,7 +106,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3
     A source's documents, in the order of a hash of their ids, form its stream of words, which starts again at
     its end; the mix takes the stream's first floor(target) words. taken: the document's words in them, at
     most max_repeat times its size. copies: its passes, counting one that is cut if at least half of it is
-    taken. first_at: the training position, in words of the whole mix, at which it first comes up under its
+    taken; a document without words counts once where the stream comes by it. first_at: the training position, in words of the whole mix, at which it first comes up under its
     source's weight schedule; null if never, and those documents come last. Reruns agree: nothing is drawn at
     random.
 
@@ -121,15 +127,13 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, schedule: dict[int, tuple[float, float]] = SCHEDULE) -> DataFrame:
     """The mix itself: each row of docs as often as mix() says (copies), all its columns, range-sorted by training position.
 
-    Documents with no copy are not in it. Nulls and ties as for mix(). Texts are shuffled to meet their
-    positions and again to be sorted by them.
+    Rows with no copy are not in it: those that the mix takes less than half of. Null and empty texts are in it
+    once if the mix takes any word of their source at or behind their place, or if no text of the source has a
+    word. Nulls and ties as for mix(); columns of any name stay.
+
+    Rows are shuffled to be placed in their source's stream and again to be sorted by position; sizes are
+    counted once more on the way.
     """
-    plan = _planned(docs, weights, max_repeat, schedule).where(F.col("copies") > 0)
-    # the k-th of equal rows on either side belong together
-    spots = plan.select(F.col("doc_id").alias("_id"), "_version", F.col("source").alias("_from"), F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: _position(k)).alias("_spots"))
-    spots = spots.withColumnsRenamed({"_id": "_i", "_version": "_v", "_from": "_f"})
-    keyed = docs.withColumns({"_id": F.col("doc_id"), "_version": F.xxhash64(F.coalesce("text", F.lit(""))), "_from": F.col("source")}).withColumn("_twin", F.row_number().over(Window.partitionBy("_id", "_version", "_from").orderBy(F.lit(1))))
-    spots = spots.withColumn("_twin", F.row_number().over(Window.partitionBy("_i", "_v", "_f").orderBy(F.lit(1))))
-    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_version") == F.col("_v")) & F.col("_from").eqNullSafe(F.col("_f")) & (keyed["_twin"] == spots["_twin"])
-    met = keyed.join(spots, same).select(*(keyed[c] for c in docs.columns), F.explode("_spots").alias("_spot"))
-    return met.repartitionByRange("_spot").sortWithinPartitions("_spot").select(*docs.columns)
+    plan = _planned(docs, weights, max_repeat, schedule, F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
+    met = plan.where(F.col("copies") > 0).select("_row", F.explode(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), _position)).alias("_spot"))
+    return met.repartitionByRange("_spot").sortWithinPartitions("_spot").select("_row.*")

@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACES, WORD, let, without
+from corvane.llm.common import SPACES, WORD, let, named_apart, without
 
 #: Characters that count as symbols; fixed value.
 SYMBOLS = "#*$%&|<>"
@@ -75,9 +75,10 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     gone = lambda chars: F.octet_length(text) - F.octet_length(without(text, chars))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-    counts = docs.withColumns({"_words": _stats(text), "_lines": _lines(text), "n_symbols": gone(SYMBOLS).cast("long"), "word_chars": (F.char_length(text) - gone(SPACES)).cast("long")})
-    counts = counts.withColumns({k: F.col(f"_words.{k}") for k in ("n_words", "n_repeat_words", "n_stop_words")} | {k: F.col(f"_lines.{k}") for k in ("n_lines", "n_dup_lines")})
-    return counts.drop("_words", "_lines").withColumns(
+    words, lines = named_apart(docs.columns, "_words", "_lines")
+    counts = docs.withColumns({words: _stats(text), lines: _lines(text), "n_symbols": gone(SYMBOLS).cast("long"), "word_chars": (F.char_length(text) - gone(SPACES)).cast("long")})
+    counts = counts.withColumns({k: F.col(f"{words}.{k}") for k in ("n_words", "n_repeat_words", "n_stop_words")} | {k: F.col(f"{lines}.{k}") for k in ("n_lines", "n_dup_lines")})
+    return counts.drop(words, lines).withColumns(
         {
             "mean_word_chars": ratio("word_chars", "n_words"),
             "symbol_ratio": ratio("n_symbols", "n_words"),

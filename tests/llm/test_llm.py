@@ -34,7 +34,7 @@ ODD = [
 @pytest.fixture
 def odd(spark):
     """Odd rows, with extra columns whose names operators use themselves."""
-    return spark.createDataFrame(ODD, DOCS).withColumns({"n_lines": F.lit("x"), "score": F.lit("x"), "kept": F.lit(1), "size": F.lit(1), "word": F.lit(1), "node": F.lit(1)})
+    return spark.createDataFrame(ODD, DOCS).withColumns({"n_lines": F.lit("x"), "score": F.lit("x"), "kept": F.lit(1), "size": F.lit(1), "word": F.lit(1), "node": F.lit(1)} | {f"_{k}": F.lit(k) for k in "id version lost twin spot spots row hash label words lines text from k0 h1".split()})
 
 
 @pytest.fixture
@@ -63,6 +63,8 @@ def test_line_dedup(spark, odd, empty):
         if least == 2:
             assert Counter(got) == Counter(lines_by_hand(ODD))
     assert line_dedup.dedup_lines(empty).count() == 0
+    for out in (line_dedup.dedup_lines(odd), quality_rules.apply_rules(odd), language_id.identify(odd, None), token_counts.count_tokens(odd, public_tokenizers.path("piece_bpe_32k.model"))):
+        assert {f"_{k}" for k in ("id", "version", "lost", "label", "words", "lines")} <= set(out.columns) and all(r[f"_{k}"] == k for r in out.collect() for k in ("id", "version", "lost", "label", "words", "lines"))
 
 
 def test_token_counts(spark, odd, empty):
@@ -269,7 +271,26 @@ def test_mixing(spark, odd, empty):
     rebuilt = mixing.mixed_documents(docs)
     assert rebuilt.columns == docs.columns and Counter(r.doc_id for r in rebuilt.collect()) == Counter({k: v for k, v in copies.items() if v})
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
-    assert mixing.mixed_documents(odd).columns == odd.columns
+    out = mixing.mixed_documents(odd)
+    assert out.columns == odd.columns and all(r[f"_{k}"] == k for r in out.collect() for k in ("id", "spot", "twin", "version", "row", "hash"))
+    # rows come at ascending positions, and texts without words are there once: all sources here are taken whole or reach them
+    first = {r.doc_id: r.first_at for r in got if r.first_at is not None}
+    seen = list(dict.fromkeys(r.doc_id for r in rebuilt.collect()))
+    spots = [first[i] for i in seen if i in first]
+    assert spots == sorted(spots) and len(spots) > 200
+    blank = spark.createDataFrame([(1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "w w", "en", "b", 0), (4, " ", "en", "b", 0)], DOCS)
+    assert {1, 2} <= {r.doc_id for r in mixing.mixed_documents(blank).collect()}
+
+
+def test_mixing_inverts_the_integrated_weights(spark):
+    t = np.linspace(0, 1, 100_001)
+    for weight, (begin, end) in mixing.SCHEDULE.items():
+        weights = begin + (end - begin) * t
+        demand = np.concatenate([[0], np.cumsum((weights[1:] + weights[:-1]) / 2 * np.diff(t))])
+        assert demand[-1] == pytest.approx(1.0), weight
+        at = spark.createDataFrame([(float(demand[i]), float(t[i])) for i in range(0, 100_001, 1000)], "share double, t double")
+        got = at.select("t", mixing.inverse_demand(F.col("share"), F.lit(begin), F.lit(end)).alias("got")).collect()
+        assert all(r.got == pytest.approx(r.t, abs=1e-6) for r in got)
 
 
 def components_by_hand(rows, k, percent=80):
