@@ -123,6 +123,11 @@ def test_html_extraction(spark):
     assert got[1].text == want and got[1].n_chars == len(want)
     assert got[2].text == got[None].text == got[4].text == "" and got[3].text == "Some text that goes on for long, without any links at all.\nMore of it, also plain."
     assert got[5].text == "\n".join(["a<b"] * 2000)
+    more = df.unionByName(df).withColumns({"text": F.lit("t"), "n_chars": F.lit(1), "_id": F.lit(2)})
+    assert Counter(r.text for r in html_extraction.extract_pages(more).collect()) == Counter([r.text for r in got.values()] * 2)
+    assert html_extraction.extract_pages(df.limit(0)).count() == 0
+    assert html_extraction.main_text("<div>" * 50_000 + "x " * 100 + "<p>y" * 50_000).count("y") == 50_000
+    assert html_extraction.main_text("x " * 1_000_000) == ("x " * 1_000_000).strip()
 
 
 def test_html_extraction_keeps_whole_blocks():
@@ -142,6 +147,52 @@ def test_html_extraction_keeps_whole_blocks():
     assert html_extraction.main_text(f"<table><tr><td>{menu}</td><td>{p}</td></tr></table>").split("\n") == [x.strip() for x in prose]
 
 
+def test_html_extraction_goes_by_scores(monkeypatch):
+    """Names weigh, but the densest region is the text; without smoothing or a threshold other lines come out."""
+    menu = "<ul>" + "<li><a href=x>Go there</a></li>" * 8 + "</ul>"
+    p = "".join(f"<p>{i} {'some words of text ' * 15}</p>" for i in range(6))
+    for page in (
+        f"<body><div id=page class='site has-sidebar'><nav>{menu}</nav><article>{p}</article></div>",
+        f"<body><nav>{menu}</nav><article class='post social-share-enabled'>{p}<div class=share>Share</div></article>",
+        f"<body><nav>{menu}</nav><div class='search-results main'>{p}</div><footer>(c)</footer>",
+        f"<body><nav>{menu}<div><div class=x>{p}</div></div>",
+        f"<body><form action=x><header>Site</header>{menu}<div>{p}</div></form>",
+    ):
+        got = html_extraction.main_text(page).split("\n")
+        assert [x[0] for x in got] == list("012345"), page[:80]
+    teasers = "".join(f"<article><a href=x>Teaser {i}</a> <a href=y>more</a></article>" for i in range(200))
+    plain = f"<body>{menu}<div>{teasers}</div><div>{p}</div><div class=x><a href=x>One</a><a href=x>Two</a></div>"
+    want = html_extraction.main_text(plain)
+    assert [x[0] for x in want.split("\n")] == list("012345")
+    monkeypatch.setattr(html_extraction, "threshold", lambda values: -1.0)
+    assert html_extraction.main_text(plain) != want
+    monkeypatch.undo()
+    monkeypatch.setattr(html_extraction, "smoothed", lambda values: np.ones(len(values)))
+    assert html_extraction.main_text(plain) != want
+
+
+def test_html_extraction_of_random_pages():
+    """Pages made from a tree against the tree: blocks of the article in order, whatever lies around them."""
+    rnd = random.Random(21)
+    words = lambda n: " ".join(rnd.choice(["some", "words", "of", "a", "text", "&amp;", "caf&eacute;", "<b>bold</b>", "<a href=x>link</a>"]) for _ in range(n))
+    plain = lambda x: " ".join(re.sub("<[^>]+>", "", x).replace("&amp;", "&").replace("&eacute;", "é").split())
+    for _ in range(300):
+        blocks, want = [], []
+        for _ in range(rnd.randint(3, 12)):
+            inner = [words(rnd.randint(25, 60)) for _ in range(rnd.randint(1, 3))]
+            kind = rnd.choice(["p", "ul", "table", "section", "aside"])
+            want += [plain(x) for x in inner] if kind != "aside" else []
+            shape = {"p": "<p>{}</p>", "ul": "<ul>{}</ul>", "table": "<table><tr>{}</tr></table>", "section": "<section>{}</section>", "aside": "<aside>{}</aside>"}[kind]
+            item = {"p": "{}<p>", "ul": "<li>{}", "table": "<td>{}</td>", "section": "<p>{}", "aside": "<p>{}</p>"}[kind]
+            blocks.append(shape.format("".join(item.format(x) for x in inner)))
+        if not want:
+            continue
+        frame = rnd.choice(["<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "<div class=has-sidebar><article>{}</article></div>"])
+        around = ["<nav><ul><li><a href=x>Menu</a></ul></nav>", "<header><p>Site</p></header>", "<div class=cookie-notice>We use cookies</div>"]
+        page = "<html><head><title>T</title><style>p{}</style></head><body>" + "".join(rnd.sample(around, rnd.randint(0, 3))) + frame.format("".join(blocks)) + "<section id=comments><p>" + words(20) + "</section><footer>(c)</footer></body></html>"
+        assert html_extraction.main_text(page).split("\n") == want, page
+
+
 def test_packing(spark, odd, empty):
     import tokenizers
 
