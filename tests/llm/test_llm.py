@@ -447,15 +447,27 @@ def test_sql_parity(spark, name):
     assert rows(got.select(*columns).collect()) == rows(want.select(*columns).fetchall())
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, odd, empty):
     docs = spark.read.parquet(f"{TINY}/documents.parquet").withColumn("extra", F.lit("e"))
     named = corpus_pipeline.identified(spark, docs, TINY)
-    assert named.columns == docs.columns and 0.95 * docs.count() <= named.count() <= docs.count()
+    lettered = {r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
+    assert named.columns == docs.columns and {r.doc_id for r in named.collect()} == lettered  # every clean document stays
     lined = corpus_pipeline.lines_deduped(spark, docs, TINY)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert lined.columns == docs.columns and {(r.doc_id, r.text) for r in lined.collect()} == {(i, t) for i, _, _, t in lines_by_hand(rows)}
     kept = corpus_pipeline.near_deduped(spark, docs, TINY)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in components_by_hand(rows, 5).items() if i == c}
-    assert corpus_pipeline.mixed(spark, docs, TINY).columns == docs.columns
+    mixed, copies = corpus_pipeline.mixed(spark, docs, TINY), {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    assert mixed.columns == docs.columns and Counter(r.doc_id for r in mixed.collect()) == Counter({k: v for k, v in copies.items() if v})
     pieces = corpus_pipeline.run(spark, TINY)
     assert pieces.count() > 0 and [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "mixing", "packing"]
+    # odd rows and an empty table
+    wide = [c for c in odd.columns]
+    out = {name: stage(spark, odd, TINY) for name, stage in corpus_pipeline.STAGES}
+    assert all(out[k].columns == wide for k in ("language_id", "line_dedup", "near_dedup", "mixing"))
+    assert Counter(r.doc_id for r in out["language_id"].collect()) == {3: 1, 4: 2, None: 1, 6: 1, 7: 1}
+    assert out["line_dedup"].count() == len(ODD) and [r.text for r in out["line_dedup"].where("doc_id = 4").collect()] == ["short\nshort"] * 2
+    assert Counter(r.doc_id for r in out["near_dedup"].collect()) == Counter(i for i, *_ in ODD)
+    assert Counter(r.doc_id for r in out["packing"].where("start = 0").collect()) == Counter(i for i, *_ in ODD)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, TINY).count() == 0
