@@ -14,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import LOWER, UPPER, durable, held, join_summed
@@ -24,7 +24,7 @@ TOKENS = 32
 #: Further minwise tokens, of a byte each, among which nodes that branch choose.
 DEEP = 512
 #: Longs that hold the parities of a set, 64 each.
-PARITIES = 8
+PARITIES = 4
 #: Branches of a large node, and the tokens that the documents of a branch agree on.
 BRANCHES, TOGETHER = 3, 3
 #: What nodes carry of a document.
@@ -165,11 +165,9 @@ def alike(a: str, b: str, percent: int, least_equal: int = 16) -> Column:
     """Whether two rows may be linked, by sizes and parities (exactly) and sketches.
 
     Each token that one set has and the other has not turns one parity, so parities differ in at most as many
-    places as sets do in tokens, and sets with links differ in a known share of their sizes. The more places, the
-    fewer pairs just below the threshold pass: in a group of 2,000 copies of 150 tokens with up to 12 edits each,
-    256 places let through 12 times as many pairs between components as 1,024 do, and 512 three times; a row of
-    figures takes 8 bytes more for each 64. For sets of up to some 1,000 tokens 512 places tell pairs at 60
-    percent from links. Sketches serve longer ones: those of sets as
+    places as sets do in tokens, and sets with links differ in a known share of their sizes. For sets of up to
+    some 500 tokens this tells pairs at 60 percent from links; more places would let fewer pairs just below the
+    threshold pass, and make all rows wider. Sketches serve longer ones: those of sets as
     similar as 80 percent agree in 27 of 32 places on average and in fewer than 16 of them once in some ten
     million pairs.
     """
@@ -238,7 +236,7 @@ def links(sets: DataFrame, docs: DataFrame, shingle_words: int, percent: int, tr
     stars = first.where(F.col("star").isNotNull()).select(F.col("star").alias("a"), F.col("doc").alias("b")).distinct()
     edges = durable(confirmed(durable(stars), docs, shingle_words, percent, id_col, text_col))
     known = components(edges)
-    level, pairs = first.select("node", *FIGURES), []
+    level, pairs = first.select(F.lit(0).cast("long").alias("family"), "node", *FIGURES), []
     for d in range(depth + 1):
         named = level.join(known.withColumnRenamed("doc_id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         parts = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("c"))
@@ -246,21 +244,24 @@ def links(sets: DataFrame, docs: DataFrame, shingle_words: int, percent: int, tr
         crossing = (F.col("size") * F.col("size") - F.col("_squares")) / 2
         sized = stats.select("node", (crossing > small * F.col("size")).alias("large") if d < depth else F.lit(False).alias("large"))
         open_nodes = durable(join_summed(named, sized, ["node"]))
-        x = open_nodes.where(~F.col("large")).select("node", *(F.col(k).alias(f"x_{k}") for k in (*FIGURES, "component")))
-        y = x.select(F.col("node").alias("y_node"), *(F.col(f"x_{k}").alias(f"y_{k}") for k in (*FIGURES, "component")))
-        meet = x.join(y, (F.col("node") == F.col("y_node")) & (F.col("x_doc") < F.col("y_doc")) & (F.col("x_component") != F.col("y_component")) & alike("x_", "y_", percent))
+        others = F.collect_list("node").over(Window.partitionBy("doc", "family").orderBy("node").rowsBetween(Window.unboundedPreceding, -1))
+        carried = (*FIGURES, "component", "others")
+        x = open_nodes.where(~F.col("large")).withColumn("others", others).select("node", *(F.col(k).alias(f"x_{k}") for k in carried))
+        y = x.select(F.col("node").alias("y_node"), *(F.col(f"x_{k}").alias(f"y_{k}") for k in carried))
+        first_met = ~F.arrays_overlap("x_others", "y_others")  # among roots, or branches of one node, a pair is given in the first it shares
+        meet = x.join(y, (F.col("node") == F.col("y_node")) & (F.col("x_doc") < F.col("y_doc")) & (F.col("x_component") != F.col("y_component")) & alike("x_", "y_", percent) & first_met)
         pairs.append(meet.select(F.col("x_doc").alias("a"), F.col("y_doc").alias("b")))
         large = open_nodes.where("large")
         if d == depth or large.isEmpty():
             break
-        children = large.select("node", "doc").join(sets, "doc").select(F.explode(branches("node", "deep")).alias("node"), *FIGURES)
+        children = large.select("node", "doc").join(sets, "doc").select(F.col("node").alias("family"), F.explode(branches("node", "deep")).alias("node"), *FIGURES)
         level = durable(children)
     rest = durable(reduce(DataFrame.union, pairs).distinct())
     more = confirmed(rest, docs, shingle_words, percent, id_col, text_col)
     return components(edges.union(more))
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, trees: int = 10, small: int = 256, depth: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, trees: int = 10, small: int = 2048, depth: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (long) and kept of each row.
 
     A document's set has the distinct shingles of shingle_words words of its text, A-Z lower-cased; with fewer
