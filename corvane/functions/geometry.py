@@ -25,11 +25,20 @@ def odds(coords: Column) -> Column:
     return F.filter(coords, lambda v, i: i % 2 == 1)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row, also where lambdas inside body use it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def shoelace_area(coords: Column) -> Column:
     """Area of the polygon with these flat coordinates."""
-    n = F.size(coords)
-    pairs = F.transform(F.sequence(F.lit(0), n - 2, F.lit(2)), lambda i: F.get(coords, i) * F.get(coords, (i + 3) % n) - F.get(coords, (i + 2) % n) * F.get(coords, i + 1))
-    return F.when(n >= 6, F.abs(F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v)) / 2).otherwise(F.lit(0.0))
+
+    def area(c: Column) -> Column:
+        n = F.size(c)
+        pairs = F.transform(F.sequence(F.lit(0), n - 2, F.lit(2)), lambda i: F.get(c, i) * F.get(c, (i + 3) % n) - F.get(c, (i + 2) % n) * F.get(c, i + 1))
+        return F.when(n >= 6, F.abs(F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v)) / 2).otherwise(F.lit(0.0))
+
+    return let(coords, area)
 
 
 def scaled(coords: Column, width: Column, height: Column, clamp: bool = True) -> Column:

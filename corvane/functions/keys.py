@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Patterns of names; fixed values.
-EXPORTED = r"(?i)^(?:[0-9a-f]{8}-)?(.+?)_(?:jpg|jpeg|png)\.rf\.[0-9a-f]+"
-DATE, AGE, DIGITS = r"\d{4}[-_]?\d{2}[-_]?\d{2}.*$", r"(?i)[_-]?\d{1,3}yo.*$", r"[_-]?\d{6,}.*$"
+#: Patterns of stems and names; fixed values.
+EXPORTED = r"(?i)^(?:[0-9a-f]{8}-)?(.*?)_jpg\.rf\.[0-9a-f]+$"
+DATE, AGE, DIGITS = r"[_-]?\d{4}[-_]?\d{2}[-_]?\d{2}.*$", r"(?i)[_-]?\d{1,3}\s*yo.*$", r"[_-]?\d{6,}.*$"
 SAFE = r"(?i)^rf\.[0-9a-f]{6,}\.(jpg|jpeg|png)$"
 
 
@@ -17,15 +17,15 @@ def stem(name: Column) -> Column:
 
 def source_key(name: Column) -> Column:
     """The original's name without the export's prefix and suffix, else the file's stem."""
-    return F.coalesce(F.nullif(F.regexp_extract(name, EXPORTED, 1), F.lit("")), stem(name))
+    return F.when(F.rlike(stem(name), F.lit(EXPORTED)), F.regexp_extract(stem(name), EXPORTED, 1)).otherwise(stem(name))
 
 
 def patient_key(source: Column) -> Column:
-    """The source without dates, ages and long runs of digits at its end, lower-cased; the source if nothing is left."""
+    """The source without dates, ages and long runs of digits at its end, lower-cased; the lower-cased source if nothing is left."""
     cut = source
     for pattern in (DATE, AGE, DIGITS):
         cut = F.regexp_replace(cut, pattern, "")
-    return F.coalesce(F.nullif(F.lower(F.btrim(cut, F.lit("_- "))), F.lit("")), source)
+    return F.coalesce(F.nullif(F.lower(F.btrim(cut, F.lit("_- "))), F.lit("")), F.lower(source))
 
 
 def anonymous(name: Column) -> Column:

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,47 +98,6 @@ def quota_split(annotations: DataFrame, images: DataFrame, group: str, ratios=(0
     return sized.select(group, "stratum", "n_files", split.alias("split"))
 
 
-def greedy_split(annotations: DataFrame, images: DataFrame, group: str, ratios: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
-    """group and split by greedy placement: rarest class first, its holders by count, each to the split with most need.
-
-    A group's turn depends on the counts alone, so groups are sorted by it and stream through one task, which
-    keeps what each split has got of each class and no group; the sort spills to disk. Each placement depends
-    on all before it, so time grows with the number of groups; quota_split() runs in parallel. A null group is one.
-    """
-    ratios = ratios or {"train": 0.7, "valid": 0.15, "test": 0.15}
-    matrix = annotations.join(images.select("image_id", group), "image_id").groupBy(F.col(group).alias("_g"), "category_id").agg(F.count(F.lit(1)).alias("n"))
-    sums = matrix.groupBy("category_id").agg(F.sum("n").alias("n")).where(F.col("category_id") >= 0).orderBy("n", "category_id").collect()
-    totals = {r.category_id: r.n for r in sums}
-    n_files = images.count()
-    turns = annotations.sparkSession.createDataFrame([(c, i) for i, c in enumerate(totals)], "category_id long, turn long")
-    held = matrix.join(F.broadcast(turns), "category_id").groupBy("_g").agg(F.min(F.struct("turn", (-F.col("n")).alias("n"))).alias("first"), F.sort_array(F.collect_list(F.struct(F.col("category_id").cast("long").alias("c"), "n"))).alias("cells"))
-    files = images.groupBy(F.col(group).alias("_f")).agg(F.count(F.lit(1)).alias("n_files"))
-    key = F.coalesce(F.col("_f").cast("string"), F.lit(""))
-    rows = files.join(held, F.col("_f").eqNullSafe(F.col("_g")), "left").select(
-        F.coalesce("first.turn", F.lit(len(totals))).alias("turn"), F.coalesce("first.n", F.lit(0)).alias("n"), hash32(F.concat(F.lit(f"{seed}/"), key)).alias("h"),
-        F.col("_f").cast("string").alias("grp"), "n_files", F.col("cells.c").alias("c"), F.col("cells.n").alias("k"))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got, got_files = {s: dict.fromkeys(totals, 0) for s in ratios}, dict.fromkeys(ratios, 0)
-
-        def gain(s: str, cells: list[tuple[int, int]], r: float) -> float:
-            need = sum((r * totals[c] - got[s][c]) / max(r * totals[c], 1) * n for c, n in cells)
-            return need + (r * n_files - got_files[s]) / max(r * n_files, 1)
-
-        for batch in batches:
-            out = []
-            for files, classes, counts in zip(batch["n_files"], batch["c"], batch["k"], strict=True):
-                cells = [] if classes is None else list(zip(map(int, classes), map(int, counts), strict=True))
-                to = max(ratios, key=lambda s: gain(s, cells, ratios[s])) if cells else min(ratios, key=lambda s: got_files[s] / ratios[s])
-                out.append(to)
-                got_files[to] += int(files)
-                for c, n in cells:
-                    got[to][c] += n
-            yield pd.DataFrame({"grp": batch["grp"], "split": out})
-
-    return rows.repartition(1).sortWithinPartitions("turn", "n", "h", "grp").mapInPandas(place, "grp string, split string")
-
-
 def denoised(annotations: DataFrame, suspects: DataFrame, least_iou: float = 0.5) -> DataFrame:
     """Annotations that no suspect of the same image and class overlaps by least_iou or more."""
     s = suspects.select(F.col("image_id").alias("_i"), F.col("category_id").alias("_c"), *(F.col(k).alias(f"s_{k}") for k in "xywh"))

@@ -18,18 +18,23 @@ AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**
 MAX_DETS = (1, 10, 100)
 
 
-def missed(annotations: DataFrame, detections: DataFrame, least_score: float = 0.15, least_iou: float = 0.1) -> DataFrame:
-    """(model, annotation) of annotations that no detection of the same image and class hits."""
-    models = detections.select("model").distinct()
-    a = annotations.join(F.broadcast(models)).withColumnsRenamed({k: f"a_{k}" for k in "xywh"})
+def missed(annotations: DataFrame, detections: DataFrame, models: Sequence, least_score: float = 0.15, least_iou: float = 0.1) -> DataFrame:
+    """(model, annotation) of annotations that no detection of the same image and class hits.
+
+    A model of the list without any detection misses all. Rows with iscrowd set, if there is such a column, are
+    left out.
+    """
+    single = annotations.where(F.coalesce("iscrowd", F.lit(0)) == 0) if "iscrowd" in annotations.columns else annotations
+    a = single.withColumn("model", F.explode(F.array(*map(F.lit, models)))).withColumnsRenamed({k: f"a_{k}" for k in "xywh"})
     d = detections.where(F.coalesce("score", F.lit(0.0)) >= least_score).select(F.col("model").alias("_m"), F.col("image_id").alias("_i"), F.col("category_id").alias("_c"), *(F.col(k).alias(f"d_{k}") for k in "xywh"))
     same = (F.col("model") == F.col("_m")) & (F.col("image_id") == F.col("_i")) & (F.col("category_id") == F.col("_c"))
     return a.join(d, same & (box_iou("a_", "d_") >= least_iou), "left_anti").select("model", "image_id", "ann_key", "category_id")
 
 
-def universal_misses(annotations: DataFrame, detections: DataFrame, n_models: int, **cut) -> DataFrame:
-    """Annotations that all n_models miss."""
-    return missed(annotations, detections, **cut).groupBy("image_id", "ann_key", "category_id").agg(F.count_distinct("model").alias("n")).where(F.col("n") == n_models).drop("n")
+def universal_misses(annotations: DataFrame, detections: DataFrame, models: Sequence, **cut) -> DataFrame:
+    """Annotations that all models of the list miss."""
+    lost = missed(annotations, detections, models, **cut).groupBy("image_id", "ann_key", "category_id").agg(F.count_distinct("model").alias("n"))
+    return lost.where(F.col("n") == len(models)).drop("n")
 
 
 def miss_shares(annotations: DataFrame, universal: DataFrame) -> DataFrame:
@@ -40,10 +45,10 @@ def miss_shares(annotations: DataFrame, universal: DataFrame) -> DataFrame:
     return total.join(lost, "category_id", "left").select("category_id", "total", n.alias("universal"), (n / F.col("total")).alias("share"))
 
 
-def probe_recovery(annotations: DataFrame, detections: DataFrame, probe: int, n_others: int) -> DataFrame:
-    """Per class: misses of all models but the probe, and how many of them the probe finds."""
-    universal = universal_misses(annotations, detections.where(F.col("model") != probe), n_others)
-    again = missed(annotations, detections.where(F.col("model") == probe)).select("ann_key", F.lit(1).alias("_lost"))
+def probe_recovery(annotations: DataFrame, detections: DataFrame, probe: int, others: Sequence[int]) -> DataFrame:
+    """Per class: misses of all other models, and how many of them the probe finds."""
+    universal = universal_misses(annotations, detections, others)
+    again = missed(annotations, detections, [probe]).select("ann_key", F.lit(1).alias("_lost"))
     return universal.join(again, "ann_key", "left").groupBy("category_id").agg(F.count(F.lit(1)).alias("universal"), F.count_if(F.col("_lost").isNull()).alias("recovered"))
 
 
@@ -54,7 +59,10 @@ def top_detections(detections: DataFrame, k: int) -> DataFrame:
 
 
 def _match(gt: list[tuple], det: list[tuple], areas: list[tuple[float, float]]) -> list[list[int]]:
-    """For each detection (x, y, w, h), best first: by area range and threshold 1 if matched, 0 if not, -1 if to be ignored."""
+    """For each detection (x, y, w, h), best first: by area range and threshold 1 if matched, 0 if not, -1 if to be ignored.
+
+    The rules, and their order, are those of the public COCO matcher.
+    """
     iou = []
     for x, y, w, h in det:
         row = []

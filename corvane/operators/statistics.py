@@ -21,12 +21,16 @@ def draws(images: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
 
 
 def bootstrap_mean(values: DataFrame, resamples: DataFrame, value: str) -> DataFrame:
-    """Mean over rows and its 95 percent interval when images are resampled; records are weighted, not repeated."""
+    """Mean over rows and its 95 percent interval when images are resampled; records are weighted, not repeated.
+
+    With values of fewer than two images the interval and what it says are null.
+    """
     per = values.where(F.col(value).isNotNull()).groupBy("image_id").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
     means = resamples.join(per, "image_id").groupBy("b").agg((F.sum(F.col("w") * F.col("_s")) / F.sum(F.col("w") * F.col("_n"))).alias("_m"))
     interval = means.agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
-    whole = per.agg((F.sum("_s") / F.sum("_n")).alias("mean"), F.sum("_n").alias("n"))
-    return whole.join(F.broadcast(interval)).withColumn("separable", (F.col("low") > 0) | (F.col("high") < 0))
+    whole = per.agg((F.sum("_s") / F.sum("_n")).alias("mean"), F.sum("_n").alias("n"), F.count(F.lit(1)).alias("_images"))
+    bound = lambda k: F.when(F.col("_images") >= 2, F.col(k))
+    return whole.join(F.broadcast(interval)).withColumns({"low": bound("low"), "high": bound("high")}).drop("_images").withColumn("separable", (F.col("low") > 0) | (F.col("high") < 0))
 
 
 def paired(a: DataFrame, b: DataFrame, keys: list[str], value: str, sign: int = 1) -> DataFrame:

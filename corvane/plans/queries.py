@@ -31,7 +31,7 @@ def registered(sql: str | None = None):
 _IOU = """(CASE WHEN a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) > 0
  THEN greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) /
  (a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))) ELSE 0 END)"""
-_MISSED = f"""SELECT m.model, a.image_id, a.ann_key, a.category_id FROM v_ann a, (SELECT DISTINCT model FROM v_det) m
+_MISSED = f"""SELECT m.model, a.image_id, a.ann_key, a.category_id FROM v_ann a, (SELECT unnest(range(0, 5)) AS model) m
  WHERE NOT EXISTS (SELECT 1 FROM v_det b WHERE b.model = m.model AND b.image_id = a.image_id AND b.category_id = a.category_id AND b.score >= 0.15 AND {_IOU} >= 0.1)"""
 
 
@@ -41,14 +41,14 @@ SELECT t.category_id, t.total, coalesce(u.n, 0) AS universal, coalesce(u.n, 0) /
 FROM (SELECT category_id, count(*) AS total FROM v_ann GROUP BY 1) t LEFT JOIN (SELECT category_id, count(*) AS n FROM universal GROUP BY 1) u USING (category_id)""")
 def universal_misses(spark: SparkSession, d: str) -> DataFrame:
     a = views.annotations(spark, d)
-    return evaluation.miss_shares(a, evaluation.universal_misses(a, views.detections(spark, d), views.N_MODELS))
+    return evaluation.miss_shares(a, evaluation.universal_misses(a, views.detections(spark, d), range(views.N_MODELS)))
 
 
 @registered(f"""WITH missed AS ({_MISSED}),
 universal AS (SELECT ann_key, category_id FROM missed WHERE model <> 4 GROUP BY image_id, ann_key, category_id HAVING count(DISTINCT model) = 4)
 SELECT category_id, count(*) AS universal, count(*) FILTER (WHERE ann_key NOT IN (SELECT ann_key FROM missed WHERE model = 4)) AS recovered FROM universal GROUP BY 1""")
 def probe_recovery(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.probe_recovery(views.annotations(spark, d), views.detections(spark, d), 4, 4)
+    return evaluation.probe_recovery(views.annotations(spark, d), views.detections(spark, d), 4, range(4))
 
 
 @registered("""SELECT category_id, count(*) FILTER (WHERE split = 'train') AS train_n, count(DISTINCT image_id) FILTER (WHERE split = 'train') AS train_images,
@@ -195,8 +195,8 @@ def reconciliation(spark: SparkSession, d: str) -> DataFrame:
     return audit.reconciled(views.annotations(spark, d), views.detections(spark, d).where("model = 0"))
 
 
-@registered("""WITH k AS (SELECT split, regexp_extract(file_name, '(?i)^(?:[0-9a-f]{8}-)?(.+?)_(?:jpg|jpeg|png)\\.rf\\.[0-9a-f]+', 1) AS source FROM v_img),
-p AS (SELECT split, lower(trim(regexp_replace(regexp_replace(regexp_replace(source, '\\d{4}[-_]?\\d{2}[-_]?\\d{2}.*$', ''), '(?i)[_-]?\\d{1,3}yo.*$', ''), '[_-]?\\d{6,}.*$', ''), '_- ')) AS patient_key FROM k)
+@registered("""WITH k AS (SELECT split, regexp_extract(regexp_replace(file_name, '\\.[^.]*$', ''), '(?i)^(?:[0-9a-f]{8}-)?(.*?)_jpg\\.rf\\.[0-9a-f]+$', 1) AS source FROM v_img),
+p AS (SELECT split, lower(trim(regexp_replace(regexp_replace(regexp_replace(source, '[_-]?\\d{4}[-_]?\\d{2}[-_]?\\d{2}.*$', ''), '(?i)[_-]?\\d{1,3}\\s*yo.*$', ''), '[_-]?\\d{6,}.*$', ''), '_- ')) AS patient_key FROM k)
 SELECT patient_key, count(DISTINCT split) AS n_splits, count(*) AS n_files FROM p GROUP BY 1 HAVING count(DISTINCT split) > 1""")
 def shared_patients(spark: SparkSession, d: str) -> DataFrame:
     return audit.shared_keys(audit.identities(views.images(spark, d)), "patient_key")
@@ -241,16 +241,11 @@ def quota_split(spark: SparkSession, d: str) -> DataFrame:
     return corpus.quota_split(views.annotations(spark, d), views.images(spark, d), "patient")
 
 
-@registered()
-def greedy_split(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.greedy_split(views.annotations(spark, d), views.images(spark, d), "patient")
-
-
 @registered(f"""WITH missed AS ({_MISSED}), suspects AS (SELECT a.* FROM v_ann a WHERE a.ann_key IN (SELECT ann_key FROM missed GROUP BY 1 HAVING count(DISTINCT model) = 5))
 SELECT a.image_id, a.ann_key, a.category_id FROM v_ann a WHERE NOT EXISTS (SELECT 1 FROM suspects b WHERE b.image_id = a.image_id AND b.category_id = a.category_id AND {_IOU} >= 0.5)""")
 def denoised_labels(spark: SparkSession, d: str) -> DataFrame:
     a = views.annotations(spark, d)
-    lost = evaluation.universal_misses(a, views.detections(spark, d), views.N_MODELS).select("ann_key")
+    lost = evaluation.universal_misses(a, views.detections(spark, d), range(views.N_MODELS)).select("ann_key")
     return corpus.denoised(a, a.join(lost, "ann_key", "left_semi")).select("image_id", "ann_key", "category_id")
 
 

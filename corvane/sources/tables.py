@@ -29,7 +29,7 @@ def read_class_names(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("_at", "_line"))
     parsed = lines.select("_at", "_line", F.regexp_extract("_line", r"^\s*(\d+)\s*:\s*(.+?)\s*$", 1).alias("_k"), F.regexp_extract("_line", r"^\s*(\d+)\s*:\s*(.+?)\s*$", 2).alias("_v"))
     keyed = parsed.withColumn("_any", F.max(F.col("_k") != "").over(Window.partitionBy()))
-    named = keyed.select(F.when(F.col("_any"), F.when(F.col("_k") != "", F.col("_k").cast("long"))).otherwise(F.col("_at").cast("long")).alias("_n"), F.when(F.col("_any"), F.col("_v")).otherwise(F.btrim("_line")).alias("name"))
+    named = keyed.select(F.when(F.col("_any"), F.when(F.col("_k") != "", F.col("_k").cast("long"))).otherwise(F.col("_at").cast("long")).alias("_n"), F.btrim(F.when(F.col("_any"), F.col("_v")).otherwise(F.btrim("_line")), F.lit("'\"")).alias("name"))
     return named.where(F.col("_n").isNotNull() & (F.col("name") != "")).select(F.row_number().over(Window.orderBy("_n")).cast("long").alias("category_id"), "name")
 
 
