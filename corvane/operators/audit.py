@@ -132,3 +132,9 @@ def reconciled(left: DataFrame, right: DataFrame, key: str = "category_id") -> D
     a, b = left.groupBy(key).agg(F.count(F.lit(1)).alias("n_left")), right.groupBy(key).agg(F.count(F.lit(1)).alias("n_right"))
     both = a.join(b, key, "full_outer").select(key, F.coalesce("n_left", F.lit(0)).alias("n_left"), F.coalesce("n_right", F.lit(0)).alias("n_right"))
     return both.where("n_left <> n_right")
+
+
+def distribution(rows: DataFrame, by: list[str], value: str, threshold: float) -> DataFrame:
+    """Least, greatest and mean value, exact percentiles, and how many reach the threshold."""
+    p = lambda q: F.percentile(value, q)
+    return rows.groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.count_if(F.col(value) >= threshold).alias("n_above"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.geometry import box_iou, box_polygon
+from corvane.functions.geometry import box_iou, box_polygon, polygon_bbox, scaled, shoelace_area
 from corvane.functions.keys import hash32, uniform
 
 
@@ -149,3 +149,50 @@ def paste_plan(annotations: DataFrame, images: DataFrame, max_count: int, copies
     free = placed.join(hosts, (placed["host_id"] == hosts["host_id"]) & (box_iou("p_", "b_") > 0.1), "left_anti")
     first = F.row_number().over(Window.partitionBy("ann_key", "copy").orderBy("try"))
     return free.withColumn("_r", first).where("_r = 1").select("ann_key", "category_id", "copy", "host_id", "try", "p_x", "p_y", "p_w", "p_h")
+
+
+def converted(lines: DataFrame, n_classes: int) -> DataFrame:
+    """Annotations of well-formed label lines (line, width, height): category_id (from 1), polygon in pixels, clamped to the image, bbox and area.
+
+    Lines with a bad class, fewer than three points, an odd number of values or one that is no number are left
+    out; an area below 1 marks those that a converter drops.
+    """
+    parts = F.split(F.btrim("line"), r"\s+")
+    numbers = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda v: v.try_cast("double"))
+    typed = lines.where(F.btrim("line") != "").withColumns({"_c": F.get(parts, 0).try_cast("int"), "_v": numbers})
+    good = typed.where(F.col("_c").between(0, n_classes - 1) & (F.size("_v") >= 6) & (F.size("_v") % 2 == 0) & ~F.exists("_v", lambda v: v.isNull()))
+    placed = good.withColumns({"category_id": F.col("_c") + 1, "polygon": scaled(F.col("_v"), F.col("width"), F.col("height"))})
+    return placed.withColumns({"bbox": polygon_bbox(F.col("polygon")), "area": shoelace_area(F.col("polygon"))}).drop("_c", "_v")
+
+
+def verified_split(images: DataFrame, annotations: DataFrame, group: str, train: str = "train") -> DataFrame:
+    """One row: groups found in more than one split, and classes that the train split has not. A good split has neither."""
+    shared = images.groupBy(group).agg(F.count_distinct("split").alias("_n")).agg(F.count_if(F.col("_n") > 1).alias("n_shared"))
+    in_train = annotations.join(images.where(F.col("split") == train), "image_id", "left_semi").select("category_id").distinct()
+    absent = annotations.select("category_id").distinct().join(in_train, "category_id", "left_anti").agg(F.count(F.lit(1)).alias("n_absent_in_train"))
+    return shared.join(F.broadcast(absent))
+
+
+def largest_of_class(annotations: DataFrame, k: int) -> DataFrame:
+    """Each class's k largest annotations, by class and falling area."""
+    area = F.col("w") * F.col("h")
+    ranked = annotations.withColumns({"area": area, "_r": F.row_number().over(Window.partitionBy("category_id").orderBy(F.desc(area), "ann_key"))})
+    return ranked.where(F.col("_r") <= k).orderBy("category_id", F.desc("area"), "ann_key").select("category_id", "ann_key", "area")
+
+
+def shift_summary(weights: DataFrame) -> DataFrame:
+    """Least and greatest logit shift over classes, their spread, and how often the commonest class is the rarest seen one."""
+    return weights.agg(F.min("logit_shift").alias("least_shift"), F.max("logit_shift").alias("most_shift"), (F.max("logit_shift") - F.min("logit_shift")).alias("spread"), (F.max("n") / F.min(F.when(F.col("n") > 0, F.col("n")))).alias("imbalance"))
+
+
+def scheme_ratios(weights: DataFrame, head_min: int, tail_max: int, schemes=("effective_number", "inverse_sqrt", "none")) -> DataFrame:
+    """Of each scheme the greatest weight over the least, and mean weights of head and tail classes; `none` weighs all alike."""
+    long = weights.withColumn("none", F.lit(1.0)).unpivot(["category_id", "n"], list(schemes), "scheme", "weight")
+    mean = lambda cond: F.avg(F.when(cond, F.col("weight")))
+    return long.groupBy("scheme").agg((F.max("weight") / F.min("weight")).alias("ratio"), mean(F.col("n") > head_min).alias("head"), mean(F.col("n") < tail_max).alias("tail"))
+
+
+def adjusted_scores(detections: DataFrame, weights: DataFrame, least: float = 1e-4) -> DataFrame:
+    """detections with adjusted: scores, kept `least` from 0 and 1, whose logits are moved by their class's shift."""
+    s = F.greatest(F.lit(least), F.least(F.lit(1 - least), F.col("score")))
+    return detections.join(F.broadcast(weights.select("category_id", "logit_shift")), "category_id").withColumn("adjusted", 1 / (1 + F.exp(-(F.ln(s / (1 - s)) + F.col("logit_shift"))))).drop("logit_shift")

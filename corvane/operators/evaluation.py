@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.geometry import box_iou
+from corvane.operators.corpus import size_group
 
 #: The public COCO definition: thresholds, area ranges in square pixels, recall points.
 IOU_THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
@@ -244,3 +245,39 @@ def endpoint_stats(endpoint: DataFrame) -> DataFrame:
         F.avg(F.when(~pos, F.col("p"))).alias("false_positive_area"),
         F.avg(F.when(~pos, (F.col("p") > 0).cast("double"))).alias("false_positive_rate"),
     )
+
+
+def macro_micro(cases: DataFrame) -> DataFrame:
+    """Mean dice and iou over classes (macro) and over cases (micro)."""
+    per = cases.groupBy("category_id").agg(F.sum("dice").alias("_d"), F.sum("iou").alias("_i"), F.count(F.lit(1)).alias("_n"))
+    both = per.agg(F.avg(F.col("_d") / F.col("_n")).alias("_md"), F.avg(F.col("_i") / F.col("_n")).alias("_mi"), (F.sum("_d") / F.sum("_n")).alias("_sd"), (F.sum("_i") / F.sum("_n")).alias("_si"))
+    rows = F.array(F.struct(F.lit("macro").alias("kind"), F.col("_md").alias("dice"), F.col("_mi").alias("iou")), F.struct(F.lit("micro").alias("kind"), F.col("_sd").alias("dice"), F.col("_si").alias("iou")))
+    return both.select(F.explode(rows).alias("_r")).select("_r.*")
+
+
+def group_means(values: DataFrame, counts: DataFrame, head_min: int = 5000, tail_max: int = 100) -> DataFrame:
+    """Mean of class values (category_id, value) in head, mid and tail classes by train count; nulls are skipped."""
+    met = values.join(counts.select("category_id", "train_n"), "category_id").withColumn("grp", size_group("train_n", head_min, tail_max))
+    return met.groupBy("grp").agg(F.avg("value").alias("mean"), F.count("value").alias("n_classes"))
+
+
+def class_report(ap: DataFrame, counts: DataFrame, head_min: int = 5000, tail_max: int = 100, least: int = 10) -> DataFrame:
+    """Rows of a report, commonest class first: its group by train count, counts, ap, and whether too few test instances make it unstable."""
+    met = ap.join(counts.select("category_id", "train_n", F.col("test_n").alias("eval_n")), "category_id").withColumns({"grp": size_group("train_n", head_min, tail_max), "unstable": F.col("eval_n") < least})
+    return met.orderBy(F.desc("train_n"), "category_id").select("model", "category_id", "grp", "train_n", "eval_n", "ap", "unstable")
+
+
+def centres_in_boxes(boxes: DataFrame, points: DataFrame, labels: dict) -> DataFrame:
+    """Each box's multi-label bits: whether a point (image_id, px, py, category_id) of a kind lies in it, borders included.
+
+    labels: name and condition on the point's class (_c). Boxes without a point have zeros.
+    """
+    p = points.select(F.col("image_id").alias("_i"), "px", "py", F.col("category_id").alias("_c"))
+    inside = (F.col("image_id") == F.col("_i")) & F.col("px").between(F.col("x"), F.col("x") + F.col("w")) & F.col("py").between(F.col("y"), F.col("y") + F.col("h"))
+    return boxes.select("image_id", "ann_key", *"xywh").join(p, inside, "left").groupBy("image_id", "ann_key").agg(*(F.coalesce(F.max(c.cast("int")), F.lit(0)).alias(k) for k, c in labels.items()))
+
+
+def area_ratios(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Per class of both corpora: mean box area of the left over that of the right."""
+    mean = lambda a, name: a.groupBy("category_id").agg(F.avg(F.col("w") * F.col("h")).alias(name))
+    return mean(left, "_l").join(mean(right, "_r"), "category_id").select("category_id", (F.col("_l") / F.col("_r")).alias("ratio"))

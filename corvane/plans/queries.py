@@ -407,3 +407,6 @@ def polygon_areas(spark: SparkSession, d: str) -> DataFrame:
     c = lambda v: F.col(v).cast("double")
     polygon = F.array(c("x"), c("y"), c("x") + c("w"), c("y"), c("x") + c("w"), c("y") + c("h"), c("x"), c("y") + c("h"))
     return views.annotations(spark, d).select("ann_key", shoelace_area(polygon).alias("area"), uniform(F.col("ann_key")).alias("u"))
+
+
+from corvane.plans import reports  # noqa: E402, F401  registers its queries here
