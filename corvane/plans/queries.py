@@ -131,7 +131,7 @@ def label_lines(spark: SparkSession, d: str) -> DataFrame:
 
 _LINES = """lines AS (SELECT image_id, ann_key, width, height, CASE k WHEN 0 THEN 'x ' || box WHEN 1 THEN c || ' ' || x0 || ' ' || y0 WHEN 2 THEN '99 ' || box WHEN 3 THEN concat_ws(' ', c, x0, 'nan?', x1, y0, x1, y1)
  WHEN 4 THEN concat_ws(' ', c, x0, y0, x0, y0, x0, y0) WHEN 5 THEN concat_ws(' ', c, '1.200000', y0, x1, y0, x1, y1) WHEN 6 THEN '  ' ELSE c || ' ' || box END AS line
- FROM (SELECT *, concat_ws(' ', x0, y0, x1, y0, x1, y1, x0, y1) AS box FROM (SELECT image_id, ann_key, width, height, category_id::VARCHAR AS c, format('{:.6f}', x / width) AS x0, format('{:.6f}', y / height) AS y0, format('{:.6f}', (x + w) / width) AS x1, format('{:.6f}', (y + h) / height) AS y1,
+ FROM (SELECT *, concat_ws(' ', x0, y0, x1, y0, x1, y1, x0, y1) AS box FROM (SELECT image_id, ann_key, width, height, category_id::VARCHAR AS c, format('{:.6f}', x / width + 1e-9) AS x0, format('{:.6f}', y / height + 1e-9) AS y0, format('{:.6f}', (x + w) / width + 1e-9) AS x1, format('{:.6f}', (y + h) / height + 1e-9) AS y1,
   ('0x' || substr(md5('l/' || ann_key), 1, 8))::BIGINT % 40 AS k FROM v_ann JOIN v_img USING (image_id))))"""
 
 
