@@ -181,8 +181,8 @@ prints AS (SELECT file_name, split, t, list_sum(list_transform(range(1, 64), lam
 @registered(f"""WITH {_PRINTS}, pairs AS (SELECT a.file_name AS left_file, b.file_name AS right_file, bit_count(xor(a.dhash, b.dhash))::INTEGER AS hamming,
  (list_dot_product(a.t, b.t) - list_sum(a.t) * list_sum(b.t) / 64) / sqrt((list_dot_product(a.t, a.t) - list_sum(a.t) * list_sum(a.t) / 64) * (list_dot_product(b.t, b.t) - list_sum(b.t) * list_sum(b.t) / 64)) AS ncc
  FROM prints a, prints b WHERE a.split = 'test' AND b.split <> 'test' AND bit_count(xor(a.dhash, b.dhash)) <= 5)
-SELECT left_file, arg_min(right_file, (hamming, right_file)) AS right_file, min(hamming) AS hamming, count(*) AS n_pairs, round(arg_min(ncc, (hamming, right_file)), 6) AS ncc,
- CASE WHEN arg_min(ncc, (hamming, right_file)) >= 0.98 THEN 'confirmed' ELSE 'rejected' END AS verdict FROM pairs GROUP BY 1""")
+SELECT left_file, arg_min(right_file, o) AS right_file, arg_min(hamming, o) AS hamming, count(*) AS n_pairs, round(arg_min(ncc, o), 6) AS ncc, CASE WHEN min(o).r THEN 'rejected' ELSE 'confirmed' END AS verdict
+FROM (SELECT *, {{'r': NOT coalesce(ncc >= 0.98, true), 'h': hamming, 'f': right_file}} AS o FROM pairs) GROUP BY 1""")
 def near_duplicate_images(spark: SparkSession, d: str) -> DataFrame:
     p = fingerprints(spark, d)
     pairs = audit.hamming_pairs(p.where("split = 'test'"), p.where("split <> 'test'"))
