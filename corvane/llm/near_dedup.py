@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     so a pair that few of these favour is lost more often. The binomial sum over how many do: ten trees miss a
     pair at 80 percent once in ten million times where roots are small, and 0.6, 2.5, 5.0 and 10.9 times in
     100,000 where all its nodes branch once, twice, three and six times (0.5, 1.6, 2.7 and 4.4 if no token were
-    shared). `small` is the number of comparisons that cost about as much as branching a document.
+    shared). `small` is an estimate of the comparisons that cost as much as branching a document.
 
     Nulls and ties: rows without id are linked with nothing, have a null component and are kept. Rows of one
     id are one document, linked by whatever any of them is like. Null and empty texts have no words. An empty
