@@ -87,6 +87,16 @@ def confirmed_pairs(pairs: DataFrame, thumbs: DataFrame, least: float = 0.98) ->
     return scored.withColumn("verdict", F.when(F.coalesce(F.col("ncc") >= least, F.lit(True)), "confirmed").otherwise("rejected"))
 
 
+def verdict_counts(confirmed: DataFrame) -> DataFrame:
+    """One row: pairs confirmed, rejected, and unscored, which count as confirmed as well."""
+    return confirmed.agg(F.count_if(F.col("verdict") == "confirmed").alias("confirmed"), F.count_if(F.col("verdict") == "rejected").alias("rejected"), F.count_if(F.col("ncc").isNull()).alias("unscored"))
+
+
+def apart_from_groups(files: DataFrame, groups: DataFrame) -> DataFrame:
+    """files (sha) whose content no other file has, those that a search for near duplicates begins with."""
+    return files.join(groups.select("sha"), "sha", "left_anti")
+
+
 def confirmed_partners(pairs: DataFrame, thumbs: DataFrame, least: float = 0.98) -> DataFrame:
     """Each left file's nearest confirmed partner, or its nearest one if all are rejected, ties to the first name, with ncc, verdict and the number of its pairs."""
     counted = pairs.withColumn("n_pairs", F.count(F.lit(1)).over(Window.partitionBy("left_file")))
@@ -127,10 +137,11 @@ def anonymised(files: DataFrame) -> DataFrame:
     return clean.withColumns({"is_safe": F.rlike("clean", F.lit(SAFE)), "n_same": F.count(F.lit(1)).over(Window.partitionBy("clean"))})
 
 
-def reconciled(left: DataFrame, right: DataFrame, key: str = "category_id") -> DataFrame:
-    """Keys whose counts differ between two tables."""
-    a, b = left.groupBy(key).agg(F.count(F.lit(1)).alias("n_left")), right.groupBy(key).agg(F.count(F.lit(1)).alias("n_right"))
-    both = a.join(b, key, "full_outer").select(key, F.coalesce("n_left", F.lit(0)).alias("n_left"), F.coalesce("n_right", F.lit(0)).alias("n_right"))
+def reconciled(left: DataFrame, right: DataFrame, keys: list[str], count: Column | None = None) -> DataFrame:
+    """Keys whose counts (of rows, or another aggregate) differ between two tables."""
+    count = F.count(F.lit(1)) if count is None else count
+    a, b = left.groupBy(*keys).agg(count.alias("n_left")), right.groupBy(*keys).agg(count.alias("n_right"))
+    both = a.join(b, keys, "full_outer").select(*keys, F.coalesce("n_left", F.lit(0)).alias("n_left"), F.coalesce("n_right", F.lit(0)).alias("n_right"))
     return both.where("n_left <> n_right")
 
 

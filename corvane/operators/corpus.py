@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.geometry import box_iou, box_polygon, polygon_bbox, scaled, shoelace_area
 from corvane.functions.keys import hash32, uniform
+from corvane.functions.ranges import numbered, running_sums
 
 
 def size_group(n: str, head_min: int = 5000, tail_max: int = 100):
@@ -80,9 +79,10 @@ def fraction_subset(annotations: DataFrame, images: DataFrame, fraction: float,
     freq = annotations.groupBy("category_id").agg(F.count_distinct("image_id").alias("f"))
     rare = annotations.join(F.broadcast(freq), "category_id").groupBy("image_id").agg(F.min_by("category_id", F.struct("f", "category_id")).alias("stratum"))
     named = images.select("image_id").join(rare, "image_id", "left").select("image_id", F.coalesce("stratum", F.lit(-1).cast("long")).alias("stratum"))
-    w = Window.partitionBy("stratum")
-    ranked = named.withColumns({"_n": F.count(F.lit(1)).over(w), "_r": F.row_number().over(w.orderBy(F.md5(F.concat(F.lit(f"{seed}/"), F.col("image_id"))), "image_id"))})
-    return ranked.where(F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("_n") * fraction))).select("image_id", "stratum")
+    sizes = named.groupBy("stratum").agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * fraction)).alias("_most"))
+    order = [F.md5(F.concat(F.lit(f"{seed}/"), F.col("image_id"))), "image_id"]
+    ranked = running_sums(named, ["stratum"], order, {"_r": F.lit(1).cast("long")})
+    return ranked.join(F.broadcast(sizes), "stratum").where(F.col("_r") <= F.col("_most")).select("image_id", "stratum")
 
 
 def quota_split(annotations: DataFrame, images: DataFrame, group: str, ratios=(0.7, 0.15, 0.15), seed: int = 0) -> DataFrame:
@@ -91,11 +91,12 @@ def quota_split(annotations: DataFrame, images: DataFrame, group: str, ratios=(0
     freq = annotations.groupBy("category_id").agg(F.count(F.lit(1)).alias("f"))
     rare = named.join(F.broadcast(freq), "category_id").groupBy(group).agg(F.min_by("category_id", F.struct("f", "category_id")).alias("stratum"))
     sized = images.groupBy(group).agg(F.count(F.lit(1)).alias("n_files")).join(rare, group, "left").withColumn("stratum", F.coalesce("stratum", F.lit(-1).cast("long")))
-    w = Window.partitionBy("stratum")
-    before = F.sum("n_files").over(w.orderBy(F.md5(F.concat(F.lit(f"{seed}/"), F.col(group))), group).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_files")
-    share = before / F.sum("n_files").over(w)
+    order = [F.md5(F.concat(F.lit(f"{seed}/"), F.col(group))), group]
+    summed = running_sums(sized, ["stratum"], order, {"_upto": F.col("n_files")})
+    totals = sized.groupBy("stratum").agg(F.sum("n_files").alias("_all"))
+    share = (F.col("_upto") - F.col("n_files")) / F.col("_all")
     split = F.when(share < ratios[0], "train").when(share < ratios[0] + ratios[1], "valid").otherwise("test")
-    return sized.select(group, "stratum", "n_files", split.alias("split"))
+    return summed.join(F.broadcast(totals), "stratum").select(group, "stratum", "n_files", split.alias("split"))
 
 
 def denoised(annotations: DataFrame, suspects: DataFrame, least_iou: float = 0.5) -> DataFrame:
@@ -121,12 +122,14 @@ def pseudo_labels(detections: DataFrame, images: DataFrame, least_score: float =
 def hold_out(images: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """image_id and split: max(1, floor(n * fraction)) images in hashed order go to valid.
 
-    The cut is the hash of that rank.
+    The cut is the hash of that rank, looked for only among hashes that share the first four digits with it.
     """
-    hashed = images.select("image_id", F.md5(F.concat(F.lit(f"{seed}/"), F.col("image_id"))).alias("_h"))
-    n = images.count()
-    k = max(1, math.floor(n * fraction))
-    cut = hashed.orderBy("_h").limit(k).agg(F.max("_h").alias("_cut"))
+    hashed = images.select("image_id", F.md5(F.concat(F.lit(f"{seed}/"), F.col("image_id"))).alias("_h")).withColumn("_p", F.substring("_h", 1, 4))
+    upto, total = F.sum("_n").over(Window.orderBy("_p")), F.sum("_n").over(Window.partitionBy())
+    heads = hashed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumns({"_upto": upto, "_k": F.greatest(F.lit(1), F.floor(total * fraction))})
+    edge = heads.where("_upto >= _k and _upto - _n < _k").select("_p", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_need"))
+    near = hashed.join(F.broadcast(edge), "_p").withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_h")))
+    cut = near.where("_r = _need").select(F.col("_h").alias("_cut"))
     return hashed.join(F.broadcast(cut)).select("image_id", F.when(F.col("_h") <= F.col("_cut"), "valid").otherwise("train").alias("split"))
 
 
@@ -137,11 +140,12 @@ def paste_plan(annotations: DataFrame, images: DataFrame, max_count: int, copies
     """
     counts = annotations.groupBy("category_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= max_count)
     rare = annotations.join(F.broadcast(counts.select("category_id")), "category_id").where((F.col("w") >= 4) & (F.col("h") >= 4))
-    n_hosts = images.count()
+    hosts_n = images.agg(F.count(F.lit(1)).alias("_hosts"))
     u = lambda what: uniform(F.concat(F.lit(f"{seed}/{what}/"), F.col("ann_key"), F.lit("/"), F.col("copy"), F.lit("/"), F.col("try")))
-    numbered = images.withColumn("_host", F.row_number().over(Window.orderBy("image_id")) - 1).select(F.col("image_id").alias("host_id"), "_host", "width", "height")
-    planned = rare.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).withColumn("_host", F.floor(uniform(F.concat(F.lit(f"{seed}/host/"), F.col("ann_key"), F.lit("/"), F.col("copy"))) * n_hosts))
-    tried = planned.join(numbered, "_host").withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(tries))))
+    at = numbered(images.select(F.col("image_id").alias("host_id"), "width", "height"), ["host_id"], "_host").withColumn("_host", F.col("_host") - 1)
+    drawn = F.floor(uniform(F.concat(F.lit(f"{seed}/host/"), F.col("ann_key"), F.lit("/"), F.col("copy"))) * F.col("_hosts"))
+    planned = rare.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).join(F.broadcast(hosts_n)).withColumn("_host", drawn)
+    tried = planned.join(at, "_host").withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(tries))))
     scale = 0.8 + 0.4 * uniform(F.concat(F.lit(f"{seed}/scale/"), F.col("ann_key"), F.lit("/"), F.col("copy")))
     sized = tried.withColumns({"p_w": F.floor(F.col("w") * scale), "p_h": F.floor(F.col("h") * scale)}).where("p_w < width and p_h < height")
     placed = sized.withColumns({"p_x": F.floor(u("x") * (F.col("width") - F.col("p_w"))), "p_y": F.floor(u("y") * (F.col("height") - F.col("p_h")))})
@@ -196,3 +200,20 @@ def adjusted_scores(detections: DataFrame, weights: DataFrame, least: float = 1e
     """detections with adjusted: scores, kept `least` from 0 and 1, whose logits are moved by their class's shift."""
     s = F.greatest(F.lit(least), F.least(F.lit(1 - least), F.col("score")))
     return detections.join(F.broadcast(weights.select("category_id", "logit_shift")), "category_id").withColumn("adjusted", 1 / (1 + F.exp(-(F.ln(s / (1 - s)) + F.col("logit_shift"))))).drop("logit_shift")
+
+
+def weighted_draws(rows: DataFrame, weights: DataFrame, uniform: Column) -> DataFrame:
+    """rows with drawn: a class of weights (category_id, cumulative) that `uniform` picks; classes of probability 0 are never picked.
+
+    The classes' table goes to every row as one array, so it must be a table of classes.
+    """
+    table = weights.agg(F.array_sort(F.collect_list(F.struct("cumulative", "category_id"))).alias("_table"))
+    met = rows.withColumn("_u", uniform).join(F.broadcast(table))
+    return met.withColumn("drawn", F.get(F.filter("_table", lambda c: c["cumulative"] > F.col("_u")), 0)["category_id"]).drop("_table", "_u")
+
+
+def pasted_corpus(images: DataFrame, pasted: DataFrame, train: str = "train") -> DataFrame:
+    """images and the pasted copies (image_id, source_id) that come to the train split, with provenance; no other split gets one."""
+    kept = pasted.join(images.where(F.col("split") == train).select("image_id"), "image_id", "left_semi")
+    added = kept.select("image_id", F.lit(train).alias("split"), F.lit("pasted").alias("provenance"), "source_id")
+    return images.select("image_id", "split", F.lit("original").alias("provenance"), F.lit(None).cast("string").alias("source_id")).unionByName(added)

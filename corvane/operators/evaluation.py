@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.geometry import box_iou
+from corvane.functions.ranges import running_sums
 from corvane.operators.corpus import size_group
 
 #: The public COCO definition: thresholds, area ranges in square pixels, recall points.
@@ -175,65 +176,63 @@ def greedy_instances(pairs: DataFrame, least_iou: float = 0.1) -> DataFrame:
 
 def average_precision(scored: DataFrame, key: str) -> DataFrame:
     """Per key of rows (label 0/1, score, id): mean of precision at each positive, null without one; precision and recall at 0.5."""
-    w = Window.partitionBy(key).orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = scored.withColumn("_p", F.sum("label").over(w) / F.count(F.lit(1)).over(w))
+    summed = running_sums(scored, [key], [F.desc("score"), "id"], {"_tp": F.col("label"), "_n": F.lit(1).cast("long")})
+    ranked = summed.withColumn("_p", F.col("_tp") / F.col("_n"))
     tp, said, real = F.count_if((F.col("score") >= 0.5) & (F.col("label") == 1)), F.count_if(F.col("score") >= 0.5), F.sum("label")
     return ranked.groupBy(key).agg((F.sum(F.col("_p") * F.col("label")) / F.nullif(real, F.lit(0))).alias("ap"), (tp / F.greatest(said, F.lit(1))).alias("precision"), (tp / F.greatest(real, F.lit(1))).alias("recall"), F.avg("label").alias("prevalence"))
 
 
-def box_runs(boxes: DataFrame, grid: int = 8) -> DataFrame:
-    """Boxes as runs of grid cells: image_id, category_id, line, x0, x1 (half open)."""
+def box_runs(boxes: DataFrame, grid: int = 8, by: Sequence[str] = ("image_id", "category_id")) -> DataFrame:
+    """Boxes as runs of grid cells: the keys, line, x0, x1 (half open)."""
     c = lambda v: F.floor(v / grid)
-    runs = boxes.select("image_id", "category_id", c(F.greatest(F.col("x"), F.lit(0))).alias("x0"), c(F.greatest(F.col("x") + F.col("w"), F.lit(0))).alias("x1"), c(F.greatest(F.col("y"), F.lit(0))).alias("_y0"), c(F.greatest(F.col("y") + F.col("h"), F.lit(0))).alias("_y1"))
-    return runs.where("x1 > x0 and _y1 > _y0").select("image_id", "category_id", F.explode(F.sequence("_y0", F.col("_y1") - 1)).alias("line"), "x0", "x1")
+    runs = boxes.select(*by, c(F.greatest(F.col("x"), F.lit(0))).alias("x0"), c(F.greatest(F.col("x") + F.col("w"), F.lit(0))).alias("x1"), c(F.greatest(F.col("y"), F.lit(0))).alias("_y0"), c(F.greatest(F.col("y") + F.col("h"), F.lit(0))).alias("_y1"))
+    return runs.where("x1 > x0 and _y1 > _y0").select(*by, F.explode(F.sequence("_y0", F.col("_y1") - 1)).alias("line"), "x0", "x1")
 
 
-def merged_runs(runs: DataFrame) -> DataFrame:
-    """The union of the runs of each image, class and line: gaps and islands."""
-    w = Window.partitionBy("image_id", "category_id", "line").orderBy("x0", "x1")
-    starts = F.col("x0") > F.coalesce(F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    island = runs.withColumn("_s", starts.cast("int")).withColumn("_i", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy("image_id", "category_id", "line", "_i").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_i")
+def mask_cases(truth: DataFrame, predicted: DataFrame, by: Sequence[str] = ("image_id", "category_id")) -> DataFrame:
+    """Per key of two run tables: gt_px, dt_px, both_px, dice, iou, tversky and focal_tversky.
 
-
-def mask_cases(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Per image and class of two run tables: gt_px, dt_px, both_px, dice, iou, tversky and focal_tversky.
-
-    Dice and IoU are 0 where one side is empty.
+    Runs may overlap. Each line is swept once from run end to run end, counting the runs of either side that lie
+    open. Dice and IoU are 0 where one side is empty.
     """
-    t, p = merged_runs(truth), merged_runs(predicted)
-    key = ["image_id", "category_id"]
-    area = lambda r, name: r.groupBy(*key).agg(F.sum(F.col("x1") - F.col("x0")).alias(name))
-    q = p.select(*key, "line", F.col("x0").alias("_a"), F.col("x1").alias("_b"))
-    common = t.join(q, [*key, "line"]).groupBy(*key).agg(F.sum(F.greatest(F.lit(0), F.least("x1", "_b") - F.greatest("x0", "_a"))).alias("_c"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    both = area(t, "_g").join(area(p, "_d"), key, "full_outer").join(common, key, "left").select(*key, zero("_g").alias("gt_px"), zero("_d").alias("dt_px"), zero("_c").alias("both_px"))
+    ends = lambda t, p: F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(t).alias("t"), F.lit(p).alias("p")), F.struct(F.col("x1").alias("x"), F.lit(-t).alias("t"), F.lit(-p).alias("p"))))
+    events = truth.select(*by, "line", ends(1, 0).alias("_e")).unionByName(predicted.select(*by, "line", ends(0, 1).alias("_e"))).select(*by, "line", "_e.*")
+    w = Window.partitionBy(*by, "line").orderBy("x")
+    held = w.rowsBetween(Window.unboundedPreceding, 0)
+    swept = events.select(*by, F.coalesce(F.lead("x").over(w) - F.col("x"), F.lit(0)).alias("_w"), (F.sum("t").over(held) > 0).alias("_t"), (F.sum("p").over(held) > 0).alias("_p"))
+    size = lambda cond: F.sum(F.when(cond, F.col("_w")).otherwise(0))
+    both = swept.groupBy(*by).agg(size(F.col("_t")).alias("gt_px"), size(F.col("_p")).alias("dt_px"), size(F.col("_t") & F.col("_p")).alias("both_px"))
     g, d, c = F.col("gt_px"), F.col("dt_px"), F.col("both_px")
     tversky = (c + 1) / (c + 0.7 * (g - c) + 0.3 * (d - c) + 1)
     return both.withColumns({"dice": 2 * c / (g + d), "iou": c / (g + d - c), "tversky": tversky, "focal_tversky": F.pow(1 - tversky, F.lit(1 / 1.33))})
 
 
 def case_summary(cases: DataFrame) -> DataFrame:
-    """Per class and (category_id null) pooled: mean dice and iou, cases, both, misses and false alarms."""
+    """Per model and class, and (category_id null) per model: mean dice and iou, cases, both, misses and false alarms."""
     g, d = F.col("gt_px") > 0, F.col("dt_px") > 0
-    return cases.rollup("category_id").agg(F.avg("dice").alias("dice"), F.avg("iou").alias("iou"), F.count(F.lit(1)).alias("n_cases"), F.count_if(g & d).alias("n_both"), F.count_if(g & ~d).alias("n_miss"), F.count_if(~g & d).alias("n_false_alarm"))
+    sets = cases.groupingSets([["model", "category_id"], ["model"]], "model", "category_id")
+    return sets.agg(F.avg("dice").alias("dice"), F.avg("iou").alias("iou"), F.count(F.lit(1)).alias("n_cases"), F.count_if(g & d).alias("n_both"), F.count_if(g & ~d).alias("n_miss"), F.count_if(~g & d).alias("n_false_alarm"))
 
 
 def area_endpoint(cases: DataFrame, images: DataFrame, category: int, cell: int = 64) -> DataFrame:
-    """Every image's true and predicted share of area of a class, in percent."""
+    """Every model's and image's true and predicted share of area of a class, in percent. images has a row per model and image."""
     one = cases.where(F.col("category_id") == category)
     pct = lambda c: F.coalesce(F.col(c) * cell * 100.0 / (F.col("width") * F.col("height")), F.lit(0.0))
-    return images.select("image_id", "width", "height").join(one, "image_id", "left").select("image_id", pct("gt_px").alias("g"), pct("dt_px").alias("p"))
+    return images.select("model", "image_id", "width", "height").join(one, ["model", "image_id"], "left").select("model", "image_id", pct("gt_px").alias("g"), pct("dt_px").alias("p"))
 
 
 def endpoint_stats(endpoint: DataFrame) -> DataFrame:
-    """Agreement over images with g > 0, and false positives over the others; nulls where there is nothing to say."""
+    """Per model: agreement over images with g > 0, and false positives over the others; nulls where there is nothing to say.
+
+    Spearman's correlation is over ordinal ranks, ties by image.
+    """
+    one = {"_r": F.lit(1).cast("long")}
+    rank = lambda rows, c: running_sums(rows, ["model"], [c, "image_id"], one).withColumnRenamed("_r", f"_r{c}")
+    ranked = rank(rank(endpoint.where("g > 0"), "g"), "p").unionByName(endpoint.where("not g > 0"), allowMissingColumns=True)
     e, pos = F.col("p") - F.col("g"), F.col("g") > 0
     at = lambda v: F.when(pos, v)
-    order = lambda c: F.row_number().over(Window.partitionBy(pos).orderBy(c, "image_id"))
-    ranked = endpoint.withColumns({"_rg": order("g"), "_rp": order("p")})
     sd = F.stddev_samp(at(e))
-    return ranked.agg(
+    return ranked.groupBy("model").agg(
         F.count_if(pos).alias("n_positive"),
         F.avg(at(F.abs(e))).alias("mae"),
         F.avg(at(e)).alias("bias"),
@@ -241,24 +240,56 @@ def endpoint_stats(endpoint: DataFrame) -> DataFrame:
         (F.avg(at(e)) - 1.96 * sd).alias("loa_low"),
         (F.avg(at(e)) + 1.96 * sd).alias("loa_high"),
         F.corr(at(F.col("g")), at(F.col("p"))).alias("pearson"),
-        F.corr(at(F.col("_rg").cast("double")), at(F.col("_rp").cast("double"))).alias("spearman"),
+        F.corr(F.col("_rg").cast("double"), F.col("_rp").cast("double")).alias("spearman"),
         F.avg(F.when(~pos, F.col("p"))).alias("false_positive_area"),
         F.avg(F.when(~pos, (F.col("p") > 0).cast("double"))).alias("false_positive_rate"),
     )
 
 
+def endpoint_changes(endpoint: DataFrame, reference: int = 0) -> DataFrame:
+    """Each other model's absolute error less the reference's, of images with g > 0: model, image_id, change."""
+    err = endpoint.where("g > 0").select("model", "image_id", F.abs(F.col("p") - F.col("g")).alias("_e"))
+    base = err.where(F.col("model") == reference).select("image_id", F.col("_e").alias("_b"))
+    return err.where(F.col("model") != reference).join(base, "image_id").select("model", "image_id", (F.col("_e") - F.col("_b")).alias("change"))
+
+
+def change_verdicts(intervals: DataFrame) -> DataFrame:
+    """intervals (low, high) of changes of an error with a verdict by their sign."""
+    verdict = F.when(F.col("high") < 0, "reduced").when(F.col("low") > 0, "increased").otherwise("no detectable difference")
+    return intervals.withColumn("verdict", verdict)
+
+
+def box_overlap(pairs: DataFrame) -> DataFrame:
+    """Per model and class the mean IoU of paired boxes (a_ and d_), to hold a mask's gain against the same predictions scored as boxes."""
+    return pairs.groupBy("model", "category_id").agg(F.avg(box_iou("a_", "d_")).alias("box_iou"), F.count(F.lit(1)).alias("n"))
+
+
+def box_mask_control(boxes: DataFrame, masks: DataFrame) -> DataFrame:
+    """Per class of two tables of gains (category_id, delta): both, and whether the gain is the mask's alone (above the box's)."""
+    b, m = boxes.select("category_id", F.col("delta").alias("box_delta")), masks.select("category_id", F.col("delta").alias("mask_delta"))
+    return m.join(b, "category_id").withColumn("mask_only", F.col("mask_delta") > F.greatest(F.lit(0.0), F.col("box_delta")))
+
+
+def ceiling_attribution(scores: DataFrame) -> DataFrame:
+    """Of (ceiling, oracle, achieved) the whole gap, what the basis and what the head lose, and their shares; null shares without a gap."""
+    gap = F.col("ceiling") - F.col("achieved")
+    basis, head = F.col("ceiling") - F.col("oracle"), F.col("oracle") - F.col("achieved")
+    share = lambda v: v / F.nullif(gap, F.lit(0.0))
+    return scores.select(gap.alias("total_gap"), basis.alias("basis_gap"), head.alias("head_gap"), share(basis).alias("basis_share"), share(head).alias("head_share"))
+
+
 def macro_micro(cases: DataFrame) -> DataFrame:
-    """Mean dice and iou over classes (macro) and over cases (micro)."""
-    per = cases.groupBy("category_id").agg(F.sum("dice").alias("_d"), F.sum("iou").alias("_i"), F.count(F.lit(1)).alias("_n"))
-    both = per.agg(F.avg(F.col("_d") / F.col("_n")).alias("_md"), F.avg(F.col("_i") / F.col("_n")).alias("_mi"), (F.sum("_d") / F.sum("_n")).alias("_sd"), (F.sum("_i") / F.sum("_n")).alias("_si"))
+    """Per model, mean dice and iou over classes (macro) and over cases (micro)."""
+    per = cases.groupBy("model", "category_id").agg(F.sum("dice").alias("_d"), F.sum("iou").alias("_i"), F.count(F.lit(1)).alias("_n"))
+    both = per.groupBy("model").agg(F.avg(F.col("_d") / F.col("_n")).alias("_md"), F.avg(F.col("_i") / F.col("_n")).alias("_mi"), (F.sum("_d") / F.sum("_n")).alias("_sd"), (F.sum("_i") / F.sum("_n")).alias("_si"))
     rows = F.array(F.struct(F.lit("macro").alias("kind"), F.col("_md").alias("dice"), F.col("_mi").alias("iou")), F.struct(F.lit("micro").alias("kind"), F.col("_sd").alias("dice"), F.col("_si").alias("iou")))
-    return both.select(F.explode(rows).alias("_r")).select("_r.*")
+    return both.select("model", F.explode(rows).alias("_r")).select("model", "_r.*")
 
 
 def group_means(values: DataFrame, counts: DataFrame, head_min: int = 5000, tail_max: int = 100) -> DataFrame:
-    """Mean of class values (category_id, value) in head, mid and tail classes by train count; nulls are skipped."""
+    """Mean of each model's class values (model, category_id, value) in head, mid and tail classes by train count; nulls are skipped."""
     met = values.join(counts.select("category_id", "train_n"), "category_id").withColumn("grp", size_group("train_n", head_min, tail_max))
-    return met.groupBy("grp").agg(F.avg("value").alias("mean"), F.count("value").alias("n_classes"))
+    return met.groupBy("model", "grp").agg(F.avg("value").alias("mean"), F.count("value").alias("n_classes"))
 
 
 def class_report(ap: DataFrame, counts: DataFrame, head_min: int = 5000, tail_max: int = 100, least: int = 10) -> DataFrame:

@@ -2,42 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.keys import uniform
+from corvane.functions.ranges import numbered
 
 
 def draws(images: DataFrame, n_boot: int, seed: int = 0) -> DataFrame:
     """Resamples with replacement as multiplicities: b, image_id, w.
 
-    Each draw names an image by its number; images are numbered by id. The count of images must be small enough
-    for n_boot times as many rows.
+    Images are numbered by id, and draw number b + n_boot * i of resample b names one of them by hash. There are
+    n_boot times as many draws as images.
     """
-    n = images.count()
-    slots = images.sparkSession.range(n_boot * n).select((F.col("id") % n_boot).cast("int").alias("b"), F.floor(uniform(F.concat(F.lit(f"{seed}/"), F.col("id"))) * n).alias("_at"))
-    numbered = images.select("image_id").withColumn("_at", F.row_number().over(Window.orderBy("image_id")).cast("long") - 1)
-    return slots.groupBy("b", "_at").agg(F.count(F.lit(1)).alias("w")).join(numbered, "_at").select("b", "image_id", "w")
+    at = numbered(images.select("image_id"), ["image_id"], "_at").withColumn("_at", F.col("_at") - 1)
+    n = images.agg(F.count(F.lit(1)).alias("_n"))
+    slots = at.join(F.broadcast(n)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    drawn = F.floor(uniform(F.concat(F.lit(f"{seed}/"), F.col("_at") * n_boot + F.col("b"))) * F.col("_n"))
+    return slots.select("b", drawn.alias("_at")).groupBy("b", "_at").agg(F.count(F.lit(1)).alias("w")).join(at, "_at").select("b", "image_id", "w")
 
 
-def bootstrap_mean(values: DataFrame, resamples: DataFrame, value: str) -> DataFrame:
-    """Mean over rows and its 95 percent interval when images are resampled; records are weighted, not repeated.
+def bootstrap_mean(values: DataFrame, resamples: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per group the mean over rows and its 95 percent interval when images are resampled; records are weighted, not repeated.
 
     With values of fewer than two images the interval and what it says are null.
     """
-    per = values.where(F.col(value).isNotNull()).groupBy("image_id").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    means = resamples.join(per, "image_id").groupBy("b").agg((F.sum(F.col("w") * F.col("_s")) / F.sum(F.col("w") * F.col("_n"))).alias("_m"))
-    interval = means.agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
-    whole = per.agg((F.sum("_s") / F.sum("_n")).alias("mean"), F.sum("_n").alias("n"), F.count(F.lit(1)).alias("_images"))
+    per = values.where(F.col(value).isNotNull()).groupBy(*by, "image_id").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    means = resamples.join(per, "image_id").groupBy(*by, "b").agg((F.sum(F.col("w") * F.col("_s")) / F.sum(F.col("w") * F.col("_n"))).alias("_m"))
+    interval = means.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
+    whole = per.groupBy(*by).agg((F.sum("_s") / F.sum("_n")).alias("mean"), F.sum("_n").alias("n"), F.count(F.lit(1)).alias("_images"))
     bound = lambda k: F.when(F.col("_images") >= 2, F.col(k))
-    return whole.join(F.broadcast(interval)).withColumns({"low": bound("low"), "high": bound("high")}).drop("_images").withColumn("separable", (F.col("low") > 0) | (F.col("high") < 0))
+    met = whole.join(interval, list(by), "left") if by else whole.join(F.broadcast(interval))
+    return met.withColumns({"low": bound("low"), "high": bound("high")}).drop("_images").withColumn("separable", (F.col("low") > 0) | (F.col("high") < 0))
 
 
-def paired(a: DataFrame, b: DataFrame, keys: list[str], value: str, sign: int = 1) -> DataFrame:
+def paired(a: DataFrame, b: DataFrame, keys: list[str], value: str, sign: int = 1, keep: Sequence[str] = ()) -> DataFrame:
     """Cases both sides have a value for: diff = b - a, and better in the metric's own direction."""
-    right = b.select(*keys, F.col(value).alias("_b"))
+    right = b.select(*keys, *keep, F.col(value).alias("_b"))
     d = a.where(F.col(value).isNotNull()).join(right.where(F.col("_b").isNotNull()), keys).withColumn("diff", F.col("_b") - F.col(value))
-    return d.select(*keys, "diff", (F.lit(sign) * F.col("diff") > 0).alias("better"))
+    return d.select(*keys, *keep, "diff", (F.lit(sign) * F.col("diff") > 0).alias("better"))
+
+
+def win_fraction(diffs: DataFrame, by: list[str], sign: int = 1, legacy_sign: bool = False) -> DataFrame:
+    """By group of paired cases: how many, and the share of those that are better in the metric's own direction (sign -1 for distances).
+
+    With legacy_sign a distance counts as better where it grew, as old reports did.
+    """
+    better = F.col("diff") > 0 if sign > 0 or legacy_sign else F.col("diff") < 0
+    return diffs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(better.cast("double")).alias("win_fraction"))
+
+
+def bootstrap_classes(values: DataFrame, resamples: DataFrame, value: str) -> DataFrame:
+    """Mean of each class and (category_id null) of all classes alike, with 95 percent intervals when images are resampled.
+
+    A class that no image of a resample has is left out of it. Intervals of fewer than two resamples that have the class are null.
+    """
+    per = values.where(F.col(value).isNotNull()).groupBy("image_id", "category_id").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    again = resamples.join(per, "image_id").groupBy("b", "category_id").agg((F.sum(F.col("w") * F.col("_s")) / F.sum(F.col("w") * F.col("_n"))).alias("_m"))
+    macro = lambda means, *by: means.unionByName(means.groupBy(*by).agg(F.avg("_m").alias("_m")).withColumn("category_id", F.lit(None).cast("long")))
+    bound = lambda p: F.when(F.count("_m") > 1, F.percentile("_m", p))
+    intervals = macro(again, "b").groupBy(F.coalesce("category_id", F.lit(-1).cast("long")).alias("_c")).agg(bound(0.025).alias("low"), bound(0.975).alias("high"))
+    whole = macro(per.groupBy("category_id").agg((F.sum("_s") / F.sum("_n")).alias("_m"))).withColumn("_c", F.coalesce("category_id", F.lit(-1).cast("long")))
+    return whole.join(intervals, "_c", "left").select("category_id", F.col("_m").alias("mean"), "low", "high")
 
 
 def noise_floor(runs: DataFrame, by: list[str], value: str = "value") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.geometry import shoelace_area
 from corvane.functions.keys import hash32, uniform
+from corvane.functions.storage import durable
 from corvane.operators import audit, corpus, evaluation, statistics
 from corvane.plans import views
 from corvane.plans.views import duck
@@ -31,6 +32,7 @@ def registered(sql: str | None = None):
 _IOU = """(CASE WHEN a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) > 0
  THEN greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) /
  (a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))) ELSE 0 END)"""
+_U = "('0x' || substr(md5('0/' || {}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 _MISSED = f"""SELECT m.model, a.image_id, a.ann_key, a.category_id FROM v_ann a, (SELECT unnest(range(0, 5)) AS model) m
  WHERE NOT EXISTS (SELECT 1 FROM v_det b WHERE b.model = m.model AND b.image_id = a.image_id AND b.category_id = a.category_id AND b.score >= 0.15 AND {_IOU} >= 0.1)"""
 
@@ -189,10 +191,20 @@ def near_duplicate_images(spark: SparkSession, d: str) -> DataFrame:
     return audit.confirmed_partners(pairs, p).select("left_file", "right_file", "hamming", "n_pairs", F.round("ncc", 6).alias("ncc"), "verdict")
 
 
-@registered("""WITH det AS (SELECT category_id, count(*) AS n_right FROM v_det WHERE model = 0 GROUP BY 1), ann AS (SELECT category_id, count(*) AS n_left FROM v_ann GROUP BY 1)
-SELECT category_id, coalesce(n_left, 0) AS n_left, coalesce(n_right, 0) AS n_right FROM ann FULL JOIN det USING (category_id) WHERE coalesce(n_left, 0) <> coalesce(n_right, 0)""")
+@registered(f"""WITH {_PRINTS}, pairs AS (SELECT (list_dot_product(a.t, b.t) - list_sum(a.t) * list_sum(b.t) / 64) / sqrt((list_dot_product(a.t, a.t) - list_sum(a.t) * list_sum(a.t) / 64) * (list_dot_product(b.t, b.t) - list_sum(b.t) * list_sum(b.t) / 64)) AS ncc
+ FROM prints a, prints b WHERE a.split = 'test' AND b.split <> 'test' AND bit_count(xor(a.dhash, b.dhash)) <= 5)
+SELECT count(*) FILTER (WHERE coalesce(ncc >= 0.98, true)) AS confirmed, count(*) FILTER (WHERE ncc < 0.98) AS rejected, count(*) FILTER (WHERE ncc IS NULL) AS unscored FROM pairs""")
+def duplicate_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    p = fingerprints(spark, d)
+    return audit.verdict_counts(audit.confirmed_pairs(audit.hamming_pairs(p.where("split = 'test'"), p.where("split <> 'test'")), p))
+
+
+@registered("""WITH det AS (SELECT model, category_id, count(*) AS n_right FROM v_det GROUP BY 1, 2), ann AS (SELECT model, category_id, count(*) AS n_left FROM v_ann, (SELECT unnest(range(0, 5))::INTEGER AS model) GROUP BY 1, 2)
+SELECT model, category_id, coalesce(n_left, 0) AS n_left, coalesce(n_right, 0) AS n_right FROM ann FULL JOIN det USING (model, category_id) WHERE coalesce(n_left, 0) <> coalesce(n_right, 0)""")
 def reconciliation(spark: SparkSession, d: str) -> DataFrame:
-    return audit.reconciled(views.annotations(spark, d), views.detections(spark, d).where("model = 0"))
+    classes = views.annotations(spark, d).groupBy("category_id").agg(F.count(F.lit(1)).alias("n"))
+    found = views.detections(spark, d).groupBy("model", "category_id").agg(F.count(F.lit(1)).alias("n"))
+    return audit.reconciled(classes.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(views.N_MODELS - 1)))), found, ["model", "category_id"], F.sum("n"))
 
 
 @registered("""WITH k AS (SELECT split, regexp_extract(regexp_replace(file_name, '\\.[^.]*$', ''), '(?i)^(?:[0-9a-f]{8}-)?(.*?)_jpg\\.rf\\.[0-9a-f]+$', 1) AS source FROM v_img),
@@ -264,7 +276,14 @@ def hold_out(spark: SparkSession, d: str) -> DataFrame:
     return corpus.hold_out(views.images(spark, d), 0.1)
 
 
-@registered()
+@registered(f"""WITH few AS (SELECT category_id FROM v_ann GROUP BY 1 HAVING count(*) <= 700), rare AS (SELECT * FROM v_ann WHERE category_id IN (SELECT category_id FROM few) AND w >= 4 AND h >= 4),
+numbered AS (SELECT image_id AS host_id, row_number() OVER (ORDER BY image_id) - 1 AS num, width, height FROM v_img),
+copies AS (SELECT *, unnest(range(1, 3)) AS copy FROM rare),
+planned AS (SELECT *, floor({_U.format("'host/' || ann_key || '/' || copy")} * (SELECT count(*) FROM v_img))::BIGINT AS num, 0.8::DOUBLE + 0.4::DOUBLE * {_U.format("'scale/' || ann_key || '/' || copy")} AS scale FROM copies),
+tried AS (SELECT ann_key, category_id, copy, host_id, width, height, floor(w * scale)::BIGINT AS p_w, floor(h * scale)::BIGINT AS p_h, unnest(range(1, 21)) AS k FROM planned JOIN numbered USING (num)),
+placed AS (SELECT *, p_w AS w, p_h AS h, floor({_U.format("'x/' || ann_key || '/' || copy || '/' || k")} * (width - p_w))::BIGINT AS x, floor({_U.format("'y/' || ann_key || '/' || copy || '/' || k")} * (height - p_h))::BIGINT AS y FROM tried WHERE p_w < width AND p_h < height),
+free AS (SELECT * FROM placed a WHERE NOT EXISTS (SELECT 1 FROM v_ann b WHERE b.image_id = a.host_id AND {_IOU} > 0.1))
+SELECT ann_key, category_id, copy::INTEGER AS copy, host_id, k::INTEGER AS "try", x AS p_x, y AS p_y, p_w, p_h FROM free QUALIFY row_number() OVER (PARTITION BY ann_key, copy ORDER BY k) = 1""")
 def paste_plan(spark: SparkSession, d: str) -> DataFrame:
     return corpus.paste_plan(views.annotations(spark, d), views.images(spark, d), 700)
 
@@ -298,16 +317,21 @@ def binary_average_precision(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CELLS = """gt AS (SELECT DISTINCT image_id, category_id, cx, unnest(range(y // 8, (y + h) // 8)) AS cy FROM (SELECT *, unnest(range(x // 8, (x + w) // 8)) AS cx FROM v_ann)),
-d0 AS (SELECT image_id, category_id, greatest(x, 0) AS x0, greatest(x + w, 0) AS x1, greatest(y, 0) AS y0, greatest(y + h, 0) AS y1 FROM v_det WHERE model = 0),
-dt AS (SELECT DISTINCT image_id, category_id, cx, unnest(range(y0 // 8, y1 // 8)) AS cy FROM (SELECT *, unnest(range(x0 // 8, x1 // 8)) AS cx FROM d0)),
-cells AS (SELECT image_id, category_id, count(*) FILTER (WHERE g) AS gt_px, count(*) FILTER (WHERE p) AS dt_px, count(*) FILTER (WHERE g AND p) AS both_px
- FROM (SELECT coalesce(gt.image_id, dt.image_id) AS image_id, coalesce(gt.category_id, dt.category_id) AS category_id, gt.cx IS NOT NULL AS g, dt.cx IS NOT NULL AS p FROM gt FULL JOIN dt USING (image_id, category_id, cx, cy)) GROUP BY 1, 2),
+d0 AS (SELECT model, image_id, category_id, greatest(x, 0) AS x0, greatest(x + w, 0) AS x1, greatest(y, 0) AS y0, greatest(y + h, 0) AS y1 FROM v_det),
+dt AS (SELECT DISTINCT model, image_id, category_id, cx, unnest(range(y0 // 8, y1 // 8)) AS cy FROM (SELECT *, unnest(range(x0 // 8, x1 // 8)) AS cx FROM d0)),
+models AS (SELECT unnest(range(0, 5))::INTEGER AS model),
+gn AS (SELECT model, image_id, category_id, gt_px FROM (SELECT image_id, category_id, count(*) AS gt_px FROM gt GROUP BY 1, 2), models),
+dn AS (SELECT model, image_id, category_id, count(*) AS dt_px FROM dt GROUP BY 1, 2, 3),
+bn AS (SELECT model, image_id, category_id, count(*) AS both_px FROM dt JOIN gt USING (image_id, category_id, cx, cy) GROUP BY 1, 2, 3),
+cells AS (SELECT model, image_id, category_id, coalesce(gt_px, 0) AS gt_px, coalesce(dt_px, 0) AS dt_px, coalesce(both_px, 0) AS both_px FROM gn FULL JOIN dn USING (model, image_id, category_id) LEFT JOIN bn USING (model, image_id, category_id)),
 cases AS (SELECT *, 2 * both_px / (gt_px + dt_px) AS dice, both_px / (gt_px + dt_px - both_px) AS iou, (both_px + 1) / (both_px + 0.7::DOUBLE * (gt_px - both_px) + 0.3::DOUBLE * (dt_px - both_px) + 1) AS tversky FROM cells)"""
 
 
-def cases(spark: SparkSession, d: str, model: int = 0) -> DataFrame:
-    """Mask cases of the annotations' boxes and one model's, on a grid of 8 pixels."""
-    return evaluation.mask_cases(evaluation.box_runs(views.annotations(spark, d)), evaluation.box_runs(views.detections(spark, d).where(F.col("model") == model)))
+def cases(spark: SparkSession, d: str) -> DataFrame:
+    """Mask cases of the annotations' boxes and each model's, on a grid of 8 pixels."""
+    by = ["model", "image_id", "category_id"]
+    truth = views.annotations(spark, d).withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(views.N_MODELS - 1))))
+    return evaluation.mask_cases(evaluation.box_runs(truth, by=by), evaluation.box_runs(views.detections(spark, d), by=by), by)
 
 
 @registered(f"WITH {_CELLS} SELECT *, pow(1 - tversky, 1 / 1.33::DOUBLE) AS focal_tversky FROM cases")
@@ -315,26 +339,81 @@ def mask_overlap(spark: SparkSession, d: str) -> DataFrame:
     return cases(spark, d)
 
 
-@registered(f"""WITH {_CELLS} SELECT category_id, avg(dice) AS dice, avg(iou) AS iou, count(*) AS n_cases, count(*) FILTER (WHERE gt_px > 0 AND dt_px > 0) AS n_both, count(*) FILTER (WHERE gt_px > 0 AND dt_px = 0) AS n_miss,
- count(*) FILTER (WHERE gt_px = 0 AND dt_px > 0) AS n_false_alarm FROM cases GROUP BY ROLLUP (category_id)""")
+@registered(f"""WITH {_CELLS} SELECT model, category_id, avg(dice) AS dice, avg(iou) AS iou, count(*) AS n_cases, count(*) FILTER (WHERE gt_px > 0 AND dt_px > 0) AS n_both, count(*) FILTER (WHERE gt_px > 0 AND dt_px = 0) AS n_miss,
+ count(*) FILTER (WHERE gt_px = 0 AND dt_px > 0) AS n_false_alarm FROM cases GROUP BY GROUPING SETS ((model, category_id), (model))""")
 def overlap_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.case_summary(cases(spark, d))
 
 
-@registered(f"""WITH {_CELLS}, e AS (SELECT image_id, coalesce(gt_px * 6400.0::DOUBLE / (width * height), 0) AS g, coalesce(dt_px * 6400.0::DOUBLE / (width * height), 0) AS p FROM v_img LEFT JOIN (SELECT * FROM cases WHERE category_id = 1) c USING (image_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY g > 0 ORDER BY g, image_id)::DOUBLE AS rg, row_number() OVER (PARTITION BY g > 0 ORDER BY p, image_id)::DOUBLE AS rp FROM e)
-SELECT count(*) FILTER (WHERE g > 0) AS n_positive, avg(abs(p - g)) FILTER (WHERE g > 0) AS mae, avg(p - g) FILTER (WHERE g > 0) AS bias, quantile_cont(abs(p - g) / greatest(g, 1e-9) * 100, 0.5) FILTER (WHERE g > 0) AS median_ape,
+_ENDPOINT = f"""{_CELLS}, endpoint AS (SELECT model, image_id, coalesce(gt_px * 6400.0::DOUBLE / (width * height), 0) AS g, coalesce(dt_px * 6400.0::DOUBLE / (width * height), 0) AS p
+ FROM (SELECT * FROM v_img, models) LEFT JOIN (SELECT * FROM cases WHERE category_id = 1) c USING (model, image_id))"""
+
+
+def _endpoint(spark: SparkSession, d: str) -> DataFrame:
+    """The share of area that class 1 has, the measured quantity of these queries."""
+    per_model = views.images(spark, d).withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(views.N_MODELS - 1))))
+    return evaluation.area_endpoint(cases(spark, d), per_model, 1)
+
+
+@registered(f"""WITH {_ENDPOINT}, r AS (SELECT *, row_number() OVER (PARTITION BY model, g > 0 ORDER BY g, image_id)::DOUBLE AS rg, row_number() OVER (PARTITION BY model, g > 0 ORDER BY p, image_id)::DOUBLE AS rp FROM endpoint)
+SELECT model, count(*) FILTER (WHERE g > 0) AS n_positive, avg(abs(p - g)) FILTER (WHERE g > 0) AS mae, avg(p - g) FILTER (WHERE g > 0) AS bias, quantile_cont(abs(p - g) / greatest(g, 1e-9) * 100, 0.5) FILTER (WHERE g > 0) AS median_ape,
  avg(p - g) FILTER (WHERE g > 0) - 1.96::DOUBLE * stddev_samp(p - g) FILTER (WHERE g > 0) AS loa_low, avg(p - g) FILTER (WHERE g > 0) + 1.96::DOUBLE * stddev_samp(p - g) FILTER (WHERE g > 0) AS loa_high,
- corr(g, p) FILTER (WHERE g > 0) AS pearson, corr(rg, rp) FILTER (WHERE g > 0) AS spearman, avg(p) FILTER (WHERE NOT g > 0) AS false_positive_area, avg((p > 0)::INTEGER) FILTER (WHERE NOT g > 0) AS false_positive_rate FROM r""")
+ corr(g, p) FILTER (WHERE g > 0) AS pearson, corr(rg, rp) FILTER (WHERE g > 0) AS spearman, avg(p) FILTER (WHERE NOT g > 0) AS false_positive_area, avg((p > 0)::INTEGER) FILTER (WHERE NOT g > 0) AS false_positive_rate FROM r GROUP BY model""")
 def area_endpoint(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.endpoint_stats(evaluation.area_endpoint(cases(spark, d), views.images(spark, d), 1))
+    return evaluation.endpoint_stats(_endpoint(spark, d))
 
 
-@registered()
+def _drawn(images: str, n_boot: int = 100) -> str:
+    """Resamples of the images of a table: b, image_id, w."""
+    return f"""numbered AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS num FROM {images}),
+drawn AS (SELECT b, floor(('0x' || substr(md5('0/' || (num * {n_boot} + b)), 1, 8))::BIGINT / 4294967296.0::DOUBLE * (SELECT count(*) FROM numbered))::BIGINT AS num FROM numbered, (SELECT unnest(range(0, {n_boot})) AS b)),
+resamples AS (SELECT b, image_id, count(*) AS w FROM drawn JOIN numbered USING (num) GROUP BY 1, 2)"""
+
+
+_BOOT_MEAN = """per AS (SELECT model, image_id, sum(v) AS s, count(*) AS n FROM vals WHERE v IS NOT NULL GROUP BY 1, 2),
+means AS (SELECT model, b, sum(w * s) / sum(w * n) AS m FROM resamples JOIN per USING (image_id) GROUP BY 1, 2),
+ci AS (SELECT model, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM means GROUP BY 1),
+boot AS (SELECT model, sum(s) / sum(n) AS mean, sum(n)::BIGINT AS n, CASE WHEN count(*) >= 2 THEN min(lo) END AS low, CASE WHEN count(*) >= 2 THEN min(hi) END AS high FROM per JOIN ci USING (model) GROUP BY 1)"""
+_DIFFS = "vals AS (SELECT b.model, b.image_id, b.category_id, b.dice - a.dice AS v FROM cases b JOIN cases a USING (image_id, category_id) WHERE a.model = 0 AND b.model <> 0)"
+
+
+def _diffs(spark: SparkSession, d: str) -> DataFrame:
+    """Dice of each other model less that of model 0, case by case."""
+    c = durable(cases(spark, d).select("model", "image_id", "category_id", "dice"))  # both sides of the join
+    return statistics.paired(c.where("model = 0").drop("model"), c.where("model <> 0"), ["image_id", "category_id"], "dice", keep=["model"])
+
+
+@registered(f"WITH {_CELLS}, {_DIFFS}, {_drawn('v_img')}, {_BOOT_MEAN} SELECT *, low > 0 OR high < 0 AS separable FROM boot")
 def paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    diffs = statistics.paired(cases(spark, d, 0), cases(spark, d, 1), ["image_id", "category_id"], "dice")
-    few = views.images(spark, d).select("image_id")
-    return statistics.bootstrap_mean(diffs, statistics.draws(few, 100), "diff")
+    return statistics.bootstrap_mean(_diffs(spark, d), statistics.draws(views.images(spark, d), 100), "diff", ["model"])
+
+
+@registered(f"WITH {_CELLS}, {_DIFFS} SELECT model, count(*) AS n, avg((v > 0)::INTEGER) AS win_fraction FROM vals GROUP BY 1")
+def win_fractions(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.win_fraction(_diffs(spark, d), ["model"])
+
+
+@registered(f"""WITH {_ENDPOINT}, pos AS (SELECT DISTINCT image_id FROM endpoint WHERE g > 0), e AS (SELECT model, image_id, abs(p - g) AS e FROM endpoint WHERE g > 0),
+vals AS (SELECT b.model, b.image_id, b.e - a.e AS v FROM e b JOIN e a USING (image_id) WHERE a.model = 0 AND b.model <> 0), {_drawn('pos')}, {_BOOT_MEAN}
+SELECT boot.*, low > 0 OR high < 0 AS separable, improved, CASE WHEN high < 0 THEN 'reduced' WHEN low > 0 THEN 'increased' ELSE 'no detectable difference' END AS verdict
+FROM boot JOIN (SELECT model, avg((v < 0)::INTEGER) AS improved FROM vals GROUP BY 1) USING (model)""")
+def endpoint_comparison(spark: SparkSession, d: str) -> DataFrame:
+    changes = durable(evaluation.endpoint_changes(_endpoint(spark, d)))  # three uses
+    resamples = statistics.draws(changes.select("image_id").distinct(), 100)
+    improved = statistics.win_fraction(changes.withColumnRenamed("change", "diff"), ["model"], -1).select("model", F.col("win_fraction").alias("improved"))
+    return evaluation.change_verdicts(statistics.bootstrap_mean(changes, resamples, "change", ["model"])).join(improved, "model")
+
+
+@registered(f"""WITH {_CELLS}, {_drawn('v_img')}, zero AS (SELECT * FROM cases WHERE model = 0),
+per AS (SELECT image_id, category_id, sum(dice) AS s, count(*) AS n FROM zero GROUP BY 1, 2),
+again AS (SELECT b, category_id, sum(w * s) / sum(w * n) AS m FROM resamples JOIN per USING (image_id) GROUP BY 1, 2),
+every AS (SELECT category_id, m FROM again UNION ALL SELECT -1, avg(m) FROM again GROUP BY b),
+whole AS (SELECT category_id, sum(s) / sum(n) AS m FROM per GROUP BY 1), whole_every AS (SELECT * FROM whole UNION ALL SELECT -1, avg(m) FROM whole),
+ci AS (SELECT category_id, CASE WHEN count(*) > 1 THEN quantile_cont(m, 0.025) END AS low, CASE WHEN count(*) > 1 THEN quantile_cont(m, 0.975) END AS high FROM every GROUP BY 1)
+SELECT nullif(category_id, -1) AS category_id, m AS mean, low, high FROM whole_every LEFT JOIN ci USING (category_id)""")
+def class_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Of the baseline, model 0: the report is of one model."""
+    return statistics.bootstrap_classes(cases(spark, d).where("model = 0"), statistics.draws(views.images(spark, d), 100), "dice")
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.geometry import evens
-from corvane.operators import audit, corpus, evaluation, experiments, vocabulary
+from corvane.functions.keys import hash32, uniform
+from corvane.functions.ranges import numbered
+from corvane.operators import audit, corpus, evaluation, experiments, replies, vocabulary
 from corvane.plans import views
-from corvane.plans.queries import _CELLS, _FLOOR, _LINES, _LOG, _RUNS, _WEIGHTS, cases, class_weights, label_lines, noise_floor, quota_split, registered, run_log, runs
+from corvane.plans.queries import _CELLS, _COUNTS, _FLOOR, _LINES, _LOG, _RUNS, _WEIGHTS, cases, class_flip_weights, class_weights, label_lines, noise_floor, quota_split, registered, run_log, runs
 
 
 @registered("""SELECT category_id, count(DISTINCT image_id) FILTER (WHERE split = 'valid') AS valid_images, count(DISTINCT image_id) FILTER (WHERE split = 'test') AS test_images
@@ -123,17 +125,17 @@ def centres_in_boxes(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.centres_in_boxes(views.annotations(spark, d), points, {"common": F.col("_c") <= 5, "other": F.col("_c") > 5})
 
 
-@registered(f"""WITH {_CELLS}, per AS (SELECT category_id, avg(dice) AS dice, avg(iou) AS iou FROM cases GROUP BY 1)
-SELECT 'macro' AS kind, avg(dice) AS dice, avg(iou) AS iou FROM per UNION ALL SELECT 'micro', avg(dice), avg(iou) FROM cases""")
+@registered(f"""WITH {_CELLS}, per AS (SELECT model, category_id, avg(dice) AS dice, avg(iou) AS iou FROM cases GROUP BY 1, 2)
+SELECT model, 'macro' AS kind, avg(dice) AS dice, avg(iou) AS iou FROM per GROUP BY 1 UNION ALL SELECT model, 'micro', avg(dice), avg(iou) FROM cases GROUP BY 1""")
 def macro_micro(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.macro_micro(cases(spark, d))
 
 
 @registered(f"""WITH {_CELLS}, n AS (SELECT category_id, count(*) AS train_n FROM v_ann JOIN v_img USING (image_id) WHERE split = 'train' GROUP BY 1),
-per AS (SELECT category_id, avg(dice) AS value FROM cases GROUP BY 1)
-SELECT CASE WHEN train_n > 5000 THEN 'head' WHEN train_n < 700 THEN 'tail' ELSE 'mid' END AS grp, avg(value) AS mean, count(*) AS n_classes FROM per JOIN n USING (category_id) GROUP BY 1""")
+per AS (SELECT model, category_id, avg(dice) AS value FROM cases GROUP BY 1, 2)
+SELECT model, CASE WHEN train_n > 5000 THEN 'head' WHEN train_n < 700 THEN 'tail' ELSE 'mid' END AS grp, avg(value) AS mean, count(*) AS n_classes FROM per JOIN n USING (category_id) GROUP BY 1, 2""")
 def group_means(spark: SparkSession, d: str) -> DataFrame:
-    per = cases(spark, d).groupBy("category_id").agg(F.avg("dice").alias("value"))
+    per = cases(spark, d).groupBy("model", "category_id").agg(F.avg("dice").alias("value"))
     return evaluation.group_means(per, corpus.class_counts(views.annotations(spark, d), views.images(spark, d)), 5000, 700)
 
 
@@ -240,3 +242,62 @@ SELECT category_id, 100 * (y - x) / nullif(x, 0) AS relative_percent, y > x AS i
 def relative_changes(spark: SparkSession, d: str) -> DataFrame:
     report = lambda m: views.detections(spark, d).where(F.col("model") == m).groupBy("category_id").agg(F.avg("score").alias("ap"))
     return experiments.relative_changes(report(0), report(1))
+
+
+@registered("SELECT image_id, row_number() OVER (ORDER BY file_name) AS number FROM v_img")
+def image_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return numbered(views.images(spark, d).select("image_id", "file_name"), ["file_name"], "number").select("image_id", "number")
+
+
+@registered(f"""WITH {_COUNTS}, p AS (SELECT category_id, CASE WHEN n > 0 THEN 1 / sqrt(n) ELSE 0 END AS r FROM counts), c AS (SELECT category_id, sum(r) OVER (ORDER BY category_id) / sum(r) OVER () AS cumulative FROM p),
+u AS (SELECT ann_key, ('0x' || substr(md5('flip/' || ann_key), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM v_ann)
+SELECT drawn, count(*) AS n FROM (SELECT ann_key, min(category_id) AS drawn FROM u JOIN c ON cumulative > u GROUP BY 1) GROUP BY 1""")
+def class_flips(spark: SparkSession, d: str) -> DataFrame:
+    flipped = corpus.weighted_draws(views.annotations(spark, d).select("ann_key"), class_flip_weights(spark, d), uniform(F.concat(F.lit("flip/"), F.col("ann_key"))))
+    return flipped.groupBy("drawn").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered("""WITH pasted AS (SELECT image_id, ann_key FROM v_ann WHERE category_id % 5 = 0)
+SELECT split, 'original' AS provenance, count(*) AS n FROM v_img GROUP BY 1 UNION ALL SELECT split, 'pasted', count(*) FROM pasted JOIN v_img USING (image_id) WHERE split = 'train' GROUP BY 1""")
+def paste_guard(spark: SparkSession, d: str) -> DataFrame:
+    pasted = views.annotations(spark, d).where("category_id % 5 = 0").select("image_id", F.col("ann_key").alias("source_id"))
+    return corpus.pasted_corpus(views.images(spark, d), pasted).groupBy("split", "provenance").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reply_texts(spark: SparkSession, d: str) -> DataFrame:
+    """A model's reply on each annotation, some of them faulty in one of eight ways by a hash: ann_key, image_id, width, height, text."""
+    a = views.annotations(spark, d).join(views.images(spark, d).select("image_id", "width", "height"), "image_id")
+    box = lambda *v: F.concat(F.lit("["), F.concat_ws(", ", *v), F.lit("]"))
+    x0, y0, x1, y1 = "x", "y", F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    item = lambda name, b, more: F.concat(F.lit('[{"class": "'), name, F.lit('", "box_2d": '), b, F.lit(more + "}]"))
+    name, k = F.concat(F.lit("class "), F.col("category_id")), hash32(F.concat(F.lit("r/"), F.col("ann_key"))) % 16
+    text = (
+        F.when(k == 0, F.lit("I see no [boxes"))
+        .when(k == 1, item(F.lit("nothing"), box(x0, y0, x1, y1), ', "confidence": 0.7'))
+        .when(k == 2, item(name, box(x0, y0, x1), ', "confidence": 0.7'))
+        .when(k == 3, item(name, box(x1, y1, x0, y0), ', "confidence": 1.5'))
+        .when(k == 4, item(F.concat(F.lit(" "), F.upper(name)), box(x0, y0, x1, y1), ""))
+        .when(k == 5, item(name, box(x0, y0, x0, y1), ', "confidence": 0.7'))
+        .when(k == 6, item(name, box(x0, y0, F.lit(5000), y1), ', "confidence": "high"'))
+        .when(k == 7, F.lit('[{"class": "class 1", oops}]'))
+        .otherwise(F.concat(F.lit("Here it is:\n```json\n"), item(name, box(x0, y0, x1, y1), ', "confidence": 0.25'), F.lit("\n```\nand [more]")))
+    )
+    return a.select("ann_key", "image_id", "width", "height", text.alias("text"))
+
+
+@registered("""WITH r AS (SELECT *, ('0x' || substr(md5('r/' || ann_key), 1, 8))::BIGINT % 16 AS k FROM v_ann JOIN v_img USING (image_id)),
+b AS (SELECT image_id, category_id, least(x, width)::DOUBLE AS x0, least(y, height)::DOUBLE AS y0, least(CASE WHEN k = 6 THEN 5000 ELSE x + w END, width)::DOUBLE AS x1, least(y + h, height)::DOUBLE AS y1,
+ CASE WHEN k = 3 THEN 1.0 WHEN k IN (4, 6) THEN 0.5 ELSE 0.25 END::DOUBLE AS score FROM r WHERE k NOT IN (0, 1, 2, 5, 7))
+SELECT image_id, category_id, x0 AS x, y0 AS y, x1 - x0 AS w, y1 - y0 AS h, score FROM b WHERE x1 - x0 >= 1 AND y1 - y0 >= 1""")
+def reply_boxes(spark: SparkSession, d: str) -> DataFrame:
+    ids = views.annotations(spark, d).select("category_id").distinct()
+    return replies.reply_boxes(reply_texts(spark, d), ids.select("category_id", F.concat(F.lit("class "), F.col("category_id")).alias("name")))
+
+
+@registered("""WITH m AS (SELECT b.model, a.category_id, CASE WHEN a.x + a.w <= b.x OR b.x + b.w <= a.x OR a.y + a.h <= b.y OR b.y + b.h <= a.y THEN 0 ELSE
+ (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) END AS common, a.w * a.h + b.w * b.h AS total FROM v_ann a JOIN v_det b ON b.image_id = a.image_id AND b.ann_key = a.ann_key AND b.category_id = a.category_id)
+SELECT model, category_id, avg(common / (total - common)) AS box_iou, count(*) AS n FROM m GROUP BY 1, 2""")
+def box_control(spark: SparkSession, d: str) -> DataFrame:
+    truth = views.annotations(spark, d).withColumnsRenamed({k: f"a_{k}" for k in "xywh"})
+    found = views.detections(spark, d).withColumnsRenamed({k: f"d_{k}" for k in "xywh"})
+    return evaluation.box_overlap(truth.join(found, ["image_id", "ann_key", "category_id"]))

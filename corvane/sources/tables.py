@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.ranges import numbered
+
 COCO = (
     "images array<struct<id:long,file_name:string,width:int,height:int>>, categories array<struct<id:long,name:string>>, "
     "annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,area:double,iscrowd:int,segmentation:string>>"
@@ -33,6 +35,48 @@ def read_class_names(spark: SparkSession, path: str) -> DataFrame:
     return named.where(F.col("_n").isNotNull() & (F.col("name") != "")).select(F.row_number().over(Window.orderBy("_n")).cast("long").alias("category_id"), "name")
 
 
+def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
+    """run, epoch, time_s, metric of CSV logs, one a run: columns are found by part of their padded names, runs by their folder."""
+    raw = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    named = {c.strip().lower(): c for c in raw.columns}
+
+    def column(*parts: str):
+        found = next((c for k, c in named.items() if any(p in k for p in parts)), None)
+        return (F.lit(None) if found is None else F.col(f"`{found}`")).try_cast("double")
+
+    run = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1)
+    return raw.select(run.alias("run"), column("epoch").cast("int").alias("epoch"), column("time").alias("time_s"), column("map50-95", "metric").alias("metric"))
+
+
+def read_predictions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Detections with the model that the file's name gives, and (model, n_read) of files with text that is no JSON. A file is one task."""
+    schema = "image_id long, category_id long, bbox array<double>, score double, _corrupt string"
+    rows = spark.read.schema(schema).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
+    named = rows.withColumn("model", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^.]*$", 1))
+    good = named.where("_corrupt is null").select("model", "image_id", "category_id", *(F.get("bbox", i).alias(k) for i, k in enumerate("xywh")), "score")
+    read = named.groupBy("model").agg(F.count("image_id").alias("n_read"), F.count("_corrupt").alias("_bad"))
+    return good, read.where("_bad > 0").drop("_bad")
+
+
+#: Extensions of images, in lower case; fixed values.
+IMAGES = ("bmp", "jpeg", "jpg", "png", "tif", "tiff", "webp")
+
+
+def list_images(spark: SparkSession, path: str) -> DataFrame:
+    """file_name, width, height and problem (null, or unreadable) of a folder's images, by their extensions in any case."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    named = files.where(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*IMAGES))
+    sizes = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path).select(F.col("image.origin").alias("_o"), "image.width", "image.height")
+    bare = lambda c: F.regexp_replace(c, r"^file:/+", "/")  # noqa: E731  the two readers name local files differently
+    met = named.withColumn("_p", bare("path")).join(sizes.withColumn("_p", bare("_o")), "_p", "left")
+    return met.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), "width", "height", F.when(F.col("width").isNull(), "unreadable").alias("problem"))
+
+
+def image_manifest(images: DataFrame) -> DataFrame:
+    """Readable images (file_name, width, height) numbered from 1 by name, the pool to be labelled."""
+    return numbered(images.where(F.col("width").isNotNull()).select("file_name", "width", "height"), ["file_name"], "image_id")
+
+
 def checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, bytes and sha256 of files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
@@ -54,3 +98,27 @@ def pending(keys: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def write_labels(labels: DataFrame, path: str) -> None:
     """Label lines (split, line) as text, a folder for each split."""
     labels.select("split", "line").write.partitionBy("split").mode("overwrite").text(path)
+
+
+def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str) -> None:
+    """A corpus as JSON lines, a folder for each of images, annotations and categories; no document is put together in one task."""
+    for name, rows in (("images", images), ("annotations", annotations), ("categories", categories)):
+        rows.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def write_split(images: DataFrame, path: str, seed: int) -> None:
+    """Lists of file names, a folder for each split, and a manifest of one JSON line: seed and counts of files and patients."""
+    images.select("split", "file_name").write.partitionBy("split").mode("overwrite").text(f"{path}/lists")
+    counts = images.groupBy("split").agg(F.count(F.lit(1)).alias("images"), F.count_distinct("patient").alias("patients"))
+    manifest = counts.agg(F.array_sort(F.collect_list(F.struct("split", "images", "patients"))).alias("counts")).select(F.lit(seed).alias("seed"), "counts")
+    manifest.write.mode("overwrite").json(f"{path}/manifest")
+
+
+def markdown(table: DataFrame, most: int = 1000) -> str:
+    """A report's table as Markdown. It must have `most` rows or fewer: classes or models, not data."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows are no report")
+    cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    line = lambda cells: "| " + " | ".join(cells) + " |"
+    return "\n".join([line(table.columns), line(["---"] * len(table.columns)), *(line(map(cell, r)) for r in rows)])

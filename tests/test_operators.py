@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions.geometry import box_iou, box_polygon, polygon_bbox, shoelace_area
 from corvane.functions.keys import anonymous, patient_key, source_key
-from corvane.operators import audit, corpus, evaluation, statistics
+from corvane.functions.ranges import numbered, running_sums
+from corvane.operators import audit, corpus, evaluation, replies, statistics
 from corvane.plans import queries as plans
 
 TINY = "/root/testdata/sf0.001"
@@ -124,6 +125,57 @@ def test_bootstrap_interval_holds_the_mean(spark):
     assert got.low < got.mean < got.high and got.separable
 
 
+def test_running_sums_equal_plain_ones(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "b", None]), rnd.randint(0, 9), i, rnd.randint(1, 5)) for i in range(500)] + [("hot", 1, i, 1) for i in range(500, 900)]
+    df = spark.createDataFrame(rows, "g string, v long, id long, n long").repartition(7)
+    got = {r.id: (r["rank"], r["total"]) for r in running_sums(df, ["g"], [F.desc("v"), "id"], {"rank": F.lit(1).cast("long"), "total": F.col("n")}).collect()}
+    want, at = {}, {}
+    for g, v, i, n in sorted(rows, key=lambda r: (-r[1], r[2])):
+        k, t = at.get(g, (0, 0))
+        at[g] = want[i] = (k + 1, t + n)
+    assert got == want
+    assert running_sums(df.limit(0), [], ["id"], {"rank": F.lit(1)}).isEmpty()
+    assert [r.k for r in numbered(df.where("id < 40"), [F.desc("id")], "k").orderBy(F.desc("id")).collect()] == list(range(1, 41))
+
+
+def test_replies(spark):
+    texts = {
+        1: 'Sure:\n```json\n[{"class": "tooth ", "box_2d": [5, 5, -1, 20], "confidence": 2}, {"class": "TOOTH", "box_2d": ["1", 1, 3.5, 3]}, 7, {"class": "x", "box_2d": [1, 1, 3, 3]}]\n```',
+        2: '[{"class": "tooth", "box_2d": [1, 1, 1.5, 9], "confidence": 0.4}]',
+        3: "no array", 4: "[[1, 2]", 5: None, 6: '[{"class": "tooth", "box_2d": [1, 1, 4, "z"]}]', 7: '] [{"class": "tooth", "box_2d": [0, 0, 4, 4], "confidence": "high"}]',
+    }
+    df = spark.createDataFrame([(k, 10, 10, v) for k, v in texts.items()], "image_id long, width int, height int, text string")
+    got = replies.reply_boxes(df, spark.createDataFrame([(3, "tooth")], "category_id long, name string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 0.0, 5.0, 5.0, 5.0, 1.0), (1, 3, 1.0, 1.0, 2.5, 2.0, 0.5), (7, 3, 0.0, 0.0, 4.0, 4.0, 0.5)]
+
+
+def test_bootstrap_of_classes(spark):
+    values = spark.createDataFrame([(i, c, float((i * c) % 5)) for i in range(60) for c in (1, 2)] + [(0, 3, 9.0)], "image_id long, category_id long, dice double")
+    got = {r.category_id: r for r in statistics.bootstrap_classes(values, statistics.draws(values.select("image_id").distinct(), 80), "dice").collect()}
+    assert got[1].low < got[1].mean < got[1].high and got[3].low == got[3].high == 9.0
+    assert got[None].mean == pytest.approx((got[1].mean + got[2].mean + 9.0) / 3)
+    one = statistics.bootstrap_mean(values.where("category_id = 3"), statistics.draws(values.select("image_id").distinct(), 80), "dice").first()
+    assert one.low is None and one.separable is None
+
+
+def test_distances_win_where_they_fall(spark):
+    d = spark.createDataFrame([(1, -1.0), (1, 2.0), (1, -3.0)], "model int, diff double")
+    assert [round(statistics.win_fraction(d, ["model"], s, old).first().win_fraction, 3) for s, old in ((1, False), (-1, False), (-1, True))] == [0.333, 0.667, 0.333]
+
+
+def test_ceiling_and_box_control(spark):
+    got = evaluation.ceiling_attribution(spark.createDataFrame([(0.9, 0.8, 0.5), (0.5, 0.5, 0.5)], "ceiling double, oracle double, achieved double")).collect()
+    assert (round(got[0].basis_share, 6), round(got[0].head_share, 6), got[1].head_share) == (0.25, 0.75, None)
+    a, b = (spark.createDataFrame(list(enumerate(v)), "category_id long, delta double") for v in ((0.1, 0.3, -0.2), (0.2, 0.2, -0.1)))
+    assert [r.mask_only for r in evaluation.box_mask_control(a, b).orderBy("category_id").collect()] == [True, False, False]
+
+
+def test_groups_of_equal_files_begin_no_search(spark):
+    files = spark.createDataFrame([("a", "test", "x"), ("b", "train", "x"), ("c", "test", "y")], "file_name string, split string, sha string")
+    assert [r.file_name for r in audit.apart_from_groups(files, audit.exact_groups(files)).collect()] == ["c"]
+
+
 @pytest.mark.parametrize("name", sorted(plans.SQL))
 def test_sql_parity(spark, name):
     con = duckdb.connect()

@@ -1,4 +1,6 @@
 import json
+import struct
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -27,3 +29,40 @@ def test_gate(spark, tmp_path):
     known = spark.createDataFrame([("k", 3)], "file_name string, dhash long")
     gate.gate(stream, known, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert {(r.left_file, r.hamming) for r in spark.read.parquet(str(tmp_path / "out")).select("left_file", F.col("hamming")).collect()} == {("x", 1), ("y", 3)}
+
+
+def test_logs_and_predictions(spark, tmp_path):
+    for run in ("r1", "r2"):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "results.csv").write_text("  epoch,   time, metrics/mAP50-95(B)\n  1, 2.5, 0.25\n  2, 5.0, bad\n")
+    got = tables.read_run_logs(spark, str(tmp_path / "*" / "results.csv")).orderBy("run", "epoch").collect()
+    assert [tuple(r) for r in got] == [(r, *v) for r in ("r1", "r2") for v in ((1, 2.5, 0.25), (2, 5.0, None))]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "one.json").write_text(json.dumps([{"image_id": 1, "category_id": 2, "bbox": [1, 2, 3, 4], "score": 0.5}]))
+    (tmp_path / "p" / "two.json").write_text("[{oops")
+    found, broken = tables.read_predictions(spark, str(tmp_path / "p"))
+    assert [tuple(r) for r in found.collect()] == [("one", 1, 2, 1.0, 2.0, 3.0, 4.0, 0.5)] and [r.model for r in broken.collect()] == ["two"]
+
+
+def test_image_listing(spark, tmp_path):
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head, lines = struct.pack(">IIBBBBB", 3, 2, 8, 0, 0, 0, 0), zlib.compress(b"\0\1\2\3" * 2)
+    (tmp_path / "b.PNG").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", lines) + chunk(b"IEND", b""))
+    (tmp_path / "a.jpg").write_bytes(b"no image")
+    (tmp_path / "c.txt").write_text("x")
+    listed = tables.list_images(spark, str(tmp_path))
+    assert sorted(map(tuple, listed.collect())) == [("a.jpg", None, None, "unreadable"), ("b.PNG", 3, 2, None)]
+    assert [tuple(r) for r in tables.image_manifest(listed).select("image_id", "file_name").collect()] == [(1, "b.PNG")]
+
+
+def test_sinks(spark, tmp_path):
+    images = spark.createDataFrame([(1, "a", "p", "train"), (2, "b", "p", "train"), (3, "c", "q", "test")], "image_id long, file_name string, patient string, split string")
+    tables.write_split(images, str(tmp_path), 7)
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "lists" / "split=train")).collect()) == ["a", "b"]
+    manifest = spark.read.json(str(tmp_path / "manifest")).first()
+    assert manifest.seed == 7 and [(r.split, r.images, r.patients) for r in manifest.counts] == [("test", 1, 1), ("train", 2, 1)]
+    tables.write_coco(images, images.limit(0), images.limit(1), str(tmp_path / "coco"))
+    assert spark.read.json(str(tmp_path / "coco" / "images")).count() == 3
+    assert tables.markdown(spark.createDataFrame([("a|b", 0.5)], "k string, v double")) == "| k | v |\n| --- | --- |\n| a\\|b | 0.5000 |"
