@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import language_id, line_dedup, mixing, near_dedup, packing
-from corvane.llm.common import shared_folder, table
+from corvane.functions.storage import shared_folder
+from corvane.llm.common import table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

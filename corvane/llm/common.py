@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
 from collections.abc import Callable
 from typing import Any
 
@@ -63,24 +61,6 @@ def named_apart(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share. Where none is named and all runs on one machine (a test), one is made."""
-    context = spark.sparkContext
-    if folder := spark.conf.get("spark.checkpoint.dir", ""):
-        return folder
-    if context.getCheckpointDir() is None:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 _held: list[Any] = [None, None]
 
 

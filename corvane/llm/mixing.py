@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import SPACES, durable
+from corvane.functions.storage import durable
+from corvane.llm.common import SPACES
 
 #: Each weight's demand at the run's begin and end against its mean: light sources fade, heavy ones grow.
 SCHEDULE = {1: (1.5, 0.5), 2: (1.0, 1.0), 3: (0.5, 1.5)}

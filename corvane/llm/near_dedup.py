@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LOWER, UPPER, durable, held, join_summed
+from corvane.functions.storage import durable
+from corvane.llm.common import LOWER, UPPER, held, join_summed
 
 #: Minwise tokens of a document in its sketch. Trees begin with the first ones.
 TOKENS = 32
