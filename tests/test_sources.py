@@ -66,3 +66,11 @@ def test_sinks(spark, tmp_path):
     tables.write_coco(images, images.limit(0), images.limit(1), str(tmp_path / "coco"))
     assert spark.read.json(str(tmp_path / "coco" / "images")).count() == 3
     assert tables.markdown(spark.createDataFrame([("a|b", 0.5)], "k string, v double")) == "| k | v |\n| --- | --- |\n| a\\|b | 0.5000 |"
+
+
+def test_labels_out_and_pending_keys(spark, tmp_path):
+    labels = spark.createDataFrame([("train", "0 0.1 0.2"), ("test", "1 0.3 0.4")], "split string, line string")
+    tables.write_labels(labels, str(tmp_path / "l"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "l" / "split=test")).collect()] == ["1 0.3 0.4"]
+    keys = spark.createDataFrame([("a",), ("b",)], "k string")
+    assert [r.k for r in tables.pending(keys, keys.where("k = 'a'"), "k").collect()] == ["b"]
