@@ -22,8 +22,8 @@ TEMPLATE = (
 
 
 def escape(text: str) -> str:
-    """The text with control strings broken by a backslash after their first character, and backslashes doubled."""
-    return text.replace("\\", "\\\\").replace("###", "#\\##").replace(STOP, "<\\/turn>")
+    """The text with backslashes doubled and one put after the first of any two # and after the < of a closing mark, so that no control string is left."""
+    return text.replace("\\", "\\\\").replace("##", "#\\#").replace(STOP, "<\\/turn>")
 
 
 def escape_role(role: str) -> str:
@@ -111,8 +111,8 @@ _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_s
 def read_back(formatted: DataFrame) -> DataFrame:
     """What the rows of format_conversations() hold, by conversation: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    Reads them in their order, as format_conversations() leaves them in a partition: no shuffle, and a part in
-    memory at a time.
+    Rows are shuffled by conversation and read by part, so that they may come from a table in any order; a part
+    is in memory at a time. An empty table gives no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,4 +132,5 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         yield from _batches(digests(), _DIGEST)
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    ordered = formatted.select("conv_id", "part", "formatted", "loss_spans").repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -132,7 +132,7 @@ WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
 escaped AS (
-  SELECT *, length(replace(replace(replace(text, '\\', '\\\\'), '###', '#\\##'), '</turn>', '<\\/turn>')) + length(replace(replace(replace(replace(role, '\\', '\\\\'), '###', '#\\##'), '</turn>', '<\\/turn>'), ':' || chr(10), ':\\' || chr(10))) AS n
+  SELECT *, length(replace(replace(replace(text, '\\', '\\\\'), '##', '#\\#'), '</turn>', '<\\/turn>')) + length(replace(replace(replace(replace(role, '\\', '\\\\'), '##', '#\\#'), '</turn>', '<\\/turn>'), ':' || chr(10), ':\\' || chr(10))) AS n
   FROM rows)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
