@@ -251,7 +251,7 @@ def image_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 @registered(f"""WITH {_COUNTS}, p AS (SELECT category_id, CASE WHEN n > 0 THEN 1 / sqrt(n) ELSE 0 END AS r FROM counts), c AS (SELECT category_id, sum(r) OVER (ORDER BY category_id) / sum(r) OVER () AS cumulative FROM p),
 u AS (SELECT ann_key, ('0x' || substr(md5('flip/' || ann_key), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM v_ann)
-SELECT drawn, count(*) AS n FROM (SELECT ann_key, min(category_id) AS drawn FROM u JOIN c ON cumulative > u GROUP BY 1) GROUP BY 1""")
+SELECT drawn, count(*) AS n FROM (SELECT (SELECT min(category_id) FROM c WHERE cumulative > u) AS drawn FROM u) GROUP BY 1""")
 def class_flips(spark: SparkSession, d: str) -> DataFrame:
     flipped = corpus.weighted_draws(views.annotations(spark, d).select("ann_key"), class_flip_weights(spark, d), uniform(F.concat(F.lit("flip/"), F.col("ann_key"))))
     return flipped.groupBy("drawn").agg(F.count(F.lit(1)).alias("n"))
