@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat_format, html_extraction, language_id, line_dedup, mixing, near_dedup, packing, quality_rules, token_counts, topk_search
+from corvane.llm import chat_format, html_extraction, language_id, line_dedup, mixing, near_dedup, packing, piece_codec, quality_rules, token_counts, topk_search, whitening
 from corvane.llm.common import table
 
 
@@ -65,11 +65,23 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(given.unionByName(planted), part_chars=1_000_000))
 
 
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    out = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
-QUERIES = (op1_line_dedup, op2_token_counts, op3_language_id, op4_html_extraction, op5_packing, op6_quality_rules, op7_topk_search, op8_mixing, op9_near_dedup, op10_chat_format)
+QUERIES = (op1_line_dedup, op2_token_counts, op3_language_id, op4_html_extraction, op5_packing, op6_quality_rules, op7_topk_search, op8_mixing, op9_near_dedup, op10_chat_format, op12_piece_codec, op13_whitening)
 
 #: Stripped at both ends and A-Z lower-cased.
 _KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
