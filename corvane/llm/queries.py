@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat_format, html_extraction, language_id, line_dedup, mixing, near_dedup, packing, piece_codec, quality_rules, token_counts, topk_search, whitening
+from corvane.llm import chat_format, html_extraction, language_id, line_dedup, mixing, near_dedup, packing, piece_codec, prefix_trie, quality_rules, token_counts, topk_search, whitening
 from corvane.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(given.unionByName(planted), part_chars=1_000_000))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(prefix_trie.rebuilt(prefix_trie.turn_sequences(table(spark, sf_dir, "conversations"))))
+
+
 def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     out = piece_codec.decode(piece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
@@ -81,7 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
-QUERIES = (op1_line_dedup, op2_token_counts, op3_language_id, op4_html_extraction, op5_packing, op6_quality_rules, op7_topk_search, op8_mixing, op9_near_dedup, op10_chat_format, op12_piece_codec, op13_whitening)
+QUERIES = (op1_line_dedup, op2_token_counts, op3_language_id, op4_html_extraction, op5_packing, op6_quality_rules, op7_topk_search, op8_mixing, op9_near_dedup, op10_chat_format, op11_prefix_trie, op12_piece_codec, op13_whitening)
 
 #: Stripped at both ends and A-Z lower-cased.
 _KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -151,6 +155,26 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(n + 14)::BIGINT AS formatted_chars
 FROM escaped GROUP BY conv_id""",
+    "op11_prefix_trie": """
+WITH turns AS (
+  SELECT conv_id, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(x ORDER BY k) AS l FROM turns GROUP BY conv_id),
+drawn AS (
+  SELECT conv_id, l, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda a, b: list_reduce(range(8), lambda y, i: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END, xor(a, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 9 AS h FROM own),
+rebuilt AS (SELECT o.conv_id, list_concat(coalesce(b.l[1 : h], []), o.l[h + 1 :]) AS l FROM drawn o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+prefixes AS (SELECT conv_id, d, l[1 : d] AS p, len(l) = d AS ends FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY p, d),
+kids AS (SELECT p[1 : d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+measured AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * strlen(n.p[d].t) ELSE 0 END AS saved FROM nodes n LEFT JOIN kids USING (p)),
+below AS (
+  SELECT p[1 : a] AS p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT p, n_children, saved, unnest(range(0, d + 1)) AS a FROM measured) GROUP BY 1)
+SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, b.n_leaves, b.saved_tokens, m.ends_sha256
+FROM measured m JOIN below b ON b.p = m.p LEFT JOIN nodes u ON u.d = m.d - 1 AND u.p = m.p[1 : m.d - 1]""",
     "op8_mixing": """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
