@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ BLOCK_CHUNKS, BLOCK_CHARS, BLOCK_DOCS = 400_000, 32_000_000, 200_000
 KEPT_CHUNKS = 500_000
 #: Ids of one batch of documents.
 BATCH_IDS = 4_000_000
+#: Chunks of at most so many characters that so many documents hold most often have numbers of their own.
+COMMON_CHUNKS, COMMON_CHARS, COMMON_DOCS = 130_000, 24, 5_000
 
 
 def processor(model_file: str):
@@ -78,33 +82,64 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), begins)
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def squeezed(data: bytes) -> bytes:
+    """The data compressed, after its length; short data stay as they are, after a zero."""
+    small = _ZSTD.compress(data, asbytes=True) if len(data) > 64 else data
+    return (len(data).to_bytes(4, "little") + small) if len(small) < len(data) else bytes(4) + data
+
+
+def expanded(data: bytes) -> bytes:
+    n = int.from_bytes(data[:4], "little")
+    return _ZSTD.decompress(data[4:], n, asbytes=True) if n else data[4:]
+
+
+def common_chunks(texts: DataFrame, n: int = COMMON_CHUNKS, docs: int = COMMON_DOCS) -> list[str]:
+    """Chunks that some documents hold most often. They only spare shuffled bytes: any list gives the same ids."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column("text"):
+                counts.update(c for c in chunks_of(text.as_py() or "") if len(c) <= COMMON_CHARS)
+        most = counts.most_common(n)
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in most], pa.string()), pa.array([k for _, k in most], pa.int64())], ["chunk", "n"])
+
+    some = texts.select("text").limit(docs).mapInArrow(counted, "chunk string, n long")
+    return [r.chunk for r in some.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(n).collect()]
+
+
 _DOC, _WORDS = 1, 0
 
 
 def _fields(row: T.DataType) -> T.StructType:
     long, binary = T.LongType(), T.BinaryType()
-    return T.StructType([T.StructField("block", long), T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("row", row), T.StructField("data", binary), T.StructField("words", T.ArrayType(T.StringType()))])
+    return T.StructType([T.StructField("block", long), T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("row", row), T.StructField("data", binary), T.StructField("words", binary)])
 
 
 _NAMES = ["block", "kind", "bucket", "row", "data", "words"]
 
 
-def _chunked(buckets: int):
+def _chunked(buckets: int, common):
     """Rows (row, text) become documents of chunk numbers; after each block come its chunks by bucket, in the order of their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, docs, chars = TaskContext.get().partitionId() << 32, 0, 0
-        numbers: dict[str, int] = {}
+        known = {c: i for i, c in enumerate(common.value[0])}
+        numbers = dict(known)
 
         def words(row_type: pa.DataType) -> pa.RecordBatch:
             by: dict[int, tuple[list[int], list[str]]] = {}
-            for word, k in numbers.items():
+            for word, k in islice(numbers.items(), len(known), None):
                 at = by.setdefault(zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets, ([], []))
                 at[0].append(k)
                 at[1].append(word)
             n = len(by)
             data = [packed(np.diff(k, prepend=0)) for k, _ in by.values()]
-            columns = [pa.array([block] * n, pa.int64()), pa.array([_WORDS] * n, pa.int32()), pa.array(list(by), pa.int32()), pa.nulls(n, row_type), pa.array(data, pa.binary()), pa.array([w for _, w in by.values()], pa.list_(pa.string()))]
+            packs = [squeezed("\n".join(w).encode("utf-8", "surrogatepass")) for _, w in by.values()]
+            columns = [pa.array([block] * n, pa.int64()), pa.array([_WORDS] * n, pa.int32()), pa.array(list(by), pa.int32()), pa.nulls(n, row_type), pa.array(data, pa.binary()), pa.array(packs, pa.binary())]
             return pa.RecordBatch.from_arrays(columns, _NAMES)
 
         row_type = None
@@ -113,18 +148,18 @@ def _chunked(buckets: int):
             in_block, place, data, ended = [], [], [], []
             for text in batch.column("text"):
                 found = chunks_of(text.as_py() or "")
-                data.append(packed([numbers.setdefault(c, len(numbers)) for c in found]))
+                data.append(squeezed(packed([numbers.setdefault(c, len(numbers)) for c in found])))
                 in_block.append(block)
                 place.append(docs)
                 docs, chars = docs + 1, chars + sum(map(len, found))
-                if len(numbers) >= BLOCK_CHUNKS or chars >= BLOCK_CHARS or docs >= BLOCK_DOCS:
+                if len(numbers) - len(known) >= BLOCK_CHUNKS or chars >= BLOCK_CHARS or docs >= BLOCK_DOCS:
                     ended.append(words(row_type))
                     block, docs, chars = block + 1, 0, 0
-                    numbers.clear()
+                    numbers = dict(known)
             n = len(data)
-            yield pa.RecordBatch.from_arrays([pa.array(in_block, pa.int64()), pa.array([_DOC] * n, pa.int32()), pa.array(place, pa.int32()), batch.column("row"), pa.array(data, pa.binary()), pa.nulls(n, pa.list_(pa.string()))], _NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(in_block, pa.int64()), pa.array([_DOC] * n, pa.int32()), pa.array(place, pa.int32()), batch.column("row"), pa.array(data, pa.binary()), pa.nulls(n, pa.binary())], _NAMES)
             yield from ended
-        if numbers:
+        if len(numbers) > len(known):
             yield words(row_type)
 
     return run
@@ -138,9 +173,10 @@ def _segmented(model_file: str):
         known: dict[str, list[int]] = {}
         for batch in batches:
             data = batch.column("data").to_pylist()
-            for i, words in enumerate(batch.column("words").to_pylist()):
-                if words is None:
+            for i, pack in enumerate(batch.column("words").to_pylist()):
+                if pack is None:
                     continue
+                words = expanded(pack).decode("utf-8", "surrogatepass").split("\n")
                 if len(known) >= KEPT_CHUNKS:
                     known.clear()
                 if new := [w for w in words if w not in known]:
@@ -148,64 +184,78 @@ def _segmented(model_file: str):
                 ids = [known[w] for w in words]
                 # numbers, then how many ids each chunk has, then the ids
                 parts = [data[i], packed([len(x) for x in ids]), packed([x for each in ids for x in each])]
-                data[i] = b"".join((*(len(p).to_bytes(4, "little") for p in parts[:2]), *parts))
-            columns = [batch.column(k) for k in _NAMES[:4]] + [pa.array(data, pa.binary()), pa.nulls(len(data), pa.list_(pa.string()))]
+                data[i] = squeezed(b"".join((*(len(p).to_bytes(4, "little") for p in parts[:2]), *parts)))
+            columns = [batch.column(k) for k in _NAMES[:4]] + [pa.array(data, pa.binary()), pa.nulls(len(data), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, _NAMES)
 
     return run
 
 
-def _table(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block's rows of ids: where each chunk's ids begin, how many they are, and all ids."""
-    numbers, counts, ids = [], [], []
-    for r in rows:
+Table = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _table(rows: list[bytes], common: Table) -> Table:
+    """Where the ids of each number's chunk begin, how many they are, and all ids: those of common chunks, then a block's own."""
+    start, size, ids = common
+    numbers, counts, own = [], [], []
+    for r in map(expanded, rows):
         a, b = int.from_bytes(r[:4], "little"), int.from_bytes(r[4:8], "little")
         numbers.append(np.cumsum(unpacked(r[8 : 8 + a])))
         counts.append(unpacked(r[8 + a : 8 + a + b]))
-        ids.append(unpacked(r[8 + a + b :]).astype(np.int32))
-    number, count = np.concatenate(numbers), np.concatenate(counts)
-    begin = np.cumsum(count) - count
-    size = np.zeros(len(number), dtype=np.int64)
-    start = np.zeros(len(number), dtype=np.int64)
-    size[number], start[number] = count, begin
-    return start, size, np.concatenate(ids)
+        own.append(unpacked(r[8 + a + b :]).astype(np.int32))
+    if not rows:
+        return common
+    place, count = np.concatenate(numbers) - len(start), np.concatenate(counts)
+    own_start, own_size = np.zeros((2, len(place)), dtype=np.int64)
+    own_size[place], own_start[place] = count, np.cumsum(count) - count + len(ids)
+    return np.concatenate([start, own_start]), np.concatenate([size, own_size]), np.concatenate([ids, *own])
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def common_table(model_file: str, chunks: list[str]) -> Table:
+    ids = chunk_ids(processor(model_file), chunks)
+    size = np.array([len(x) for x in ids], dtype=np.int64)
+    return np.cumsum(size) - size, size, np.array([x for each in ids for x in each], dtype=np.int32)
+
+
+def _joined(common):
     """Documents (row, ids): rows come sorted by block, its chunks before its documents."""
-    block, rows, table = None, [], None
-    for batch in batches:
-        blocks, kinds, data = batch.column("block").to_pylist(), batch.column("kind").to_pylist(), batch.column("data")
-        at, lengths, values, held_ids = [], [0], [], 0
-
-        def made(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-            flat = pa.array(np.concatenate(values) if values else np.zeros(0, dtype=np.int32), pa.int32())
-            ids = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), flat)
-            return pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at)), ids], ["row", "ids"])
-
-        for i, (b, kind) in enumerate(zip(blocks, kinds, strict=True)):
-            if b != block:
-                block, rows, table = b, [], None
-            if kind == _WORDS:
-                rows.append(data[i].as_py())
-                continue
-            if table is None and rows:
-                table, rows = _table(rows), []
-            at.append(i)
-            chunk = unpacked(data[i].as_py())
-            if len(chunk):
-                start, size, ids = table
-                n = size[chunk]
-                values.append(ids[np.repeat(start[chunk] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-                lengths.append(len(values[-1]))
-                held_ids += lengths[-1]
-            else:
-                lengths.append(0)
-            if held_ids >= BATCH_IDS:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows, table = None, [], None
+        for batch in batches:
+            blocks, kinds, data = batch.column("block").to_pylist(), batch.column("kind").to_pylist(), batch.column("data")
+            at, lengths, values, held_ids = [], [0], [], 0
+
+            def made(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                flat = pa.array(np.concatenate(values) if values else np.zeros(0, dtype=np.int32), pa.int32())
+                ids = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), flat)
+                return pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at)), ids], ["row", "ids"])
+
+            for i, (b, kind) in enumerate(zip(blocks, kinds, strict=True)):
+                if b != block:
+                    block, rows, table = b, [], None
+                if kind == _WORDS:
+                    rows.append(data[i].as_py())
+                    continue
+                if table is None:
+                    table, rows = _table(rows, common.value[1]), []
+                at.append(i)
+                chunk = unpacked(expanded(data[i].as_py()))
+                if len(chunk):
+                    start, size, ids = table
+                    n = size[chunk]
+                    values.append(ids[np.repeat(start[chunk] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+                    lengths.append(len(values[-1]))
+                    held_ids += lengths[-1]
+                else:
+                    lengths.append(0)
+                if held_ids >= BATCH_IDS:
+                    yield made()
+                    at, lengths, values, held_ids = [], [0], [], 0
+            if at:
                 yield made()
-                at, lengths, values, held_ids = [], [0], [], 0
-        if at:
-            yield made()
+
+    return run
 
 
 def encode(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
@@ -219,17 +269,20 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFram
     of documents. A block's distinct chunks go to buckets by their hash, where each is segmented once, and their
     ids come back to the block and are put in place of the numbers. Two shuffles, of numbers and of each
     block's distinct chunks, never of texts; a task holds the chunks of one block, or the ids of a bounded number.
-    A chunk of any length is one chunk.
+    A chunk of any length is one chunk. Up to 130,000 short chunks that the first 5,000 documents hold most
+    often, a few MB, are segmented by the driver and broadcast, as they would be in nearly every block.
     """
     check_pieces(model_file)
     row = F.struct(*(docs[c] for c in docs.columns if c != text_col and c.lower() != "ids"))
     given = docs.select(row.alias("row"), docs[text_col].alias("text"))
-    schema = _fields(given.schema["row"].dataType)
-    chunked = given.mapInArrow(_chunked(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), schema)
+    schema, spark = _fields(given.schema["row"].dataType), docs.sparkSession
+    chunks = ["\n", *(c for c in common_chunks(given) if c != "\n")]  # lists of other chunks are joined by line ends
+    common = spark.sparkContext.broadcast((chunks, common_table(model_file, chunks)))
+    chunked = given.mapInArrow(_chunked(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), common), schema)
     to_bucket = F.when(F.col("kind") == _WORDS, F.col("bucket").cast("long")).otherwise(F.xxhash64("block", "bucket"))
     segmented = chunked.repartition(to_bucket).mapInArrow(_segmented(model_file), schema)
     ordered = segmented.drop("words", "bucket").repartition("block").sortWithinPartitions("block", "kind")
-    out = ordered.mapInArrow(_joined, T.StructType([T.StructField("row", schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    out = ordered.mapInArrow(_joined(common), T.StructType([T.StructField("row", schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     return out.select("row.*", "ids")
 
 
