@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import chat_format, html_extraction, language_id, line_dedup, mixing, near_dedup, packing, queries, quality_rules, token_counts, topk_search
+from corvane.llm import chat_format, html_extraction, language_id, line_dedup, mixing, near_dedup, packing, piece_codec, prefix_trie, queries, quality_rules, token_counts, topk_search, whitening
 from corvane.llm.template import TemplateError, compiled
 
 TINY = "/root/testdata/sf0.001"
@@ -448,6 +448,113 @@ def test_template_language():
             render(bad)
 
 
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def test_piece_codec(spark, odd, empty, monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    nasty = ["", " ", "   ", "a\nb", "\n", "▁a▁b ", " hello  w ", "\x00", "a\x00 b", "<s> </s> <unk> <0x0A>", "x" * 30_000, " \n \n ", None, "tab\tx\r\n", "😀 é漢ﬁ", "ab\n\ncd  ab"]
+    g = random.Random(1)
+    texts = nasty + ["".join(g.choice("ab é漢▁ \n.") for _ in range(g.randint(1, 90))) for _ in range(150)]
+    rows = spark.createDataFrame([(i % 160, x, "old") for i, x in enumerate(texts)], "doc_id long, text string, ids string").repartition(3)
+    want = sorted((i % 160, sp.encode(x or ""), sp.decode(sp.encode(x or ""))) for i, x in enumerate(texts))
+    for blocks in ({}, {"BLOCK_CHUNKS": 7, "KEPT_CHUNKS": 3, "BATCH_IDS": 50, "COMMON_CHUNKS": 5}):  # workers are started anew for the other sizes
+        for k, v in blocks.items():
+            monkeypatch.setattr(piece_codec, k, v)
+        got = piece_codec.decode(piece_codec.encode(rows, MODEL), MODEL)
+        assert got.columns == ["doc_id", "ids", "decoded"]
+        assert sorted((r.doc_id, r.ids, r.decoded) for r in got.collect()) == want
+    got = piece_codec.encode(odd, MODEL)
+    assert set(got.columns) == {c for c in odd.columns if c != "text"} | {"ids"} and got.count() == len(ODD) and got.where("doc_id = 4").count() == 2
+    assert piece_codec.encode(empty, MODEL).count() == 0
+    assert piece_codec.decode(spark.createDataFrame([(None,), ([],), ([6312, None, 28709],)], "ids array<int>"), MODEL).toPandas().decoded.tolist() == ["", "", "hello"]
+
+
+@given(st.lists(st.integers(0, 2**32 - 1)), st.binary(max_size=300))
+def test_packed_numbers(numbers, data):
+    assert piece_codec.unpacked(piece_codec.packed(numbers)).tolist() == numbers
+    assert piece_codec.expanded(piece_codec.squeezed(data)) == data
+
+
+@given(st.text("a é漢▁ \n."))
+def test_chunks_are_independent(text):
+    sp = piece_codec.processor(MODEL)
+    assert [i for ids in piece_codec.chunk_ids(sp, piece_codec.chunks_of(text)) for i in ids] == sp.encode(text)
+
+
+def nodes_by_hand(rows):
+    """All prefixes of rebuilt conversations, from the definition."""
+    by, low = defaultdict(list), lambda x: (x is not None, x if x is not None else 0)
+    for c, _, r, x in sorted(((c, t, r or "", x or "") for c, t, r, x in rows if c is not None), key=lambda r: (r[0], low(r[1]), r[2], r[3])):
+        by[c].append((r, x))
+    made = {c: tuple(by.get(c - int(np.fmod(c, 5)), [])[: (h := zlib.crc32(str(c).encode()) % 9)] + own[h:]) for c, own in by.items()}
+    members, kids, leaves, saved = defaultdict(list), defaultdict(list), {}, {}
+    for c, turns in made.items():
+        for d in range(len(turns) + 1):
+            members[turns[:d]].append(c)
+    for s in members:
+        if s:
+            kids[s[:-1]].append(s)
+    for s in sorted(members, key=len, reverse=True):
+        leaves[s] = sum(leaves[k] for k in kids[s]) or 1
+        saved[s] = (len(members[s]) - 1) * (len(s[-1][1].encode()) if s else 0) + sum(saved[k] for k in kids[s])
+    sha = lambda s: hashlib.sha256(",".join(str(c) for c in sorted(members[s]) if made[c] == s).encode()).hexdigest()
+    return {(min(m), len(s), min(members[s[:-1]]) if s else None, len(m), len(kids[s]), leaves[s], saved[s], sha(s)) for s, m in members.items()}
+
+
+def test_prefix_trie(spark):
+    g = random.Random(5)
+    rows = [(c, t if g.random() < 0.9 else None, g.choice(["user", "a", None]), g.choice(["x", "é", "yy", None, ""])) for c in range(-10, 60) for t in range(g.randint(1, 12))]
+    rows += [(c, t, "user", "copy") for c in range(100, 160) for t in range(3)] + [(None, 1, "a", "b"), (201, 1, "a", "b"), (201, 1, "a", "b"), (300, 1, "a", "z" * 50_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"key": F.lit(1), "turns": F.lit("x"), "digest": F.lit("x")})
+    sequences = prefix_trie.rebuilt(prefix_trie.turn_sequences(df))
+    for shard_turns in (3, 60, 500_000):  # shards that cut copies apart, and one of all
+        got = prefix_trie.prefix_nodes(sequences, shard_turns).collect()
+        assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == nodes_by_hand(rows)
+    assert prefix_trie.prefix_nodes(prefix_trie.turn_sequences(df.limit(0))).count() == 0
+
+
+def test_ternary_trees_stay_low():
+    tree = prefix_trie.TernaryTree()
+    tree.insert_sorted([(i, [i], [1]) for i in range(1000)])
+    height, level = 0, [tree.same[0]]
+    while level := [q for q in level if q >= 0]:
+        height, level = height + 1, [x for q in level for x in (tree.low[q], tree.high[q])]
+    assert height == 10 and sorted(tree.children(0)) == list(range(1, 1001))
+
+
+def whitened_by_hand(vectors, k):
+    x = np.floor(1024 * np.asarray(vectors, dtype=float)) + 100_000
+    n, s = len(x), x.sum(0)
+    values, axes = np.linalg.eigh(np.cov(x.T, bias=True))
+    order = np.argsort(-values)[:k]
+    return ((n * x - s) ** 2).sum(1), (x - s / n) @ axes[:, order] / np.sqrt(values[order]), values[order] / values.sum()
+
+
+def test_whitening(spark, monkeypatch):
+    g = np.random.default_rng(3)
+    vectors = (g.normal(size=(300, 12)) * np.arange(1, 13)).astype(np.float32).tolist()
+    bad = [None, [], [1.0, None] + [0.0] * 10, [float("nan")] + [0.0] * 11, [float("inf")] * 12, [1.0, 2.0]]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(7, vectors[7])] + [(1000 + i, v) for i, v in enumerate(bad)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"n": F.lit("x"), "row": F.lit("r"), "part": F.lit(1), "x": F.lit(2)}).repartition(3)
+    monkeypatch.setattr(whitening, "BLOCK_ROWS", 16)
+    deviation, projected, explained = whitened_by_hand([*vectors, vectors[7]], 8)
+    got = whitening.whiten(df).toPandas()
+    assert set(got.columns) == {*df.columns, "component", "deviation", "whitened", "explained", "identity_error"}
+    assert len(got) == 301 * 8 and (got.n == 301).all() and got.identity_error.nunique() == 1 and got.identity_error[0] < 1e-9
+    for c, rows_of in got.groupby("component"):
+        one = rows_of.drop_duplicates("vec_id").sort_values("vec_id")
+        assert (one.deviation.to_numpy() == deviation[:300]).all() and np.allclose(one.explained, explained[c - 1], rtol=1e-9)
+        mine = projected[:300, c - 1]
+        assert np.allclose(one.whitened * np.sign(one.whitened.iloc[0] * mine[0]), mine, atol=1e-8)
+    two = whitening.whiten(spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0]), (3, [0.0, 0.5])], "vec_id long, embedding array<float>"))
+    assert two.count() == 6
+    for none in (df.limit(0), spark.createDataFrame([(1, [1.0, 2.0])] * 3, "vec_id long, embedding array<float>")):
+        assert whitening.whiten(none).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_parity(spark, name):
     con = duckdb.connect()
