@@ -23,8 +23,8 @@ BLOCK_CHUNKS, BLOCK_CHARS, BLOCK_DOCS = 400_000, 32_000_000, 200_000
 KEPT_CHUNKS = 500_000
 #: Ids of one batch of documents.
 BATCH_IDS = 4_000_000
-#: Chunks of at most so many characters that so many documents hold most often have numbers of their own.
-COMMON_CHUNKS, COMMON_CHARS, COMMON_DOCS = 130_000, 24, 5_000
+#: The chunks of at most so many characters that the first documents of the first tasks hold most often have numbers of their own.
+COMMON_CHUNKS, COMMON_CHARS, COMMON_DOCS, COMMON_TASKS = 200_000, 24, 1_000, 8
 
 
 def processor(model_file: str):
@@ -82,7 +82,7 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), begins)
 
 
-_ZSTD = pa.Codec("zstd", compression_level=1)
+_ZSTD = pa.Codec("zstd", compression_level=3)
 
 
 def squeezed(data: bytes) -> bytes:
@@ -96,18 +96,20 @@ def expanded(data: bytes) -> bytes:
     return _ZSTD.decompress(data[4:], n, asbytes=True) if n else data[4:]
 
 
-def common_chunks(texts: DataFrame, n: int = COMMON_CHUNKS, docs: int = COMMON_DOCS) -> list[str]:
-    """Chunks that some documents hold most often. They only spare shuffled bytes: any list gives the same ids."""
+def common_chunks(texts: DataFrame) -> list[str]:
+    """Chunks that a bounded number of documents hold most often. They only spare shuffled bytes: any list gives the same ids."""
+    n, docs, tasks = COMMON_CHUNKS, COMMON_DOCS, COMMON_TASKS
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if TaskContext.get().partitionId() >= tasks:
+            return
         counts: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column("text"):
-                counts.update(c for c in chunks_of(text.as_py() or "") if len(c) <= COMMON_CHARS)
+        for text in islice((t for batch in batches for t in batch.column("text")), docs):
+            counts.update(c for c in chunks_of(text.as_py() or "") if len(c) <= COMMON_CHARS)
         most = counts.most_common(n)
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in most], pa.string()), pa.array([k for _, k in most], pa.int64())], ["chunk", "n"])
 
-    some = texts.select("text").limit(docs).mapInArrow(counted, "chunk string, n long")
+    some = texts.select("text").mapInArrow(counted, "chunk string, n long")
     return [r.chunk for r in some.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(n).collect()]
 
 
@@ -269,8 +271,8 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFram
     of documents. A block's distinct chunks go to buckets by their hash, where each is segmented once, and their
     ids come back to the block and are put in place of the numbers. Two shuffles, of numbers and of each
     block's distinct chunks, never of texts; a task holds the chunks of one block, or the ids of a bounded number.
-    A chunk of any length is one chunk. Up to 130,000 short chunks that the first 5,000 documents hold most
-    often, a few MB, are segmented by the driver and broadcast, as they would be in nearly every block.
+    A chunk of any length is one chunk. Up to 200,000 short chunks, a few MB, that the first 1,000 documents of
+    each of the first 8 tasks hold most often are segmented by the driver and broadcast: nearly every block has them.
     """
     check_pieces(model_file)
     row = F.struct(*(docs[c] for c in docs.columns if c != text_col and c.lower() != "ids"))
