@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,22 +10,7 @@ from corvane.functions.keys import hash32, uniform
 from corvane.functions.storage import durable
 from corvane.operators import audit, corpus, evaluation, statistics
 from corvane.plans import views
-from corvane.plans.views import duck
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def registered(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = duck(sql)
-        return f
-
-    return add
-
+from corvane.plans.registry import registered
 
 _IOU = """(CASE WHEN a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) > 0
  THEN greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) /
@@ -486,6 +469,3 @@ def polygon_areas(spark: SparkSession, d: str) -> DataFrame:
     c = lambda v: F.col(v).cast("double")
     polygon = F.array(c("x"), c("y"), c("x") + c("w"), c("y"), c("x") + c("w"), c("y") + c("h"), c("x"), c("y") + c("h"))
     return views.annotations(spark, d).select("ann_key", shoelace_area(polygon).alias("area"), uniform(F.col("ann_key")).alias("u"))
-
-
-from corvane.plans import reports  # noqa: E402, F401  registers its queries here

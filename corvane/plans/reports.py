@@ -10,7 +10,8 @@ from corvane.functions.keys import hash32, uniform
 from corvane.functions.ranges import numbered
 from corvane.operators import audit, corpus, evaluation, experiments, replies, vocabulary
 from corvane.plans import views
-from corvane.plans.queries import _CELLS, _COUNTS, _FLOOR, _LINES, _LOG, _RUNS, _WEIGHTS, cases, class_flip_weights, class_weights, label_lines, noise_floor, quota_split, registered, run_log, runs
+from corvane.plans.queries import _CELLS, _COUNTS, _FLOOR, _LINES, _LOG, _RUNS, _WEIGHTS, cases, class_flip_weights, class_weights, label_lines, noise_floor, quota_split, run_log, runs
+from corvane.plans.registry import registered
 
 
 @registered("""SELECT category_id, count(DISTINCT image_id) FILTER (WHERE split = 'valid') AS valid_images, count(DISTINCT image_id) FILTER (WHERE split = 'test') AS test_images

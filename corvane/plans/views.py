@@ -53,6 +53,15 @@ def detections(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def polygons(boxes: DataFrame) -> DataFrame:
+    """boxes with polygon, a hexagon or, for every other image, a concave arrow inside the box."""
+    c = lambda k: F.col(k).cast("double")
+    x, y, w, h = c("x"), c("y"), c("w"), c("h")
+    hexagon = F.array(x + w / 4, y, x + 3 * w / 4, y, x + w, y + h / 2, x + 3 * w / 4, y + h, x + w / 4, y + h, x, y + h / 2)
+    arrow = F.array(x, y, x + w, y, x + w / 2, y + h / 2, x + w, y + h, x, y + h, x + w / 4, y + h / 2)
+    return boxes.withColumn("polygon", F.when(F.col("image_id") % 2 == 0, hexagon).otherwise(arrow))
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
     at = F.col("doc_id") % 10
     return table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id"), F.lit(".txt")).alias("file_name"), F.when(at < 7, "train").when(at < 9, "valid").otherwise("test").alias("split"), F.sha2("text", 256).alias("sha"))

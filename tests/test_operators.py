@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from corvane.functions.geometry import box_iou, box_polygon, polygon_bbox, shoelace_area
 from corvane.functions.keys import anonymous, patient_key, source_key
 from corvane.functions.ranges import numbered, running_sums
+from corvane import plans
 from corvane.operators import audit, corpus, evaluation, replies, statistics
-from corvane.plans import queries as plans
 
 TINY = "/root/testdata/sf0.001"
 BOXES = "image_id long, category_id long, ann_key string, x double, y double, w double, h double"
