@@ -5,20 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from itertools import groupby
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.functions.geometry import box_iou
 from corvane.functions.ranges import running_sums
+from corvane.functions.streams import streamed
 from corvane.operators.corpus import size_group
 
-#: The public COCO definition: thresholds, area ranges in square pixels, recall points.
-IOU_THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
-AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
-MAX_DETS = (1, 10, 100)
-
 
 def missed(annotations: DataFrame, detections: DataFrame, models: Sequence, least_score: float = 0.15, least_iou: float = 0.1) -> DataFrame:
     """(model, annotation) of annotations that no detection of the same image and class hits.
@@ -60,118 +55,26 @@ def top_detections(detections: DataFrame, k: int) -> DataFrame:
     return detections.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _match(gt: list[tuple], det: list[tuple], areas: list[tuple[float, float]]) -> list[list[int]]:
-    """For each detection (x, y, w, h), best first: by area range and threshold 1 if matched, 0 if not, -1 if to be ignored.
+def greedy_instances(pairs: DataFrame, least_iou: float = 0.1, by: Sequence[str] = ("image_id", "category_id")) -> DataFrame:
+    """One-to-one matches among pairs (the keys, det, score, gt, iou): detections by falling score, then det, each takes the free truth of highest iou.
 
-    The rules, and their order, are those of the public COCO matcher.
-    """
-    iou = []
-    for x, y, w, h in det:
-        row = []
-        for gx, gy, gw, gh in gt:
-            common = max(0.0, min(x + w, gx + gw) - max(x, gx)) * max(0.0, min(y + h, gy + gh) - max(y, gy))
-            row.append(common / max(w * h + gw * gh - common, 1e-12))
-        iou.append(row)
-    out: list[list[int]] = [[] for _ in det]
-    for low, high in areas:
-        away = [not low <= g[2] * g[3] <= high for g in gt]
-        order = sorted(range(len(gt)), key=lambda g: away[g])
-        outside = [not low <= d[2] * d[3] <= high for d in det]
-        for thr in IOU_THRESHOLDS:
-            taken: set[int] = set()
-            for d, row in enumerate(iou):
-                best, m = min(thr, 1 - 1e-10), -1
-                for g in order:
-                    if g in taken:
-                        continue
-                    if m >= 0 and not away[m] and away[g]:
-                        break
-                    if row[g] >= best:
-                        best, m = row[g], g
-                if m >= 0:
-                    taken.add(m)
-                out[d].append(-1 if (away[m] if m >= 0 else outside[d]) else int(m >= 0))
-    return out
-
-
-def coco_matches(annotations: DataFrame, detections: DataFrame, max_det: int = 100, areas: dict | None = None) -> DataFrame:
-    """Every detection's match at each threshold and area range: category_id, image_id, area, thr, rank, score, tp, ignored.
-
-    Greedy by score inside an image and class, as the public COCO definition says. Boxes are dealt by image and
-    class and sorted; a task holds one image's boxes of one class at a time.
+    Equal ious go to the smaller gt; pairs below least_iou match nothing. Pairs are sorted inside partitions and
+    streamed: a task holds which truths of one key are taken.
     """
-    areas = areas or AREAS
-    limits, names = list(areas.values()), list(areas)
-    w = Window.partitionBy("image_id", "category_id").orderBy(F.desc("score"), "ann_key")
-    box = [F.col(k).cast("double").alias(k) for k in "xywh"]
-    det = detections.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_det).select("image_id", "category_id", F.col("_r").alias("rank"), F.col("score").cast("double"), *box)
-    gt = annotations.select("image_id", "category_id", F.lit(0).alias("rank"), F.lit(None).cast("double").alias("score"), *box)
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        out: list[tuple] = []
-
-        def batch() -> pa.RecordBatch:
-            columns = [list(c) for c in zip(*out, strict=True)]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int32())), strict=True)], ["image_id", "category_id", "rank", "score", "found"])
-
-        for (image, category), group in groupby(rows, key=lambda r: r[:2]):
-            boxes = list(group)
-            det = [b for b in boxes if b[2]]
-            found = _match([b[4:] for b in boxes if not b[2]], [b[4:] for b in det], limits)
-            out += [(image, category, d[2] - 1, d[3], f) for d, f in zip(det, found, strict=True)]
-            if len(out) >= 2000:
-                yield batch()
-        if out:
-            yield batch()
-
-    ordered = det.unionByName(gt).repartition("image_id", "category_id").sortWithinPartitions("image_id", "category_id", "rank", "x", "y", "w", "h")
-    found = ordered.mapInArrow(match, "image_id long, category_id long, rank int, score double, found array<int>").select("*", F.posexplode("found").alias("_at", "_f"))
-    n = len(IOU_THRESHOLDS)
-    return found.select("image_id", "category_id", F.element_at(F.array(*map(F.lit, names)), (F.col("_at") / n).cast("int") + 1).alias("area"), (F.col("_at") % n).alias("thr"), "rank", "score", (F.col("_f") == 1).alias("tp"), (F.col("_f") < 0).alias("ignored"))
-
-
-def coco_ap(annotations: DataFrame, detections: DataFrame, max_dets: Sequence[int] = MAX_DETS, areas: dict | None = None) -> DataFrame:
-    """Per class, area, max_det and threshold: ap (101 recall points), recall and n_gt; null where there is no ground truth."""
-    areas = areas or AREAS
-    matches = coco_matches(annotations, detections, max(max_dets), areas).where(~F.col("ignored"))
-    ranges = annotations.sparkSession.createDataFrame([(k, *v) for k, v in areas.items()], "area string, low double, high double")
-    size = (F.col("w") * F.col("h")).cast("double")
-    n_gt = annotations.join(F.broadcast(ranges), size.between(F.col("low"), F.col("high"))).groupBy("category_id", "area").agg(F.count(F.lit(1)).alias("n_gt"))
-    cut = matches.withColumn("max_det", F.explode(F.array(*map(F.lit, max_dets)))).where(F.col("rank") < F.col("max_det"))
-    w = Window.partitionBy("category_id", "area", "max_det", "thr").orderBy(F.desc("score"), "image_id", "rank").rowsBetween(Window.unboundedPreceding, 0)
-    curve = cut.withColumns({"_tp": F.sum(F.col("tp").cast("int")).over(w), "_n": F.count(F.lit(1)).over(w)}).join(n_gt, ["category_id", "area"])
-    points = curve.where("tp").select("category_id", "area", "max_det", "thr", "n_gt", "_tp", (F.col("_tp") / F.col("_n")).alias("p"))
-    later = Window.partitionBy("category_id", "area", "max_det", "thr").orderBy(F.desc("_tp")).rowsBetween(Window.unboundedPreceding, 0)
-    hull = points.withColumn("p", F.max("p").over(later))
-    # the k-th hit is the first to reach recalls in ((k-1)/n, k/n]
-    steps = F.floor(100 * F.col("_tp") / F.col("n_gt") + 1e-9) - F.floor(100 * (F.col("_tp") - 1) / F.col("n_gt") + 1e-9) + F.when(F.col("_tp") == 1, 1).otherwise(0)
-    ap = hull.groupBy("category_id", "area", "max_det", "thr").agg((F.sum(F.col("p") * steps) / 101).alias("_ap"), F.max(F.col("_tp") / F.col("n_gt")).alias("_recall"))
-    grid = n_gt.join(F.broadcast(annotations.sparkSession.createDataFrame([(m, t) for m in max_dets for t in range(len(IOU_THRESHOLDS))], "max_det int, thr int")))
-    return grid.join(ap, ["category_id", "area", "max_det", "thr"], "left").select("category_id", "area", "max_det", "thr", "n_gt", F.coalesce("_ap", F.lit(0.0)).alias("ap"), F.coalesce("_recall", F.lit(0.0)).alias("recall"))
-
-
-def coco_summary(ap: DataFrame) -> DataFrame:
-    """The 12 numbers of the public COCO summary, as rows metric and value (mean over classes with ground truth)."""
-    mean = lambda value, area, dets, thr=None: F.avg(F.when((F.col("area") == area) & (F.col("max_det") == dets) & (F.lit(True) if thr is None else F.col("thr") == thr), F.col(value)))
-    numbers = {"AP": mean("ap", "all", 100), "AP50": mean("ap", "all", 100, 0), "AP75": mean("ap", "all", 100, 5)} | {f"AP_{a}": mean("ap", a, 100) for a in ("small", "medium", "large")} | {f"AR{m}": mean("recall", "all", m) for m in MAX_DETS} | {f"AR_{a}": mean("recall", a, 100) for a in ("small", "medium", "large")}
-    return ap.agg(*(v.alias(k) for k, v in numbers.items())).unpivot([], list(numbers), "metric", "value")
-
-
-def greedy_instances(pairs: DataFrame, least_iou: float = 0.1) -> DataFrame:
-    """One-to-one matches of (image_id, category_id, det, score, gt, iou): detections by score, each the free truth of highest iou."""
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for (_, det), rows in pdf.assign(_s=-pdf.score).groupby(["_s", "det"], sort=True):
-            free = rows[(rows.iou >= least_iou) & ~rows["gt"].isin(used)].sort_values(["iou", "gt"], ascending=[False, True])
-            if len(free):
-                used.add(free["gt"].iloc[0])
-                out.append((pdf.image_id.iloc[0], pdf.category_id.iloc[0], det, free["gt"].iloc[0], free.iou.iloc[0]))
-        return pd.DataFrame(out, columns=["image_id", "category_id", "det", "gt", "iou"])
-
-    return pairs.groupBy("image_id", "category_id").applyInPandas(match, "image_id long, category_id long, det string, gt string, iou double")
+    schema = T.StructType([pairs.schema[k] for k in (*by, "det", "gt", "iou")])
+    n = len(by)
+
+    def matched(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for key, of_key in groupby(rows, key=lambda r: r[:n]):
+            used: set = set()
+            for _, of_det in groupby(of_key, key=lambda r: r[n : n + 2]):
+                if best := next((r for r in of_det if r[n + 2] not in used), None):
+                    used.add(best[n + 2])
+                    yield *key, best[n + 1], best[n + 2], best[n + 3]
+
+    near = pairs.where(F.col("iou") >= least_iou).select(*by, (-F.col("score")).alias("_s"), "det", "gt", "iou")
+    ordered = near.repartition(*by).sortWithinPartitions(*by, "_s", "det", F.desc("iou"), "gt")
+    return ordered.mapInArrow(streamed(matched, schema), schema)
 
 
 def average_precision(scored: DataFrame, key: str) -> DataFrame:
@@ -295,7 +198,7 @@ def group_means(values: DataFrame, counts: DataFrame, head_min: int = 5000, tail
 def class_report(ap: DataFrame, counts: DataFrame, head_min: int = 5000, tail_max: int = 100, least: int = 10) -> DataFrame:
     """Rows of a report, commonest class first: its group by train count, counts, ap, and whether too few test instances make it unstable."""
     met = ap.join(counts.select("category_id", "train_n", F.col("test_n").alias("eval_n")), "category_id").withColumns({"grp": size_group("train_n", head_min, tail_max), "unstable": F.col("eval_n") < least})
-    return met.orderBy(F.desc("train_n"), "category_id").select("model", "category_id", "grp", "train_n", "eval_n", "ap", "unstable")
+    return met.orderBy(F.desc("train_n"), "category_id").select("model", "category_id", "grp", "train_n", "eval_n", "ap", *(c for c in ("ap50",) if c in met.columns), "unstable")
 
 
 def centres_in_boxes(boxes: DataFrame, points: DataFrame, labels: dict) -> DataFrame:

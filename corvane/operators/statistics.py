@@ -101,12 +101,20 @@ def epochs(log: DataFrame) -> DataFrame:
     return timed.groupBy("run").agg(F.max("epoch").alias("last_epoch"), F.avg("_d").alias("steady_s"), F.max("metric").alias("peak"), F.min_by("epoch", F.struct(-F.col("metric"), F.col("epoch"))).alias("peak_epoch"), (F.max("metric") - F.max_by("metric", "epoch")).alias("fall"))
 
 
-def gain_shares(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Per class of two reports (category_id, ap): contribution to the gain of the mean, its share, and the gain without the class."""
-    d = old.select("category_id", F.col("ap").alias("_o")).join(new.select("category_id", F.col("ap").alias("_n")), "category_id").withColumn("_d", F.col("_n") - F.col("_o"))
-    every = Window.partitionBy()
+def gain_shares(old: DataFrame, new: DataFrame, counts: DataFrame | None = None, by: Sequence[str] = (), least: int = 10) -> DataFrame:
+    """Per class of two reports (category_id, ap): contribution to the gain of the mean, its share, and the gain without the class.
+
+    With counts (category_id, train_n), n_improved and n_worsened count classes of at least so many train
+    instances. new may hold several reports, told apart by the columns of by.
+    """
+    d = old.select("category_id", F.col("ap").alias("_o")).join(new.select(*by, "category_id", F.col("ap").alias("_n")), "category_id").withColumn("_d", F.col("_n") - F.col("_o"))
+    every = Window.partitionBy(*by)
     k, total = F.count(F.lit(1)).over(every), F.sum("_d").over(every)
-    return d.select("category_id", (F.col("_d") / k).alias("contribution"), (F.col("_d") / total).alias("share"), ((total - F.col("_d")) / F.nullif(k - 1, F.lit(0))).alias("gain_without"))
+    shares = [(F.col("_d") / k).alias("contribution"), (F.col("_d") / F.nullif(total, F.lit(0.0))).alias("share"), ((total - F.col("_d")) / F.nullif(k - 1, F.lit(0))).alias("gain_without")]
+    if counts is None:
+        return d.select(*by, "category_id", *shares)
+    many = lambda cond: F.count_if(cond & (F.col("train_n") >= least)).over(every)
+    return d.join(counts.select("category_id", "train_n"), "category_id").select(*by, "category_id", *shares, many(F.col("_d") > 0).alias("n_improved"), many(F.col("_d") < 0).alias("n_worsened"))
 
 
 def focal_loss(logits: DataFrame, priors: DataFrame, tau: float = 1.0, gamma: float = 2.0, alpha: float = 0.25) -> DataFrame:

@@ -276,16 +276,6 @@ def top_detections(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.top_detections(views.detections(spark, d), 3).select("model", "image_id", "ann_key", "rank")
 
 
-@registered()
-def coco_per_class(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.coco_ap(views.annotations(spark, d), views.detections(spark, d).where("model = 0"))
-
-
-@registered()
-def coco_summary(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.coco_summary(coco_per_class(spark, d))
-
-
 _SCORES = """s AS (SELECT doc_id AS id, 'quality' AS target, quality AS label FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels),
 scored AS (SELECT id, target, label, (label * 300 + ('0x' || substr(md5(target || '/' || id), 1, 8))::BIGINT % 701) / 1000.0::DOUBLE AS score FROM s)"""
 
@@ -443,13 +433,6 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     return statistics.epochs(run_log(spark, d)).withColumn("steady_s", F.round("steady_s", 3))
 
 
-@registered("""WITH a AS (SELECT category_id, avg(score) AS ap FROM v_det WHERE model = 0 GROUP BY 1), b AS (SELECT category_id, avg(score) AS ap FROM v_det WHERE model = 1 GROUP BY 1), x AS (SELECT category_id, b.ap - a.ap AS d FROM a JOIN b USING (category_id))
-SELECT category_id, d / count(*) OVER () AS contribution, d / sum(d) OVER () AS share, (sum(d) OVER () - d) / nullif(count(*) OVER () - 1, 0) AS gain_without FROM x""")
-def gain_decomposition(spark: SparkSession, d: str) -> DataFrame:
-    report = lambda m: views.detections(spark, d).where(F.col("model") == m).groupBy("category_id").agg(F.avg("score").alias("ap"))
-    return statistics.gain_shares(report(0), report(1))
-
-
 @registered("""WITH l AS (SELECT i AS category_id, embedding[i + 1]::DOUBLE AS logit, (label = i)::INTEGER AS target FROM embeddings, (SELECT unnest(range(0, 10)) AS i)),
 p AS (SELECT label AS category_id, count(*) / (SELECT count(*) FROM embeddings) AS prior FROM embeddings GROUP BY 1),
 x AS (SELECT category_id, logit - ln(prior) AS x, target::DOUBLE AS t FROM l JOIN p USING (category_id)),

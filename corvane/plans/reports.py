@@ -140,14 +140,6 @@ def group_means(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.group_means(per, corpus.class_counts(views.annotations(spark, d), views.images(spark, d)), 5000, 700)
 
 
-@registered("""WITH n AS (SELECT category_id, count(*) FILTER (WHERE split = 'train') AS train_n, count(*) FILTER (WHERE split = 'test') AS eval_n FROM v_ann JOIN v_img USING (image_id) GROUP BY 1), s AS (SELECT model, category_id, avg(score) AS ap FROM v_det GROUP BY 1, 2)
-SELECT model, category_id, CASE WHEN train_n > 5000 THEN 'head' WHEN train_n < 700 THEN 'tail' ELSE 'mid' END AS grp, train_n, eval_n, ap, eval_n < 10 AS unstable FROM s JOIN n USING (category_id)""")
-def class_report(spark: SparkSession, d: str) -> DataFrame:
-    counts = corpus.class_counts(views.annotations(spark, d), views.images(spark, d))
-    ap = views.detections(spark, d).groupBy("model", "category_id").agg(F.avg("score").alias("ap"))
-    return evaluation.class_report(ap, counts, 5000, 700)
-
-
 @registered("SELECT model, count(*) AS n, count(DISTINCT image_id) AS n_images, count(*) FILTER (WHERE score >= 0.9) AS n_kept FROM v_det GROUP BY 1")
 def export_stats(spark: SparkSession, d: str) -> DataFrame:
     return views.detections(spark, d).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("image_id").alias("n_images"), F.count_if(F.col("score") >= 0.9).alias("n_kept"))
@@ -238,13 +230,6 @@ def speed_equivalence(spark: SparkSession, d: str) -> DataFrame:
     return experiments.equivalence(log, log.agg(F.min("run")).first()[0])
 
 
-@registered("""WITH a AS (SELECT category_id, avg(score) AS x FROM v_det WHERE model = 0 GROUP BY 1), b AS (SELECT category_id, avg(score) AS y FROM v_det WHERE model = 1 GROUP BY 1)
-SELECT category_id, 100 * (y - x) / nullif(x, 0) AS relative_percent, y > x AS improved FROM a JOIN b USING (category_id)""")
-def relative_changes(spark: SparkSession, d: str) -> DataFrame:
-    report = lambda m: views.detections(spark, d).where(F.col("model") == m).groupBy("category_id").agg(F.avg("score").alias("ap"))
-    return experiments.relative_changes(report(0), report(1))
-
-
 @registered("SELECT image_id, row_number() OVER (ORDER BY file_name) AS number FROM v_img")
 def image_numbers(spark: SparkSession, d: str) -> DataFrame:
     return numbered(views.images(spark, d).select("image_id", "file_name"), ["file_name"], "number").select("image_id", "number")

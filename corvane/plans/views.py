@@ -85,5 +85,6 @@ def duck(query: str) -> str:
     """The query with the views that it names put before it."""
     used = [k for k in DUCK if k in query or k == "v_ann" and "v_det" in query]
     more = query.lstrip()[5:] if query.lstrip().upper().startswith("WITH ") else ""
-    named = [f"{k} AS ({DUCK[k]})" for k in used] + ([more] if more else [])
-    return ("WITH " + ", ".join(named) if named else "") + ("" if more else " " + query.lstrip())
+    first = "WITH RECURSIVE " if more.startswith("RECURSIVE ") else "WITH "
+    named = [f"{k} AS ({DUCK[k]})" for k in used] + ([more.removeprefix("RECURSIVE ")] if more else [])
+    return (first + ", ".join(named) if named else "") + ("" if more else " " + query.lstrip())

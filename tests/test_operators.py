@@ -11,7 +11,7 @@ from corvane.functions.geometry import box_iou, box_polygon, polygon_bbox, shoel
 from corvane.functions.keys import anonymous, patient_key, source_key
 from corvane.functions.ranges import numbered, running_sums
 from corvane import plans
-from corvane.operators import audit, corpus, evaluation, replies, statistics
+from corvane.operators import audit, coco, corpus, evaluation, replies, statistics
 
 TINY = "/root/testdata/sf0.001"
 BOXES = "image_id long, category_id long, ann_key string, x double, y double, w double, h double"
@@ -57,18 +57,18 @@ def test_a_rejected_nearer_candidate_hides_no_duplicate(spark):
 def test_self_evaluation_is_perfect(spark):
     rows = [(i, c, f"{i}-{c}-{k}", 100.0 * k, 10.0, 20.0 + 30 * k, 20.0 + 30 * k) for i in range(12) for c in (1, 2) for k in range(2)]
     gt = spark.createDataFrame(rows, BOXES)
-    ap = evaluation.coco_ap(gt, gt.withColumn("score", F.lit(0.9)))
+    ap = coco.coco_ap(gt, gt.withColumn("score", F.lit(0.9)))
     assert all(r.ap == pytest.approx(1.0) and r.recall == 1.0 for r in ap.where("area = 'all' and max_det = 100").collect())
     moved = gt.withColumns({"x": F.col("x") + F.when(F.col("category_id") == 2, 30).otherwise(0), "score": F.lit(0.9)})
-    worse = {r.category_id: r.ap for r in evaluation.coco_ap(gt, moved).where("area = 'all' and max_det = 100 and thr = 0").collect()}
+    worse = {r.category_id: r.ap for r in coco.coco_ap(gt, moved).where("area = 'all' and max_det = 100 and thr = 0").collect()}
     assert worse[1] == pytest.approx(1.0) and worse[2] < 0.1
-    assert {r.metric: r.value for r in evaluation.coco_summary(ap).collect()}["AP"] == pytest.approx(1.0)
+    assert {r.metric: r.value for r in coco.coco_summary(ap).collect()}["AP"] == pytest.approx(1.0)
 
 
 def test_ap_of_known_curve(spark):
     gt = spark.createDataFrame([(i, 1, str(i), 0.0, 0.0, 50.0, 50.0) for i in range(4)], BOXES)
     det = [(i, 1, f"d{i}", 0.0 if hit else 500.0, 0.0, 50.0, 50.0, s) for i, (hit, s) in enumerate([(True, 0.9), (False, 0.8), (True, 0.7)])]
-    got = evaluation.coco_ap(gt, spark.createDataFrame(det, BOXES + ", score double")).where("area = 'all' and max_det = 100 and thr = 0").first()
+    got = coco.coco_ap(gt, spark.createDataFrame(det, BOXES + ", score double")).where("area = 'all' and max_det = 100 and thr = 0").first()
     points = [1.0 if r <= 0.25 else 2 / 3 if r <= 0.5 else 0.0 for r in (i / 100 for i in range(101))]
     assert got.ap == pytest.approx(sum(points) / 101) and got.recall == 0.5
 
