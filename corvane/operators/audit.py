@@ -5,22 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.geometry import scaled, shoelace_area
+from corvane.functions.geometry import let, scaled, shoelace_area
 from corvane.functions.keys import SAFE, anonymous, patient_key, source_key
 
 
+def typed_lines(lines: DataFrame) -> DataFrame:
+    """Rows of lines that are not blank, with class_id (int, or null) and _v (doubles; null for what is no finite number).
+
+    A row's line is computed and taken apart once, whatever it is derived from: filters that come later can't
+    reach behind the array that is exploded here.
+    """
+
+    def parts(line: Column) -> Column:
+        split = F.split(F.btrim(line), r"\s+")
+        number = lambda v: let(v.try_cast("double"), lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x))
+        return let(split, lambda p: F.struct(line.alias("line"), F.get(p, 0).try_cast("int").alias("class_id"), F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), number).alias("_v")))
+
+    taken = lines.select(*(c for c in lines.columns if c != "line"), F.explode(F.filter(F.array("line"), lambda x: F.btrim(x) != "")).alias("line"))
+    rows = taken.select(*(c for c in lines.columns if c != "line"), F.explode(F.array(parts(F.col("line")))).alias("_l"))
+    return rows.select(*(F.col("_l.line").alias("line") if c == "line" else F.col(c) for c in lines.columns), "_l.class_id", "_l._v")
+
+
 def check_label_lines(lines: DataFrame, n_classes: int, clamp: bool = False) -> DataFrame:
     """lines (with line, width, height) with problem (the first fatal rule broken, else null) and out_of_range.
 
     Fatal: malformed_line, malformed_polygon, class_out_of_range, zero_area_polygon. A coordinate beyond the
-    unit square by more than 1e-6 is recorded only. Blank lines are not rows.
+    unit square by more than 1e-6 is recorded only; one that is NaN or infinite is no number. Blank lines are
+    not rows.
     """
-    parts = F.split(F.btrim("line"), r"\s+")
-    split = lines.where(F.btrim("line") != "").withColumn("_p", parts)
-    texts = F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0)))
-    numbers = F.transform(texts, lambda v: v.try_cast("double"))
-    klass = F.get("_p", 0).try_cast("int")
-    typed = split.withColumns({"class_id": klass, "_v": numbers})
+    typed = typed_lines(lines)
     n, broken = F.size("_v"), F.exists("_v", lambda v: v.isNull())
     area = shoelace_area(scaled(F.col("_v"), F.col("width"), F.col("height"), clamp))
     problem = (
@@ -32,7 +45,16 @@ def check_label_lines(lines: DataFrame, n_classes: int, clamp: bool = False) ->
     )
     outside = F.coalesce(F.exists("_v", lambda v: (v < -1e-6) | (v > 1 + 1e-6)), F.lit(False))
     good = F.col("problem").isNull() | (F.col("problem") == "zero_area_polygon")
-    return typed.withColumn("problem", problem).withColumn("out_of_range", outside & good).drop("_p", "_v")
+    return typed.withColumn("problem", problem).withColumn("out_of_range", outside & good).drop("_v")
+
+
+PROBLEMS = ("malformed_line", "malformed_polygon", "class_out_of_range", "zero_area_polygon")
+
+
+def split_verdicts(checked: DataFrame) -> DataFrame:
+    """Per split of checked label lines (split, problem): lines, those of each problem, and whether there is none."""
+    of = [F.count_if(F.col("problem") == p).alias(f"n_{p}") for p in PROBLEMS]
+    return checked.groupBy("split").agg(F.count(F.lit(1)).alias("n_lines"), *of, (F.count("problem") == 0).alias("passes"))
 
 
 def unpaired(images: DataFrame, labels: DataFrame, key: str = "image_id") -> DataFrame:
@@ -93,8 +115,8 @@ def verdict_counts(confirmed: DataFrame) -> DataFrame:
 
 
 def apart_from_groups(files: DataFrame, groups: DataFrame) -> DataFrame:
-    """files (sha) whose content no other file has, those that a search for near duplicates begins with."""
-    return files.join(groups.select("sha"), "sha", "left_anti")
+    """files (sha) whose content no other split has, those that a search for near duplicates begins with. Copies inside a split stay."""
+    return files.join(groups.where("leaks").select("sha"), "sha", "left_anti")
 
 
 def confirmed_partners(pairs: DataFrame, thumbs: DataFrame, least: float = 0.98) -> DataFrame:

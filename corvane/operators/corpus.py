@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions.geometry import box_iou, box_polygon, polygon_bbox, scaled, shoelace_area
 from corvane.functions.keys import hash32, uniform
 from corvane.functions.ranges import numbered, running_sums
+from corvane.operators.audit import typed_lines
 
 
 def size_group(n: str, head_min: int = 5000, tail_max: int = 100):
@@ -158,15 +159,13 @@ def paste_plan(annotations: DataFrame, images: DataFrame, max_count: int, copies
 def converted(lines: DataFrame, n_classes: int) -> DataFrame:
     """Annotations of well-formed label lines (line, width, height): category_id (from 1), polygon in pixels, clamped to the image, bbox and area.
 
-    Lines with a bad class, fewer than three points, an odd number of values or one that is no number are left
-    out; an area below 1 marks those that a converter drops.
+    Lines with a bad class, fewer than three points, an odd number of values or one that is no finite number are
+    left out; an area below 1 marks those that a converter drops.
     """
-    parts = F.split(F.btrim("line"), r"\s+")
-    numbers = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda v: v.try_cast("double"))
-    typed = lines.where(F.btrim("line") != "").withColumns({"_c": F.get(parts, 0).try_cast("int"), "_v": numbers})
-    good = typed.where(F.col("_c").between(0, n_classes - 1) & (F.size("_v") >= 6) & (F.size("_v") % 2 == 0) & ~F.exists("_v", lambda v: v.isNull()))
-    placed = good.withColumns({"category_id": F.col("_c") + 1, "polygon": scaled(F.col("_v"), F.col("width"), F.col("height"))})
-    return placed.withColumns({"bbox": polygon_bbox(F.col("polygon")), "area": shoelace_area(F.col("polygon"))}).drop("_c", "_v")
+    typed = typed_lines(lines)
+    good = typed.where(F.col("class_id").between(0, n_classes - 1) & (F.size("_v") >= 6) & (F.size("_v") % 2 == 0) & ~F.exists("_v", lambda v: v.isNull()))
+    placed = good.withColumn("category_id", F.col("class_id") + 1).withColumn("polygon", F.explode(F.array(scaled(F.col("_v"), F.col("width"), F.col("height")))))
+    return placed.withColumns({"bbox": polygon_bbox(F.col("polygon")), "area": shoelace_area(F.col("polygon"))}).drop("class_id", "_v")
 
 
 def verified_split(images: DataFrame, annotations: DataFrame, group: str, train: str = "train") -> DataFrame:

@@ -42,8 +42,9 @@ def reply_boxes(replies: DataFrame, categories: DataFrame) -> DataFrame:
     a pixel are left out. A score that is missing or no number is 0.5, others are clipped to 0..1. Replies
     without an array, or with one that is no JSON, give no rows.
     """
-    items = replies.withColumn("_a", first_array("text")).select("image_id", "width", "height", F.explode(F.from_json("_a", "array<string>")).alias("_i"))
-    item = items.withColumn("_i", F.from_json("_i", "class string, box_2d string, confidence string")).select("image_id", "width", "height", F.btrim("_i.class").alias("name"), F.from_json("_i.box_2d", "array<string>").alias("_b"), F.col("_i.confidence").alias("_s"))
+    json = lambda c, schema: F.from_json(c, schema, {"allowSingleQuotes": "false"})
+    items = replies.withColumn("_a", first_array("text")).select("image_id", "width", "height", F.explode(json("_a", "array<string>")).alias("_i"))
+    item = items.withColumn("_i", json("_i", "class string, box_2d string, confidence string")).select("image_id", "width", "height", F.btrim("_i.class").alias("name"), json("_i.box_2d", "array<string>").alias("_b"), F.col("_i.confidence").alias("_s"))
     known = mapped_names(item.where("size(_b) = 4"), categories).where("category_id is not null")
     number = known.withColumns({f"_{i}": F.get("_b", i).try_cast("double") for i in range(4)}).where("_0 is not null and _1 is not null and _2 is not null and _3 is not null")
     inside = lambda k, size: F.greatest(F.lit(0.0), F.least(F.col(k), F.col(size).cast("double")))

@@ -120,12 +120,15 @@ _LINES = """lines AS (SELECT image_id, ann_key, width, height, CASE k WHEN 0 THE
   ('0x' || substr(md5('l/' || ann_key), 1, 8))::BIGINT % 40 AS k FROM v_ann JOIN v_img USING (image_id))))"""
 
 
-@registered(f"""WITH {_LINES}, p AS (SELECT *, string_split_regex(trim(line), '\\s+') AS t FROM lines WHERE trim(line) <> ''),
+_CHECKED = """p AS (SELECT *, string_split_regex(trim(line), '\\s+') AS t FROM lines WHERE trim(line) <> ''),
 v AS (SELECT *, try_cast(t[1] AS INTEGER) AS class_id, list_transform(t[2:], lambda z: try_cast(z AS DOUBLE)) AS c FROM p),
 s AS (SELECT *, list_transform(c, lambda z, i: z * CASE WHEN i % 2 = 1 THEN width ELSE height END) AS q FROM v),
 a AS (SELECT *, CASE WHEN class_id IS NULL THEN 'malformed_line' WHEN len(c) < 6 OR len(c) % 2 = 1 THEN 'malformed_polygon' WHEN class_id < 0 OR class_id >= 32 THEN 'class_out_of_range'
  WHEN len(list_filter(c, lambda z: z IS NULL)) > 0 THEN 'malformed_line'
- WHEN abs(list_sum(list_transform(range(1, len(q), 2), lambda i: q[i] * q[(i + 2) % len(q) + 1] - q[(i + 1) % len(q) + 1] * q[i + 1]))) / 2 < 1 THEN 'zero_area_polygon' END AS problem FROM s)
+ WHEN abs(list_sum(list_transform(range(1, len(q), 2), lambda i: q[i] * q[(i + 2) % len(q) + 1] - q[(i + 1) % len(q) + 1] * q[i + 1]))) / 2 < 1 THEN 'zero_area_polygon' END AS problem FROM s)"""
+
+
+@registered(f"""WITH {_LINES}, {_CHECKED}
 SELECT coalesce(problem, 'none') AS problem, count(*) AS n, count(*) FILTER (WHERE (problem IS NULL OR problem = 'zero_area_polygon') AND len(list_filter(c, lambda z: z < -1e-6 OR z > 1.000001)) > 0) AS n_out_of_range FROM a GROUP BY 1""")
 def label_validation(spark: SparkSession, d: str) -> DataFrame:
     checked = audit.check_label_lines(label_lines(spark, d), 32)

@@ -10,7 +10,7 @@ from corvane.functions.keys import hash32, uniform
 from corvane.functions.ranges import numbered
 from corvane.operators import audit, corpus, evaluation, experiments, replies, vocabulary
 from corvane.plans import views
-from corvane.plans.queries import _CELLS, _COUNTS, _FLOOR, _LINES, _LOG, _RUNS, _WEIGHTS, cases, class_flip_weights, class_weights, label_lines, noise_floor, quota_split, run_log, runs
+from corvane.plans.queries import _CELLS, _CHECKED, _COUNTS, _FLOOR, _LINES, _LOG, _RUNS, _WEIGHTS, cases, class_flip_weights, class_weights, label_lines, noise_floor, quota_split, run_log, runs
 from corvane.plans.registry import registered
 
 
@@ -21,17 +21,13 @@ def thin_classes(spark: SparkSession, d: str) -> DataFrame:
     return wide.where("valid_images < 150").orderBy("valid_images", "category_id").select("category_id", "valid_images", "test_images")
 
 
-@registered(f"""WITH {_LINES}, p AS (SELECT *, string_split_regex(trim(line), '\\s+') AS t FROM lines JOIN (SELECT image_id AS i, split FROM v_img) ON i = image_id WHERE trim(line) <> ''),
-q AS (SELECT split, CASE WHEN try_cast(t[1] AS INTEGER) IS NULL THEN 'malformed_line' WHEN len(t) < 7 OR len(t) % 2 = 0 THEN 'malformed_polygon' WHEN try_cast(t[1] AS INTEGER) >= 32 THEN 'class_out_of_range' END AS problem FROM p)
-SELECT split, count(*) AS n_lines, count(*) FILTER (WHERE problem = 'malformed_line') AS n_bad_class, count(*) FILTER (WHERE problem = 'malformed_polygon') AS n_bad_polygon, count(*) FILTER (WHERE problem = 'class_out_of_range') AS n_out_of_range, count(problem) = 0 AS passes FROM q GROUP BY 1""")
+@registered(f"""WITH {_LINES}, {_CHECKED}
+SELECT split, count(*) AS n_lines, count(*) FILTER (WHERE problem = 'malformed_line') AS n_malformed_line, count(*) FILTER (WHERE problem = 'malformed_polygon') AS n_malformed_polygon,
+ count(*) FILTER (WHERE problem = 'class_out_of_range') AS n_class_out_of_range, count(*) FILTER (WHERE problem = 'zero_area_polygon') AS n_zero_area_polygon, count(problem) = 0 AS passes FROM a JOIN (SELECT image_id, split FROM v_img) USING (image_id) GROUP BY 1""")
 def split_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    lines = label_lines(spark, d).join(views.images(spark, d).select("image_id", "split"), "image_id")
-    t = F.split(F.btrim("line"), r"\s+")
-    klass, n = F.get(t, 0).try_cast("int"), F.size(t)
-    problem = F.when(klass.isNull(), "malformed_line").when((n < 7) | (n % 2 == 0), "malformed_polygon").when(klass >= 32, "class_out_of_range")
-    named = lines.where(F.btrim("line") != "").select("split", problem.alias("problem"))
-    count = lambda k: F.count_if(F.col("problem") == k)
-    return named.groupBy("split").agg(F.count(F.lit(1)).alias("n_lines"), count("malformed_line").alias("n_bad_class"), count("malformed_polygon").alias("n_bad_polygon"), count("class_out_of_range").alias("n_out_of_range"), (F.count("problem") == 0).alias("passes"))
+    split = views.images(spark, d).select("image_id", "split")
+    return audit.split_verdicts(audit.check_label_lines(label_lines(spark, d), 32).join(split, "image_id"))
+
 
 
 @registered(f"""WITH {_LINES}, p AS (SELECT *, string_split_regex(trim(line), '\\s+') AS t FROM lines WHERE trim(line) <> ''),
