@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.geometry import let, scaled, shoelace_area
+from corvane.functions.ranges import quantiles
 from corvane.functions.keys import SAFE, anonymous, patient_key, source_key
 
 
@@ -168,6 +169,19 @@ def reconciled(left: DataFrame, right: DataFrame, keys: list[str], count: Column
 
 
 def distribution(rows: DataFrame, by: list[str], value: str, threshold: float) -> DataFrame:
-    """Least, greatest and mean value, exact percentiles, and how many reach the threshold."""
-    p = lambda q: F.percentile(value, q)
-    return rows.groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.count_if(F.col(value) >= threshold).alias("n_above"))
+    """Per group least, greatest and mean value, exact percentiles, and how many reach the threshold; all 0 where no value is.
+
+    Without `by` there is one row, for an empty table too.
+    """
+    whole = rows.groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.count_if(F.col(value) >= threshold).alias("n_above"))
+    cuts = quantiles(rows, by, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    if by:
+        same = None
+        cuts = cuts.withColumnsRenamed({k: f"_by_{k}" for k in by})
+        for k in by:
+            same = F.col(k).eqNullSafe(F.col(f"_by_{k}")) if same is None else same & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
+        met = whole.join(cuts, same, "left")
+    else:
+        met = whole.join(cuts, F.lit(True), "left")  # a row with a row
+    names = ("least", "most", "mean", "p50", "p95", "p99")
+    return met.select(*by, *(F.coalesce(F.col(k).cast("double"), F.lit(0.0)).alias(k) for k in names), "n_above")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.geometry import box_iou, box_polygon, polygon_bbox, scaled, shoelace_area
 from corvane.functions.keys import hash32, uniform
-from corvane.functions.ranges import numbered, running_sums
+from corvane.functions.ranges import numbered, quantiles, running_sums
 from corvane.operators.audit import typed_lines
 
 
@@ -183,6 +183,12 @@ def largest_of_class(annotations: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("_r") <= k).orderBy("category_id", F.desc("area"), "ann_key").select("category_id", "ann_key", "area")
 
 
+def smallest_classes(annotations: DataFrame, k: int) -> DataFrame:
+    """The k classes whose boxes have the smallest median side (the root of the area), ties by class."""
+    sides = annotations.select("category_id", F.sqrt((F.col("w") * F.col("h")).cast("double")).alias("_s"))
+    return quantiles(sides, ["category_id"], "_s", {"median_side": 0.5}).orderBy("median_side", "category_id").limit(k)
+
+
 def shift_summary(weights: DataFrame) -> DataFrame:
     """Least and greatest logit shift over classes, their spread, and how often the commonest class is the rarest seen one."""
     return weights.agg(F.min("logit_shift").alias("least_shift"), F.max("logit_shift").alias("most_shift"), (F.max("logit_shift") - F.min("logit_shift")).alias("spread"), (F.max("n") / F.min(F.when(F.col("n") > 0, F.col("n")))).alias("imbalance"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.functions.geometry import box_iou
-from corvane.functions.ranges import running_sums
+from corvane.functions.ranges import quantiles, running_sums
+from corvane.functions.storage import durable
 from corvane.functions.streams import streamed
 from corvane.operators.corpus import size_group
 
@@ -93,7 +94,7 @@ def box_runs(boxes: DataFrame, grid: int = 8, by: Sequence[str] = ("image_id", "
 
 
 def mask_cases(truth: DataFrame, predicted: DataFrame, by: Sequence[str] = ("image_id", "category_id")) -> DataFrame:
-    """Per key of two run tables: gt_px, dt_px, both_px, dice, iou, tversky and focal_tversky.
+    """Per key of two run tables: gt_px, dt_px, both_px, dice, iou, tversky, focal_tversky and soft_dice (with 1 added above and below).
 
     Runs may overlap. Each line is swept once from run end to run end, counting the runs of either side that lie
     open. Dice and IoU are 0 where one side is empty.
@@ -104,10 +105,35 @@ def mask_cases(truth: DataFrame, predicted: DataFrame, by: Sequence[str] = ("ima
     held = w.rowsBetween(Window.unboundedPreceding, 0)
     swept = events.select(*by, F.coalesce(F.lead("x").over(w) - F.col("x"), F.lit(0)).alias("_w"), (F.sum("t").over(held) > 0).alias("_t"), (F.sum("p").over(held) > 0).alias("_p"))
     size = lambda cond: F.sum(F.when(cond, F.col("_w")).otherwise(0))
-    both = swept.groupBy(*by).agg(size(F.col("_t")).alias("gt_px"), size(F.col("_p")).alias("dt_px"), size(F.col("_t") & F.col("_p")).alias("both_px"))
+    return _overlaps(swept.groupBy(*by).agg(size(F.col("_t")).alias("gt_px"), size(F.col("_p")).alias("dt_px"), size(F.col("_t") & F.col("_p")).alias("both_px")))
+
+
+def _overlaps(sizes: DataFrame) -> DataFrame:
     g, d, c = F.col("gt_px"), F.col("dt_px"), F.col("both_px")
     tversky = (c + 1) / (c + 0.7 * (g - c) + 0.3 * (d - c) + 1)
-    return both.withColumns({"dice": 2 * c / (g + d), "iou": c / (g + d - c), "tversky": tversky, "focal_tversky": F.pow(1 - tversky, F.lit(1 / 1.33))})
+    soft = (2 * c + 1) / (g + d + 1)
+    return sizes.withColumns({"dice": 2 * c / (g + d), "iou": c / (g + d - c), "tversky": tversky, "focal_tversky": F.pow(1 - tversky, F.lit(1 / 1.33)), "soft_dice": soft})
+
+
+def model_mask_cases(truth: DataFrame, predicted: DataFrame, models: Sequence) -> DataFrame:
+    """mask_cases() by model, image_id and category_id, with the truth's runs swept once for all models of the list.
+
+    predicted has model; runs of models that are not in the list don't count. A model has a case where it or the
+    truth has a cell.
+    """
+    end = lambda x, step: F.struct(F.col(x).alias("x"), F.lit(step).alias("step"))
+    ends = F.explode(F.array(end("x0", 1), end("x1", -1))).alias("_e")
+    keys = ["image_id", "category_id", "line"]
+    events = truth.select(*keys, F.lit(-1).alias("_m"), ends).unionByName(predicted.select(*keys, F.array_position(F.array(*map(F.lit, models)), F.col("model")).cast("int").alias("_m"), ends).where("_m > 0")).select(*keys, "_m", "_e.*")
+    w = Window.partitionBy(*keys).orderBy("x")
+    held = w.rowsBetween(Window.unboundedPreceding, 0)
+    is_open = lambda m: F.sum(F.when(F.col("_m") == m, F.col("step")).otherwise(0)).over(held) > 0
+    swept = events.select(*keys, F.coalesce(F.lead("x").over(w) - F.col("x"), F.lit(0)).alias("_w"), is_open(-1).alias("_t"), *(is_open(i + 1).alias(f"_p{i}") for i in range(len(models))))
+    size = lambda cond: F.sum(F.when(cond, F.col("_w")).otherwise(0))
+    per = swept.where("_w > 0").groupBy("image_id", "category_id").agg(size(F.col("_t")).alias("gt_px"), *(size(F.col(f"_p{i}")).alias(f"_d{i}") for i in range(len(models))), *(size(F.col("_t") & F.col(f"_p{i}")).alias(f"_b{i}") for i in range(len(models))))
+    rows = F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"_d{i}").alias("dt_px"), F.col(f"_b{i}").alias("both_px")) for i, m in enumerate(models)))
+    each = per.select("image_id", "category_id", "gt_px", F.explode(rows).alias("_r")).select("_r.model", "image_id", "category_id", "gt_px", "_r.dt_px", "_r.both_px")
+    return _overlaps(each.where("gt_px > 0 or dt_px > 0"))
 
 
 def case_summary(cases: DataFrame) -> DataFrame:
@@ -127,19 +153,21 @@ def area_endpoint(cases: DataFrame, images: DataFrame, category: int, cell: int
 def endpoint_stats(endpoint: DataFrame) -> DataFrame:
     """Per model: agreement over images with g > 0, and false positives over the others; nulls where there is nothing to say.
 
-    Spearman's correlation is over ordinal ranks, ties by image.
+    Spearman's correlation is over ordinal ranks, ties by image. The endpoint is kept, as it is read several times.
     """
+    endpoint = durable(endpoint)
     one = {"_r": F.lit(1).cast("long")}
     rank = lambda rows, c: running_sums(rows, ["model"], [c, "image_id"], one).withColumnRenamed("_r", f"_r{c}")
     ranked = rank(rank(endpoint.where("g > 0"), "g"), "p").unionByName(endpoint.where("not g > 0"), allowMissingColumns=True)
     e, pos = F.col("p") - F.col("g"), F.col("g") > 0
     at = lambda v: F.when(pos, v)
     sd = F.stddev_samp(at(e))
-    return ranked.groupBy("model").agg(
+    ape = endpoint.where("g > 0").select("model", (F.abs(e) / F.greatest("g", F.lit(1e-9)) * 100).alias("ape"))
+    median = quantiles(ape, ["model"], "ape", {"median_ape": 0.5})
+    stats = ranked.groupBy("model").agg(
         F.count_if(pos).alias("n_positive"),
         F.avg(at(F.abs(e))).alias("mae"),
         F.avg(at(e)).alias("bias"),
-        F.percentile(at(F.abs(e) / F.greatest("g", F.lit(1e-9)) * 100), 0.5).alias("median_ape"),
         (F.avg(at(e)) - 1.96 * sd).alias("loa_low"),
         (F.avg(at(e)) + 1.96 * sd).alias("loa_high"),
         F.corr(at(F.col("g")), at(F.col("p"))).alias("pearson"),
@@ -147,11 +175,12 @@ def endpoint_stats(endpoint: DataFrame) -> DataFrame:
         F.avg(F.when(~pos, F.col("p"))).alias("false_positive_area"),
         F.avg(F.when(~pos, (F.col("p") > 0).cast("double"))).alias("false_positive_rate"),
     )
+    return stats.join(median, "model", "left")
 
 
 def endpoint_changes(endpoint: DataFrame, reference: int = 0) -> DataFrame:
     """Each other model's absolute error less the reference's, of images with g > 0: model, image_id, change."""
-    err = endpoint.where("g > 0").select("model", "image_id", F.abs(F.col("p") - F.col("g")).alias("_e"))
+    err = durable(endpoint.where("g > 0").select("model", "image_id", F.abs(F.col("p") - F.col("g")).alias("_e")))  # both sides of the join
     base = err.where(F.col("model") == reference).select("image_id", F.col("_e").alias("_b"))
     return err.where(F.col("model") != reference).join(base, "image_id").select("model", "image_id", (F.col("_e") - F.col("_b")).alias("change"))
 

@@ -104,7 +104,9 @@ def label_lines(spark: SparkSession, d: str) -> DataFrame:
     """Label lines of annotations, some of them broken in one of seven ways by a hash."""
     a = views.annotations(spark, d).join(views.images(spark, d).select("image_id", "width", "height"), "image_id")
     n = lambda v, size: F.format_string("%.6f", v / F.col(size))
-    x0, y0, x1, y1 = n(F.col("x"), "width"), n(F.col("y"), "height"), n(F.col("x") + F.col("w"), "width"), n(F.col("y") + F.col("h"), "height")
+    ends = {"_x0": n(F.col("x"), "width"), "_y0": n(F.col("y"), "height"), "_x1": n(F.col("x") + F.col("w"), "width"), "_y1": n(F.col("y") + F.col("h"), "height")}
+    a = a.withColumns(ends)
+    x0, y0, x1, y1 = map(F.col, ends)
     c, box = F.col("category_id").cast("string"), F.concat_ws(" ", x0, y0, x1, y0, x1, y1, x0, y1)
     k = hash32(F.concat(F.lit("l/"), F.col("ann_key"))) % 40
     line = (
@@ -305,12 +307,11 @@ cases AS (SELECT *, 2 * both_px / (gt_px + dt_px) AS dice, both_px / (gt_px + dt
 
 def cases(spark: SparkSession, d: str) -> DataFrame:
     """Mask cases of the annotations' boxes and each model's, on a grid of 8 pixels."""
-    by = ["model", "image_id", "category_id"]
-    truth = views.annotations(spark, d).withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(views.N_MODELS - 1))))
-    return evaluation.mask_cases(evaluation.box_runs(truth, by=by), evaluation.box_runs(views.detections(spark, d), by=by), by)
+    truth = evaluation.box_runs(views.annotations(spark, d))
+    return evaluation.model_mask_cases(truth, evaluation.box_runs(views.detections(spark, d), by=("model", "image_id", "category_id")), range(views.N_MODELS))
 
 
-@registered(f"WITH {_CELLS} SELECT *, pow(1 - tversky, 1 / 1.33::DOUBLE) AS focal_tversky FROM cases")
+@registered(f"WITH {_CELLS} SELECT *, pow(1 - tversky, 1 / 1.33::DOUBLE) AS focal_tversky, (2 * both_px + 1) / (gt_px + dt_px + 1) AS soft_dice FROM cases")
 def mask_overlap(spark: SparkSession, d: str) -> DataFrame:
     return cases(spark, d)
 

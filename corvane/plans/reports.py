@@ -153,8 +153,7 @@ def pilot_images(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("SELECT category_id, quantile_cont(sqrt(w * h), 0.5) AS median_side FROM v_ann GROUP BY 1 ORDER BY 2, 1 LIMIT 12")
 def smallest_classes(spark: SparkSession, d: str) -> DataFrame:
-    side = F.sqrt((F.col("w") * F.col("h")).cast("double"))
-    return views.annotations(spark, d).groupBy("category_id").agg(F.percentile(side, 0.5).alias("median_side")).orderBy("median_side", "category_id").limit(12)
+    return corpus.smallest_classes(views.annotations(spark, d), 12)
 
 
 @registered("""WITH a AS (SELECT category_id, avg(w * h) AS x FROM v_ann WHERE image_id % 2 = 0 GROUP BY 1), b AS (SELECT category_id, avg(w * h) AS y FROM v_ann WHERE image_id % 2 = 1 GROUP BY 1)
