@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.geometry import let, scaled, shoelace_area
-from corvane.functions.ranges import quantiles
 from corvane.functions.keys import SAFE, anonymous, patient_key, source_key
+from corvane.functions.ranges import quantiles
+from corvane.functions.storage import durable
 
 
 def typed_lines(lines: DataFrame) -> DataFrame:
@@ -17,12 +21,14 @@ def typed_lines(lines: DataFrame) -> DataFrame:
     reach behind the array that is exploded here.
     """
 
+    spaces = F.lit(" \t\n\x0b\x0c\r")
+
     def parts(line: Column) -> Column:
-        split = F.split(F.btrim(line), r"\s+")
+        split = F.split(F.btrim(line, spaces), r"\s+")
         number = lambda v: let(v.try_cast("double"), lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x))
         return let(split, lambda p: F.struct(line.alias("line"), F.get(p, 0).try_cast("int").alias("class_id"), F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), number).alias("_v")))
 
-    taken = lines.select(*(c for c in lines.columns if c != "line"), F.explode(F.filter(F.array("line"), lambda x: F.btrim(x) != "")).alias("line"))
+    taken = lines.select(*(c for c in lines.columns if c != "line"), F.explode(F.filter(F.array("line"), lambda x: F.btrim(x, spaces) != "")).alias("line"))
     rows = taken.select(*(c for c in lines.columns if c != "line"), F.explode(F.array(parts(F.col("line")))).alias("_l"))
     return rows.select(*(F.col("_l.line").alias("line") if c == "line" else F.col(c) for c in lines.columns), "_l.class_id", "_l._v")
 
@@ -76,21 +82,56 @@ def within_split_duplicates(files: DataFrame) -> DataFrame:
     return per.groupBy("split").agg(F.sum("n").alias("n_files"), F.count(F.lit(1)).alias("effective_size"), F.count_if(F.col("n") > 1).alias("n_groups"))
 
 
-def hamming_pairs(left: DataFrame, right: DataFrame, bits: int = 63, distance: int = 5) -> DataFrame:
-    """Pairs of rows (file_name, dhash) whose hashes differ in at most distance bits: left_file, right_file, hamming.
+def _near_hashes(left: DataFrame, right: DataFrame, bits: int, distance: int, bands: int) -> DataFrame:
+    """Pairs (_a, _b, hamming) of distinct hashes (dhash) that differ in at most distance bits.
 
-    distance flipped bits leave one of distance + 1 bands untouched, so equal bands find all pairs; a pair is
-    given at its first equal band only.
+    Of so many bands, distance flipped bits leave bands - distance untouched; so a key of as many equal bands,
+    one for each choice of them, finds every pair, and a pair is given at its first equal bands only.
     """
-    n = distance + 1
-    width = -(-bits // n)
-    band = lambda h, i: F.shiftrightunsigned(h, i * width).bitwiseAND(F.lit((1 << width) - 1))
-    bands = lambda h: F.array(*(band(h, i) for i in range(n)))
-    a = left.select(F.col("file_name").alias("left_file"), F.col("dhash").alias("_a"), F.posexplode(bands(F.col("dhash"))).alias("_i", "_band"))
-    b = right.select(F.col("file_name").alias("right_file"), F.col("dhash").alias("_b"), F.posexplode(bands(F.col("dhash"))).alias("_i", "_band"))
+    width, whole = bits // bands, bands - distance
+    cuts = [(i * width, width if i < bands - 1 else bits - i * width) for i in range(bands)]
+    band = lambda h, i: F.shiftrightunsigned(h, cuts[i][0]).bitwiseAND(F.lit((1 << cuts[i][1]) - 1))
+    choices = list(combinations(range(bands), whole))
+    key = lambda h, c: reduce(lambda k, i: F.shiftleft(k, cuts[i][1]).bitwiseOR(band(h, i)), c, F.lit(0).cast("long"))
+    keys = lambda rows, name: rows.select(F.col("dhash").alias(name), F.posexplode(F.array(*(key(F.col("dhash"), c) for c in choices))).alias("_c", "_key"))
     apart = F.bit_count(F.col("_a").bitwiseXOR(F.col("_b")))
-    first = F.array_position(F.zip_with(bands(F.col("_a")), bands(F.col("_b")), lambda x, y: x == y), True) - 1
-    return a.join(b, ["_i", "_band"]).where((apart <= distance) & (first == F.col("_i"))).select("left_file", "right_file", apart.cast("int").alias("hamming"))
+    equal = F.concat(*(F.when(band(F.col("_a"), i) == band(F.col("_b"), i), F.array(F.lit(i))).otherwise(F.array().cast("array<int>")) for i in range(bands)))
+    first = F.array_position(F.array(*(F.array(*map(F.lit, c)) for c in choices)), F.slice(equal, 1, whole)) - 1
+    met = keys(left.select("dhash").distinct(), "_a").join(keys(right.select("dhash").distinct(), "_b"), ["_c", "_key"])
+    return met.where((apart <= distance) & (first == F.col("_c"))).select("_a", "_b", apart.cast("int").alias("hamming"))
+
+
+def hamming_pairs(left: DataFrame, right: DataFrame, bits: int = 63, distance: int = 5, bands: int = 8) -> DataFrame:
+    """Pairs of rows (file_name, dhash) whose hashes differ in at most distance bits: left_file, right_file, hamming.
+
+    Distinct hashes are paired, by keys of bands - distance bands (24 of 63 bits as a rule), and then files put
+    in their place: a hash that many files have is compared once. Null hashes pair with nothing.
+    """
+    near = _near_hashes(left.where("dhash is not null"), right.where("dhash is not null"), bits, distance, bands)
+    a, b = left.select(F.col("file_name").alias("left_file"), F.col("dhash").alias("_a")), right.select(F.col("file_name").alias("right_file"), F.col("dhash").alias("_b"))
+    return near.join(a, "_a").join(b, "_b").select("left_file", "right_file", "hamming")
+
+
+def cross_split_hashes(files: DataFrame, bits: int = 63, distance: int = 5, bands: int = 8) -> DataFrame:
+    """All near duplicates between any two splits, as pairs of hash classes: left_file, right_file, hamming, n_left, n_right.
+
+    Files (file_name, split, dhash) of one hash are a class, named by its first file; hash_members() tells whose
+    it is. A pair is given once, left before right, where files of different splits meet in it; a class that
+    several splits share is a pair with itself, at distance 0. Copies are not expanded into pairs of files.
+    """
+    known = files.where("dhash is not null")
+    classes = durable(known.groupBy("dhash").agg(F.min("file_name").alias("file"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("split")).alias("splits")))
+    near = _near_hashes(classes, classes, bits, distance, bands)
+    side = lambda p: classes.select(F.col("dhash").alias(f"_{p}"), F.col("file").alias(f"{p}_file"), F.col("n").alias(f"n_{p}"), F.col("splits").alias(f"_s{p}"))
+    met = near.withColumnsRenamed({"_a": "_left", "_b": "_right"}).join(side("left"), "_left").join(side("right"), "_right")
+    apart = F.size(F.array_union("_sleft", "_sright")) > 1
+    return met.where((F.col("left_file") <= F.col("right_file")) & apart).select("left_file", "right_file", "hamming", "n_left", "n_right")
+
+
+def hash_members(files: DataFrame) -> DataFrame:
+    """file_name and class_file, the first file of the same hash."""
+    first = files.groupBy("dhash").agg(F.min("file_name").alias("class_file"))
+    return files.where("dhash is not null").join(first, "dhash").select("file_name", "class_file")
 
 
 def correlation(a: Column, b: Column) -> Column:
@@ -127,12 +168,6 @@ def confirmed_partners(pairs: DataFrame, thumbs: DataFrame, least: float = 0.98)
     return confirmed_pairs(counted, thumbs, least).groupBy("left_file", "n_pairs").agg(best.alias("_best")).select("left_file", "n_pairs", "_best.right_file", "_best.hamming", "_best.ncc", "_best.verdict")
 
 
-def best_partners(pairs: DataFrame) -> DataFrame:
-    """Each left file's nearest partner, ties to the first name, and the number of its pairs."""
-    w = Window.partitionBy("left_file")
-    return pairs.withColumns({"n_pairs": F.count(F.lit(1)).over(w), "_n": F.row_number().over(w.orderBy("hamming", "right_file"))}).where("_n = 1").drop("_n")
-
-
 def dhash(values: Column) -> Column:
     """63 bits, most significant first: whether each of 64 values is less than the next."""
     return F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(0).cast("long"), lambda acc, i: F.shiftleft(acc, 1) + F.when(F.get(values, i + 1) > F.get(values, i), F.lit(1)).otherwise(F.lit(0)))

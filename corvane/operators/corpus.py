@@ -109,13 +109,18 @@ def denoised(annotations: DataFrame, suspects: DataFrame, least_iou: float = 0.5
 
 
 def pseudo_labels(detections: DataFrame, images: DataFrame, least_score: float = 0.9, most: int = 100) -> DataFrame:
-    """Label lines of sure detections, clipped and normalised; the first `most` of an image in input order; empty images keep a null line."""
+    """Label lines of sure detections, clipped and normalised; the first `most` of an image in input order; empty images keep a null line.
+
+    A line has the detection's polygon where detections have that column and it has three points or more, else its box.
+    """
     ids = detections.select("category_id").distinct().withColumn("class_id", F.dense_rank().over(Window.orderBy("category_id")) - 1)
     sure = detections.where(F.coalesce("score", F.lit(0.0)) >= least_score).withColumn("_n", F.row_number().over(Window.partitionBy("image_id").orderBy("ann_key"))).where(F.col("_n") <= most)
     sized = sure.join(images.select("image_id", "width", "height"), "image_id").join(F.broadcast(ids), "category_id")
     d = lambda k: F.col(k).cast("double")
     polygon = box_polygon(d("x"), d("y"), d("w"), d("h"), d("width"), d("height"))
-    unit = F.transform(polygon, lambda v, i: v / F.when(i % 2 == 0, F.col("width")).otherwise(F.col("height")))
+    if "polygon" in detections.columns:
+        polygon = F.when(F.size("polygon") >= 6, F.col("polygon")).otherwise(polygon)
+    unit = F.transform(polygon, lambda v, i: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / F.when(i % 2 == 0, F.col("width")).otherwise(F.col("height")))))
     line = F.concat_ws(" ", F.col("class_id"), F.transform(unit, lambda v: F.format_string("%.6f", v)))
     return images.select("image_id").join(sized.where(polygon.isNotNull()).select("image_id", line.alias("line")), "image_id", "left")
 

@@ -187,6 +187,13 @@ def duplicate_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return audit.verdict_counts(audit.confirmed_pairs(audit.hamming_pairs(p.where("split = 'test'"), p.where("split <> 'test'")), p))
 
 
+@registered(f"""WITH {_PRINTS}, classes AS (SELECT dhash, min(file_name) AS f, count(*) AS n, list_sort(list(DISTINCT split)) AS s FROM prints GROUP BY 1)
+SELECT a.f AS left_file, b.f AS right_file, bit_count(xor(a.dhash, b.dhash))::INTEGER AS hamming, a.n AS n_left, b.n AS n_right FROM classes a JOIN classes b ON a.f <= b.f WHERE bit_count(xor(a.dhash, b.dhash)) <= 5 AND len(list_distinct(list_concat(a.s, b.s))) > 1""")
+def cross_split_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Near duplicates between all pairs of splits."""
+    return audit.cross_split_hashes(fingerprints(spark, d))
+
+
 @registered("""WITH det AS (SELECT model, category_id, count(*) AS n_right FROM v_det GROUP BY 1, 2), ann AS (SELECT model, category_id, count(*) AS n_left FROM v_ann, (SELECT unnest(range(0, 5))::INTEGER AS model) GROUP BY 1, 2)
 SELECT model, category_id, coalesce(n_left, 0) AS n_left, coalesce(n_right, 0) AS n_right FROM ann FULL JOIN det USING (model, category_id) WHERE coalesce(n_left, 0) <> coalesce(n_right, 0)""")
 def reconciliation(spark: SparkSession, d: str) -> DataFrame:

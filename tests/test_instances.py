@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions.ranges import quantiles
-from corvane.operators import audit, rasters
+from corvane.operators import audit, corpus, fits, rasters
 
 RUNS = "array<struct<line:long,x0:long,x1:long>>"
 
@@ -107,3 +107,106 @@ def test_grid_ceilings(spark):
     assert summary["all", 7, None].n == 12 and summary["all", 7, None].iou == pytest.approx(np.mean([r[3] for r in want if r[1] == 7]))
     assert {r.grp: r.n for r in rasters.ceiling_summary(ceilings, spark.createDataFrame([(0, 6000), (1, 3)], "category_id long, train_n long")).where("kind = 'group' and grid = 4").collect()} == {"head": 4, "tail": 8}
     assert rasters.grid_ceilings(df.limit(0), ["category_id"]).count() == 0
+
+
+def test_ridge_fits(spark):
+    rng = np.random.default_rng(5)
+    groups = {("a", 1): 40, ("a", 2): 3, (None, 1): 25, ("b", 1): 200}
+    data = {k: (rng.normal(size=(n, 4)), rng.choice([-1.0, 1.0], n)) for k, n in groups.items()}
+    rows = [(*k, x.tolist(), float(y)) for k, (xs, ys) in data.items() for x, y in zip(xs, ys, strict=True)]
+    rows += [("zero", 1, [0.0] * 4, 1.0)] * 3 + [("bad", 1, [1.0, 2.0], 1.0), ("bad", 1, None, 1.0), ("bad", 1, [1.0, None, 1.0, 1.0], 1.0), ("bad", 1, [float("nan")] * 4, 1.0), ("bad", 1, [1.0] * 4, None)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, j int, features array<double>, target double").repartition(5)
+    found = fits.ridge_fits(df, ["k", "j"], 4, 0.01)
+    got = {(r.k, r.j): r for r in found.collect()}
+    assert set(got) == {*groups, ("zero", 1)} and got["zero", 1].coefficients is None and got["zero", 1].n == 3
+    for k, (x, y) in data.items():
+        gram = x.T @ x
+        want = np.linalg.solve(gram + 0.01 * np.trace(gram) / 4 * np.eye(4), x.T @ y)
+        assert got[k].n == len(y) and np.allclose(got[k].coefficients, want)
+        positive = x @ want > 0
+        dice = {(r.k, r.j): r.dice for r in fits.fit_scores(df, found, ["k", "j"]).collect()}[k]
+        assert dice == pytest.approx(2 * (positive & (y > 0)).sum() / max(1, positive.sum() + (y > 0).sum()))
+    assert fits.ridge_fits(df.limit(0), ["k", "j"], 4).count() == 0
+
+
+def parts_by_hand(cells):
+    left, out = set(cells), []
+    while left:
+        part, edge = set(), [min(left)]
+        while edge:
+            y, x = edge.pop()
+            if (y, x) in left:
+                left.discard((y, x))
+                part.add((y, x))
+                edge += [(y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+        out.append(part)
+    return out
+
+
+def test_components_and_outlines():
+    g = random.Random(7)
+    for _ in range(80):
+        mask = np.array([[g.random() < 0.45 for _ in range(9)] for _ in range(7)])
+        runs = np.array([(y, x, x + 1) for y, x in np.argwhere(mask).tolist()] or [(0, 0, 1)])
+        merged = []
+        for y, a, b in sorted(runs.tolist()):
+            if merged and merged[-1][0] == y and merged[-1][2] == a:
+                merged[-1][2] = b
+            else:
+                merged.append([y, a, b])
+        parts = rasters.components(np.array(merged))
+        cells = [{(y, x) for y, a, b in p.tolist() for x in range(a, b)} for p in parts]
+        assert sorted(map(sorted, cells)) == sorted(map(sorted, parts_by_hand({tuple(c) for c in np.argwhere(mask).tolist()} or {(0, 0)})))
+        for part, inside in zip(parts, cells, strict=True):
+            shape, top, left = rasters.filled(part)
+            line = [(y + top, x + left) for x, y in rasters.outline(shape)]
+            assert set(line) <= inside and all(max(abs(a[0] - b[0]), abs(a[1] - b[1])) <= 1 for a, b in zip(line, line[1:] + line[:1], strict=True))
+            ys, xs = [y for y, _ in inside], [x for _, x in inside]
+            assert {min(ys), max(ys)} == {min(y for y, _ in line), max(y for y, _ in line)} and {min(xs), max(xs)} == {min(x for _, x in line), max(x for _, x in line)}
+
+
+def test_polygons_of_masks(spark):
+    square = boxed(3, 2, 11, 9)
+    ring = [r for y in range(20, 30) for r in ([(y, 0, 10)] if y in (20, 29) else [(y, 0, 1), (y, 9, 10)])]
+    rows = [(1, square), (2, [*square, (40, 0, 3)]), (3, [(0, 0, 50)]), (4, boxed(0, 0, 4, 4)), (5, []), (6, None), (7, [*square, *ring])]
+    got = {r.image_id: r.polygon for r in rasters.mask_polygons(spark.createDataFrame(rows, f"image_id long, runs {RUNS}")).collect()}
+    corners = lambda p: {(p[i], p[i + 1]) for i in range(0, len(p), 2)}
+    assert corners(got[1]) == corners(got[2]) == {(3, 2), (13, 2), (13, 10), (3, 10)}
+    assert [got[i] for i in (3, 4, 5, 6)] == [None] * 4
+    assert corners(got[7]) == {(0, 20), (9, 20), (9, 29), (0, 29)}  # the greater of both, holes filled
+    images = spark.createDataFrame([(i, 20, 40) for i in range(1, 4)], "image_id long, width int, height int")
+    found = spark.createDataFrame([(1, 5, "a", 0.95, 1.0, 1.0, 9.0, 9.0, got[1]), (2, 5, "a", 0.95, 1.0, 1.0, 9.0, 39.5, None)], "image_id long, category_id long, ann_key string, score double, x double, y double, w double, h double, polygon array<double>")
+    lines = {r.image_id: r.line for r in corpus.pseudo_labels(found, images).collect()}
+    assert lines[1].split()[0] == "0" and len(lines[1].split()) == 9 and lines[2] == "0 0.050000 0.025000 0.500000 0.025000 0.500000 1.000000 0.050000 1.000000" and lines[3] is None
+
+
+def test_simplified_keeps_what_lies_off():
+    circle = np.array([(round(20 * math.cos(t / 50 * math.tau)), round(20 * math.sin(t / 50 * math.tau))) for t in range(50)], dtype=float)
+    few = rasters.simplified(circle, 1.0)
+    assert 6 <= len(few) < 30 and len(rasters.simplified(circle, 0.0)) >= len(few)
+    assert len(rasters.simplified(np.array([(0.0, 0.0), (1.0, 0.0), (2.0, 0.0), (2.0, 2.0), (1.0, 2.0), (0.0, 2.0)]), 0.1)) == 4
+
+
+def test_cross_split_hashes(spark):
+    g = random.Random(2)
+    base = [g.getrandbits(63) for _ in range(40)]
+    rows = [(f"f{i}{j}", g.choice(["train", "valid", "test"]), h ^ sum(1 << b for b in g.sample(range(63), g.choice([0, 0, 2, 5, 6])))) for i, h in enumerate(base) for j in range(3)]
+    rows += [(f"blank{i}", "train", 0) for i in range(30)] + [("other", "test", 0), ("none", "test", None), ("alone1", "train", 2**62), ("alone2", "train", 2**62)]
+    df = spark.createDataFrame(rows, "file_name string, split string, dhash long")
+    classes = {}
+    for f, s, h in rows:
+        if h is not None:
+            classes.setdefault(h, []).append((f, s))
+    want = set()
+    for a, x in classes.items():
+        for b, y in classes.items():
+            if min(x) <= min(y) and (a ^ b).bit_count() <= 5 and len({s for _, s in x + y}) > 1:
+                want.add((min(x)[0], min(y)[0], (a ^ b).bit_count(), len(x), len(y)))
+    assert {tuple(r) for r in audit.cross_split_hashes(df).collect()} == want and ("blank0", "blank0", 0, 31, 31) in want
+    assert {r.file_name: r.class_file for r in audit.hash_members(df).collect()} == {f: min(m)[0] for m in classes.values() for f, _ in m}
+
+
+def test_search_leaves_out_groups_of_several_splits_only(spark):
+    files = spark.createDataFrame([("a", "train", "1"), ("b", "train", "1"), ("c", "train", "2"), ("d", "test", "2"), ("e", "test", "3")], "file_name string, split string, sha string")
+    assert {r.file_name for r in audit.apart_from_groups(files, audit.exact_groups(files)).collect()} == {"a", "b", "e"}

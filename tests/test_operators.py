@@ -196,3 +196,18 @@ def norm_rows(df, key):
         return f"{float(x) + 0.0:.5f}"
 
     return [tuple(one(x) for x in r) for r in df[key].astype(object).itertuples(index=False)]
+
+
+def test_label_lines_of_no_numbers(spark):
+    lines = ["1 0.1 NaN 0.2 0.1 0.2 0.2", "1 0.1 0.1 Infinity 0.1 0.2 0.2", "0 0.1 0.1 0.9 0.1 0.9 0.9", " \t", "x 0.1 0.1 0.9 0.1 0.9 0.9", ""]
+    df = spark.createDataFrame([(i, x, 100, 100) for i, x in enumerate(lines)], "image_id long, line string, width int, height int")
+    assert {r.image_id: r.problem for r in audit.check_label_lines(df, 5).collect()} == {0: "malformed_line", 1: "malformed_line", 2: None, 4: "malformed_line"}
+    assert [(r.image_id, r.category_id, round(r.area)) for r in corpus.converted(df, 5).collect()] == [(2, 1, 3200)]
+    verdicts = audit.split_verdicts(audit.check_label_lines(df.withColumn("split", F.when(F.col("image_id") == 2, "good").otherwise("bad")), 5)).collect()
+    assert {r.split: (r.n_lines, r.n_malformed_line, r.passes) for r in verdicts} == {"good": (1, 0, True), "bad": (3, 3, False)}
+
+
+def test_replies_in_single_quotes_are_no_json(spark):
+    texts = ["[{'class':'tooth','box_2d':[1,1,5,5]}]", '[{"class":"tooth","box_2d":[1,1,5,5]}]']
+    df = spark.createDataFrame([(i, 10, 10, x) for i, x in enumerate(texts)], "image_id long, width int, height int, text string")
+    assert [r.image_id for r in replies.reply_boxes(df, spark.createDataFrame([(1, "tooth")], "category_id long, name string")).collect()] == [1]
