@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.gates import refused
 from corvane.functions.geometry import let, scaled, shoelace_area
 from corvane.functions.keys import SAFE, anonymous, patient_key, source_key
 from corvane.functions.ranges import quantiles
@@ -195,6 +196,42 @@ def anonymised(files: DataFrame) -> DataFrame:
     return clean.withColumns({"is_safe": F.rlike("clean", F.lit(SAFE)), "n_same": F.count(F.lit(1)).over(Window.partitionBy("clean"))})
 
 
+def safely_anonymised(files: DataFrame) -> DataFrame:
+    """anonymised(), which stops the job at a name outside the whitelist."""
+    return refused(anonymised(files), ~F.col("is_safe"), F.concat(F.lit("no anonymous name: "), "clean"))
+
+
+def anonymisation_map(files: DataFrame) -> DataFrame:
+    """clean, original and collides of names that change; collides where several originals become one name, of which no mapping could keep all."""
+    named = files.select("file_name", anonymous(F.col("file_name")).alias("clean")).distinct()
+    counted = named.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("clean")))
+    return counted.where(F.col("clean") != F.col("file_name")).select("clean", F.col("file_name").alias("original"), (F.col("_n") > 1).alias("collides"))
+
+
+def annotation_reconciliation(images: DataFrame, annotations: DataFrame, labelled: DataFrame) -> DataFrame:
+    """All differences between annotations (image_id, category_id, and segmentation if there is one) and label lines (image_id, category_id) of one corpus.
+
+    kind, image_id, category_id, n_left, n_right: image_only_left and image_only_right (of images that have rows
+    on one side only), unknown_image (neither side's image is listed), class_count (classes whose counts
+    differ), empty_segmentation (an image's annotations without one).
+    """
+    no_id, no_class = F.lit(None).cast("long"), F.lit(None).cast("long")
+    per = lambda rows, name: rows.groupBy("image_id").agg(F.count(F.lit(1)).alias(name))
+    met = per(annotations, "n_left").join(per(labelled, "n_right"), "image_id", "full_outer")
+    row = lambda rows, kind, image, category, left, right: rows.select(F.lit(kind).alias("kind"), image.alias("image_id"), category.alias("category_id"), F.coalesce(left, F.lit(0)).cast("long").alias("n_left"), F.coalesce(right, F.lit(0)).cast("long").alias("n_right"))
+    left, right = F.col("n_left"), F.col("n_right")
+    out = [
+        row(met.where(right.isNull()), "image_only_left", F.col("image_id"), no_class, left, right),
+        row(met.where(left.isNull()), "image_only_right", F.col("image_id"), no_class, left, right),
+        row(met.join(images.select("image_id"), "image_id", "left_anti"), "unknown_image", F.col("image_id"), no_class, left, right),
+        row(reconciled(annotations, labelled, ["category_id"]), "class_count", no_id, F.col("category_id"), left, right),
+    ]
+    if "segmentation" in annotations.columns:
+        empty = annotations.where(F.col("segmentation").isNull() | F.btrim("segmentation").isin("", "[]", "{}"))
+        out.append(row(per(empty, "n_left"), "empty_segmentation", F.col("image_id"), no_class, left, F.lit(0)))
+    return reduce(DataFrame.unionByName, out)
+
+
 def reconciled(left: DataFrame, right: DataFrame, keys: list[str], count: Column | None = None) -> DataFrame:
     """Keys whose counts (of rows, or another aggregate) differ between two tables."""
     count = F.count(F.lit(1)) if count is None else count

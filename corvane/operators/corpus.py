@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.gates import refused
 from corvane.functions.geometry import box_iou, box_polygon, polygon_bbox, scaled, shoelace_area
 from corvane.functions.keys import hash32, uniform
 from corvane.functions.ranges import numbered, quantiles, running_sums
@@ -173,6 +174,62 @@ def converted(lines: DataFrame, n_classes: int) -> DataFrame:
     return placed.withColumns({"bbox": polygon_bbox(F.col("polygon")), "area": shoelace_area(F.col("polygon"))}).drop("class_id", "_v")
 
 
+def conversion_report(images: DataFrame, lines: DataFrame, n_classes: int, strict: bool = False) -> DataFrame:
+    """One row on label lines (image_id, line, width, height) and images: n_images, n_negatives, n_empty, n_annotations, n_dropped.
+
+    Negatives are images without a label file, which stay in the corpus; empty ones have a file without a line
+    that becomes an annotation. Dropped are lines that break a rule and those of less than a pixel. With strict,
+    a line that is no list of numbers stops the job.
+    """
+    files = lines.select("image_id").distinct().withColumn("_file", F.lit(True))
+    if strict:
+        checked = typed_lines(lines)
+        broken = F.col("class_id").isNull() | F.exists("_v", lambda v: v.isNull()) | (F.size("_v") % 2 == 1)
+        lines = refused(checked, broken, F.concat(F.lit("malformed label line: "), "line")).select(*lines.columns)
+    given = lines.where(F.btrim("line") != "").groupBy("image_id").agg(F.count(F.lit(1)).alias("_lines"))
+    good = converted(lines, n_classes).where("area >= 1").groupBy("image_id").agg(F.count(F.lit(1)).alias("_good"))
+    met = images.select("image_id").join(files, "image_id", "left").join(given, "image_id", "left").join(good, "image_id", "left")
+    total = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(0))), F.lit(0))
+    return met.agg(F.count(F.lit(1)).alias("n_images"), F.count_if(F.col("_file").isNull()).alias("n_negatives"), F.count_if(F.col("_file").isNotNull() & F.col("_good").isNull()).alias("n_empty"), total("_good").alias("n_annotations"), (total("_lines") - total("_good")).alias("n_dropped"))
+
+
+def checked_split(images: DataFrame, annotations: DataFrame, group: str, train: str = "train") -> DataFrame:
+    """verified_split(), which stops the job for a split that shares groups or lacks a class in train."""
+    return refused(verified_split(images, annotations, group, train), (F.col("n_shared") > 0) | (F.col("n_absent_in_train") > 0), "the split shares groups or lacks classes in train")
+
+
+def denoise_report(annotations: DataFrame, suspects: DataFrame, least_iou: float = 0.5) -> DataFrame:
+    """One row on denoised(): annotations kept and dropped, images that lost some, and images that lost all."""
+    kept = denoised(annotations, suspects, least_iou).groupBy("image_id").agg(F.count(F.lit(1)).alias("_k"))
+    met = annotations.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n")).join(kept, "image_id", "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return met.agg(total("_k").alias("n_kept"), total(F.col("_n") - F.col("_k")).alias("n_dropped"), F.count_if(F.col("_k") < F.col("_n")).alias("n_touched"), F.count_if(F.col("_k") == 0).alias("n_emptied"))
+
+
+def restriction_report(annotations: DataFrame, images: DataFrame, keep: DataFrame) -> DataFrame:
+    """One row on restricted(): annotations kept and dropped, and images that had some and have none left."""
+    marked = annotations.join(keep.select("category_id").distinct().withColumn("_kept", F.lit(1)), "category_id", "left")
+    per = marked.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"), F.count("_kept").alias("_k")).join(images.select("image_id"), "image_id", "left_semi")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per.agg(total("_k").alias("n_kept"), total(F.col("_n") - F.col("_k")).alias("n_dropped"), F.count_if(F.col("_k") == 0).alias("n_emptied"))
+
+
+def group_class_counts(annotations: DataFrame, images: DataFrame, group: str) -> DataFrame:
+    """Instances of each class by group of images (a patient, say): a row for each pair that occurs."""
+    return annotations.join(images.select("image_id", group), "image_id").groupBy(group, "category_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def scheme_weights(counts: DataFrame, scheme: str | float) -> DataFrame:
+    """Class weights by a named scheme: none, inverse_sqrt, or a number, the beta of effective numbers."""
+    if scheme == "none":
+        return counts.select("category_id", F.lit(1.0).alias("weight"))
+    if scheme == "inverse_sqrt":
+        return class_weights(counts).select("category_id", F.col("inverse_sqrt").alias("weight"))
+    if isinstance(scheme, str):
+        raise ValueError(f"no such scheme: {scheme}")
+    return class_weights(counts, scheme).select("category_id", F.col("effective_number").alias("weight"))
+
+
 def verified_split(images: DataFrame, annotations: DataFrame, group: str, train: str = "train") -> DataFrame:
     """One row: groups found in more than one split, and classes that the train split has not. A good split has neither."""
     shared = images.groupBy(group).agg(F.count_distinct("split").alias("_n")).agg(F.count_if(F.col("_n") > 1).alias("n_shared"))

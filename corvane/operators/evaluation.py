@@ -16,6 +16,11 @@ from corvane.functions.streams import streamed
 from corvane.operators.corpus import size_group
 
 
+def sure(detections: DataFrame, least: float, missing: float = 1.0) -> DataFrame:
+    """Detections of at least this score; those without one count as `missing`: 1 where masks are compared, 0 in consensus and pseudo-labels."""
+    return detections.where(F.coalesce("score", F.lit(missing)) >= least)
+
+
 def missed(annotations: DataFrame, detections: DataFrame, models: Sequence, least_score: float = 0.15, least_iou: float = 0.1) -> DataFrame:
     """(model, annotation) of annotations that no detection of the same image and class hits.
 
@@ -24,7 +29,7 @@ def missed(annotations: DataFrame, detections: DataFrame, models: Sequence, leas
     """
     single = annotations.where(F.coalesce("iscrowd", F.lit(0)) == 0) if "iscrowd" in annotations.columns else annotations
     a = single.withColumn("model", F.explode(F.array(*map(F.lit, models)))).withColumnsRenamed({k: f"a_{k}" for k in "xywh"})
-    d = detections.where(F.coalesce("score", F.lit(0.0)) >= least_score).select(F.col("model").alias("_m"), F.col("image_id").alias("_i"), F.col("category_id").alias("_c"), *(F.col(k).alias(f"d_{k}") for k in "xywh"))
+    d = sure(detections, least_score, 0.0).select(F.col("model").alias("_m"), F.col("image_id").alias("_i"), F.col("category_id").alias("_c"), *(F.col(k).alias(f"d_{k}") for k in "xywh"))
     same = (F.col("model") == F.col("_m")) & (F.col("image_id") == F.col("_i")) & (F.col("category_id") == F.col("_c"))
     return a.join(d, same & (box_iou("a_", "d_") >= least_iou), "left_anti").select("model", "image_id", "ann_key", "category_id")
 

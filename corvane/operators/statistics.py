@@ -117,12 +117,17 @@ def gain_shares(old: DataFrame, new: DataFrame, counts: DataFrame | None = None,
     return d.join(counts.select("category_id", "train_n"), "category_id").select(*by, "category_id", *shares, many(F.col("_d") > 0).alias("n_improved"), many(F.col("_d") < 0).alias("n_worsened"))
 
 
-def focal_loss(logits: DataFrame, priors: DataFrame, tau: float = 1.0, gamma: float = 2.0, alpha: float = 0.25) -> DataFrame:
-    """Per class: sum and mean of the prior-adjusted sigmoid focal loss of rows (category_id, logit, target 0/1)."""
+def focal_losses(logits: DataFrame, priors: DataFrame, tau: float = 1.0, gamma: float = 2.0, alpha: float = 0.25) -> DataFrame:
+    """logits (category_id, logit, target 0/1) with loss, the prior-adjusted sigmoid focal loss of each row; a negative alpha weighs both targets alike."""
     x = F.col("logit") - tau * F.ln("prior")
     t = F.col("target").cast("double")
     bce: Column = F.greatest(x, F.lit(0.0)) - x * t + F.log1p(F.exp(-F.abs(x)))
     p = 1 / (1 + F.exp(-x))
     p_t = p * t + (1 - p) * (1 - t)
     weight = alpha * t + (1 - alpha) * (1 - t) if alpha >= 0 else F.lit(1.0)
-    return logits.join(F.broadcast(priors), "category_id").withColumn("_l", weight * bce * F.pow(1 - p_t, F.lit(gamma))).groupBy("category_id").agg(F.sum("_l").alias("loss_sum"), F.avg("_l").alias("loss_mean"))
+    return logits.join(priors, "category_id").withColumn("loss", weight * bce * F.pow(1 - p_t, F.lit(gamma))).drop("prior")
+
+
+def focal_loss(logits: DataFrame, priors: DataFrame, tau: float = 1.0, gamma: float = 2.0, alpha: float = 0.25) -> DataFrame:
+    """Per class: sum and mean of focal_losses()."""
+    return focal_losses(logits, priors, tau, gamma, alpha).groupBy("category_id").agg(F.sum("loss").alias("loss_sum"), F.avg("loss").alias("loss_mean"))

@@ -401,7 +401,7 @@ def class_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
-    """Mean dice of each model, on three thirds of the images as seeds: arm, seed, metric, value."""
+    """Mean score and mean width of each model's detections, on three thirds of the images as seeds: arm, seed, metric, value."""
     det = views.detections(spark, d).groupBy("model", (F.col("image_id") % 3).alias("seed")).agg(F.avg("score").alias("mean_score"), F.avg("w").alias("mean_width"))
     return det.unpivot(["model", "seed"], ["mean_score", "mean_width"], "metric", "value").select(F.concat(F.lit("m"), F.col("model")).alias("arm"), "seed", "metric", "value")
 
@@ -451,6 +451,7 @@ y AS (SELECT category_id, t, greatest(x, 0) - x * t + ln(1 + exp(-abs(x))) AS bc
 z AS (SELECT category_id, (0.25::DOUBLE * t + 0.75::DOUBLE * (1 - t)) * bce * pow(1 - (q * t + (1 - q) * (1 - t)), 2) AS loss FROM y)
 SELECT category_id, sum(loss) AS loss_sum, avg(loss) AS loss_mean FROM z GROUP BY 1""")
 def focal_loss(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten entries of a vector are logits of the ten classes that its label names."""
     e = views.table(spark, d, "embeddings")
     logits = e.select("label", F.posexplode(F.slice("embedding", 1, 10)).alias("category_id", "v")).select(F.col("category_id").cast("long"), F.col("v").cast("double").alias("logit"), (F.col("label") == F.col("category_id")).cast("int").alias("target"))
     n = e.agg(F.count(F.lit(1)).alias("_n"))

@@ -10,7 +10,7 @@ from corvane.functions.keys import hash32, uniform
 from corvane.functions.ranges import numbered
 from corvane.operators import audit, corpus, evaluation, experiments, replies, vocabulary
 from corvane.plans import views
-from corvane.plans.queries import _CELLS, _CHECKED, _COUNTS, _FLOOR, _LINES, _LOG, _RUNS, _WEIGHTS, cases, class_flip_weights, class_weights, label_lines, noise_floor, quota_split, run_log, runs
+from corvane.plans.queries import _CELLS, _CHECKED, _COUNTS, _FLOOR, _IOU, _LINES, _LOG, _MISSED, _RUNS, _WEIGHTS, cases, class_flip_weights, class_weights, label_lines, noise_floor, quota_split, run_log, runs
 from corvane.plans.registry import registered
 
 
@@ -105,7 +105,7 @@ def external_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("SELECT split, max(category_id) + 1 AS num_classes FROM v_ann JOIN v_img USING (image_id) GROUP BY 1")
 def head_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return views.annotations(spark, d).join(views.images(spark, d).select("image_id", "split"), "image_id").groupBy("split").agg((F.max("category_id") + 1).alias("num_classes"))
+    return vocabulary.head_sizes(views.annotations(spark, d), views.images(spark, d))
 
 
 @registered("""WITH f AS (SELECT * FROM v_img WHERE split = 'train'), s AS (SELECT * FROM v_img WHERE image_id % 2 = 0)
@@ -221,8 +221,7 @@ def final_verdicts(spark: SparkSession, d: str) -> DataFrame:
 a AS (SELECT l.run, max(abs(x.metric - l.metric) / greatest(abs(x.metric), 1e-8)) AS dev FROM log l JOIN log x ON x.epoch = l.epoch AND x.run = (SELECT ref FROM r) GROUP BY 1)
 SELECT run, (SELECT s FROM s WHERE run = (SELECT ref FROM r)) / s AS speedup, coalesce(dev, 0) AS deviation, coalesce(dev <= 0.02, true) AS equivalent, coalesce(dev <= 0.02, true) AND (SELECT s FROM s WHERE run = (SELECT ref FROM r)) / s > 1.02 AS adopt FROM s LEFT JOIN a USING (run) WHERE run <> (SELECT ref FROM r)""")
 def speed_equivalence(spark: SparkSession, d: str) -> DataFrame:
-    log = run_log(spark, d).withColumnRenamed("metric", "loss")
-    return experiments.equivalence(log, log.agg(F.min("run")).first()[0])
+    return experiments.equivalence(run_log(spark, d).withColumnRenamed("metric", "loss"))
 
 
 @registered("SELECT image_id, row_number() OVER (ORDER BY file_name) AS number FROM v_img")
@@ -282,3 +281,63 @@ def box_control(spark: SparkSession, d: str) -> DataFrame:
     truth = views.annotations(spark, d).withColumnsRenamed({k: f"a_{k}" for k in "xywh"})
     found = views.detections(spark, d).withColumnsRenamed({k: f"d_{k}" for k in "xywh"})
     return evaluation.box_overlap(truth.join(found, ["image_id", "ann_key", "category_id"]))
+
+
+@registered("""WITH c AS (SELECT DISTINCT file_name, CASE WHEN instr(file_name, 'rf.') > 0 THEN substr(file_name, instr(file_name, 'rf.')) ELSE 'rf.' || substr(sha256(file_name), 1, 32) || '.jpg' END AS clean FROM v_img)
+SELECT clean, file_name AS original, count(*) OVER (PARTITION BY clean) > 1 AS collides FROM c QUALIFY clean <> file_name""")
+def anonymisation_map(spark: SparkSession, d: str) -> DataFrame:
+    return audit.anonymisation_map(views.images(spark, d))
+
+
+@registered(f"""WITH {_LINES}, {_CHECKED},
+good AS (SELECT image_id, list_transform(c, lambda z, i: greatest(0, least(1, z)) * CASE WHEN i % 2 = 1 THEN width ELSE height END) AS q FROM v WHERE class_id BETWEEN 0 AND 31 AND len(c) >= 6 AND len(c) % 2 = 0 AND len(list_filter(c, lambda z: z IS NULL)) = 0),
+kept AS (SELECT image_id, count(*) AS n FROM good WHERE abs(list_sum(list_transform(range(1, len(q), 2), lambda i: q[i] * q[(i + 2) % len(q) + 1] - q[(i + 1) % len(q) + 1] * q[i + 1]))) / 2 >= 1 GROUP BY 1),
+per AS (SELECT i.image_id, f.image_id IS NULL AS negative, g.n AS lines, k.n AS kept FROM v_img i LEFT JOIN (SELECT DISTINCT image_id FROM lines) f USING (image_id) LEFT JOIN (SELECT image_id, count(*) AS n FROM p GROUP BY 1) g USING (image_id) LEFT JOIN kept k USING (image_id))
+SELECT count(*) AS n_images, count(*) FILTER (WHERE negative) AS n_negatives, count(*) FILTER (WHERE NOT negative AND kept IS NULL) AS n_empty, sum(coalesce(kept, 0))::BIGINT AS n_annotations, sum(coalesce(lines, 0) - coalesce(kept, 0))::BIGINT AS n_dropped FROM per""")
+def conversion_report(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.conversion_report(views.images(spark, d), label_lines(spark, d), 32)
+
+
+@registered(f"""WITH missed AS ({_MISSED}), suspects AS (SELECT a.* FROM v_ann a WHERE a.ann_key IN (SELECT ann_key FROM missed GROUP BY 1 HAVING count(DISTINCT model) = 5)),
+marked AS (SELECT a.image_id, EXISTS (SELECT 1 FROM suspects b WHERE b.image_id = a.image_id AND b.category_id = a.category_id AND {_IOU} >= 0.5) AS gone FROM v_ann a),
+per AS (SELECT image_id, count(*) AS n, count(*) FILTER (WHERE NOT gone) AS k FROM marked GROUP BY 1)
+SELECT sum(k)::BIGINT AS n_kept, sum(n - k)::BIGINT AS n_dropped, count(*) FILTER (WHERE k < n) AS n_touched, count(*) FILTER (WHERE k = 0) AS n_emptied FROM per""")
+def denoise_report(spark: SparkSession, d: str) -> DataFrame:
+    a = views.annotations(spark, d)
+    lost = evaluation.universal_misses(a, views.detections(spark, d), range(views.N_MODELS)).select("ann_key")
+    return corpus.denoise_report(a, a.join(lost, "ann_key", "left_semi"))
+
+
+@registered("WITH per AS (SELECT image_id, count(*) AS n, count(*) FILTER (WHERE category_id % 3 = 0) AS k FROM v_ann JOIN v_img USING (image_id) GROUP BY 1) SELECT sum(k)::BIGINT AS n_kept, sum(n - k)::BIGINT AS n_dropped, count(*) FILTER (WHERE k = 0) AS n_emptied FROM per")
+def restriction_report(spark: SparkSession, d: str) -> DataFrame:
+    a = views.annotations(spark, d)
+    return corpus.restriction_report(a, views.images(spark, d), a.where("category_id % 3 = 0").select("category_id"))
+
+
+@registered("SELECT patient, category_id, count(*) AS n FROM v_ann JOIN v_img USING (image_id) GROUP BY 1, 2")
+def group_class_counts(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.group_class_counts(views.annotations(spark, d), views.images(spark, d), "patient")
+
+
+@registered("SELECT image_id, ann_key, category_id FROM v_ann WHERE category_id IN (1, 2, 3)")
+def focused_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Annotations of three classes named in other cases; a name that no class has would stop the job."""
+    categories = spark.range(1, 33).select(F.col("id").alias("category_id"), F.concat(F.lit("class "), "id").alias("name"))
+    names = spark.range(1, 4).select(F.concat(F.lit("CLASS "), "id").alias("name"))
+    return vocabulary.focused(views.annotations(spark, d), categories, names).select("image_id", "ann_key", "category_id")
+
+
+@registered(f"""WITH {_LOG}, per AS (SELECT run % 7 AS arm, run, max(epoch) AS last, max(metric) AS best FROM log GROUP BY 1, 2)
+SELECT arm, min(run) FILTER (WHERE last >= 40 AND best = top) AS run, any_value(top) AS best, count(*) AS n_runs, count(*) FILTER (WHERE last < 40) AS n_incomplete FROM (SELECT *, max(best) FILTER (WHERE last >= 40) OVER (PARTITION BY arm) AS top FROM per) GROUP BY 1""")
+def best_runs(spark: SparkSession, d: str) -> DataFrame:
+    return experiments.best_runs(run_log(spark, d).withColumn("arm", F.col("run") % 7), 40)
+
+
+@registered("""WITH l AS (SELECT image_id, category_id FROM v_det WHERE model = 0), a AS (SELECT image_id, count(*) AS n FROM v_ann GROUP BY 1), b AS (SELECT image_id, count(*) AS n FROM l GROUP BY 1),
+x AS (SELECT category_id, count(*) AS n FROM v_ann GROUP BY 1), y AS (SELECT category_id, count(*) AS n FROM l GROUP BY 1)
+SELECT CASE WHEN b.n IS NULL THEN 'image_only_left' ELSE 'image_only_right' END AS kind, image_id, NULL::BIGINT AS category_id, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right FROM a FULL JOIN b USING (image_id) WHERE a.n IS NULL OR b.n IS NULL
+UNION ALL SELECT 'unknown_image', image_id, NULL, coalesce(a.n, 0), coalesce(b.n, 0) FROM a FULL JOIN b USING (image_id) WHERE image_id NOT IN (SELECT image_id FROM v_img)
+UNION ALL SELECT 'class_count', NULL, category_id, coalesce(x.n, 0), coalesce(y.n, 0) FROM x FULL JOIN y USING (category_id) WHERE coalesce(x.n, 0) <> coalesce(y.n, 0)""")
+def annotation_reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    """Annotations against the detections of model 0, as if these were the corpus's label files."""
+    return audit.annotation_reconciliation(views.images(spark, d), views.annotations(spark, d), views.detections(spark, d).where("model = 0").select("image_id", "category_id"))

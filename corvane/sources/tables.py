@@ -48,13 +48,20 @@ def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(run.alias("run"), column("epoch").cast("int").alias("epoch"), column("time").alias("time_s"), column("map50-95", "metric").alias("metric"))
 
 
-def read_predictions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Detections with the model that the file's name gives, and (model, n_read) of files with text that is no JSON. A file is one task."""
-    schema = "image_id long, category_id long, bbox array<double>, score double, _corrupt string"
-    rows = spark.read.schema(schema).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
+def read_predictions(spark: SparkSession, path: str, segmentation: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Detections with the model that the file's name gives, and (model, n_read) of files with text that is no JSON. A file is one task.
+
+    A file is a list of detections, or an object with such a list as its annotations. With segmentation, detections
+    have that column too, in JSON as it stands.
+    """
+    one = "image_id long, category_id long, bbox array<double>, score double, segmentation string"
+    kind = ", ".join(f"{k}:{t}" for k, t in (f.rsplit(" ", 1) for f in one.split(", ")))
+    rows = spark.read.schema(f"{one}, annotations array<struct<{kind}>>, _corrupt string").json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
     named = rows.withColumn("model", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^.]*$", 1))
-    good = named.where("_corrupt is null").select("model", "image_id", "category_id", *(F.get("bbox", i).alias(k) for i, k in enumerate("xywh")), "score")
-    read = named.groupBy("model").agg(F.count("image_id").alias("n_read"), F.count("_corrupt").alias("_bad"))
+    own = F.struct("image_id", "category_id", "bbox", "score", "segmentation")
+    each = named.select("model", "_corrupt", F.explode_outer(F.when(F.col("annotations").isNull() & F.col("image_id").isNotNull(), F.array(own)).otherwise(F.col("annotations"))).alias("_d"))
+    good = each.where("_corrupt is null and _d is not null").select("model", "_d.image_id", "_d.category_id", *(F.get("_d.bbox", i).alias(k) for i, k in enumerate("xywh")), "_d.score", *(["_d.segmentation"] if segmentation else []))
+    read = each.groupBy("model").agg(F.count("_d.image_id").alias("n_read"), F.count("_corrupt").alias("_bad"))
     return good, read.where("_bad > 0").drop("_bad")
 
 
