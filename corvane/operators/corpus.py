@@ -33,7 +33,7 @@ def image_frequency(annotations: DataFrame, images: DataFrame) -> DataFrame:
 def repeat_factors(annotations: DataFrame, images: DataFrame, threshold: float) -> DataFrame:
     """Per image: the largest of max(1, sqrt(threshold / f)) over its classes; 1 for an empty image."""
     factor = F.greatest(F.lit(1.0), F.sqrt(F.lit(threshold) / F.col("frequency")))
-    per = annotations.select("image_id", "category_id").join(F.broadcast(image_frequency(annotations, images)), "category_id").groupBy("image_id").agg(F.max(factor).alias("_f"))
+    per = annotations.select("image_id", "category_id").join(image_frequency(annotations, images), "category_id").groupBy("image_id").agg(F.max(factor).alias("_f"))
     return images.select("image_id").join(per, "image_id", "left").select("image_id", F.coalesce("_f", F.lit(1.0)).alias("repeat_factor"))
 
 
@@ -72,33 +72,33 @@ def group_weights(weights: DataFrame, head_min: int, tail_max: int) -> DataFrame
 def restricted(annotations: DataFrame, images: DataFrame, keep: DataFrame) -> DataFrame:
     """Annotations of the kept classes under contiguous new ids in the old order, and images left empty as rows without one."""
     ids = keep.select("category_id").distinct().withColumn("new_id", F.row_number().over(Window.orderBy("category_id")))
-    kept = annotations.join(F.broadcast(ids), "category_id").select("image_id", "ann_key", "new_id")
+    kept = annotations.join(ids, "category_id").select("image_id", "ann_key", "new_id")
     return images.select("image_id").join(kept, "image_id", "left")
 
 
 def fraction_subset(annotations: DataFrame, images: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     """Images drawn in each stratum (an image's rarest class, -1 without one): half-even rounded, one at least."""
     freq = annotations.groupBy("category_id").agg(F.count_distinct("image_id").alias("f"))
-    rare = annotations.join(F.broadcast(freq), "category_id").groupBy("image_id").agg(F.min_by("category_id", F.struct("f", "category_id")).alias("stratum"))
+    rare = annotations.join(freq, "category_id").groupBy("image_id").agg(F.min_by("category_id", F.struct("f", "category_id")).alias("stratum"))
     named = images.select("image_id").join(rare, "image_id", "left").select("image_id", F.coalesce("stratum", F.lit(-1).cast("long")).alias("stratum"))
     sizes = named.groupBy("stratum").agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * fraction)).alias("_most"))
     order = [F.md5(F.concat(F.lit(f"{seed}/"), F.col("image_id"))), "image_id"]
     ranked = running_sums(named, ["stratum"], order, {"_r": F.lit(1).cast("long")})
-    return ranked.join(F.broadcast(sizes), "stratum").where(F.col("_r") <= F.col("_most")).select("image_id", "stratum")
+    return ranked.join(sizes, "stratum").where(F.col("_r") <= F.col("_most")).select("image_id", "stratum")
 
 
 def quota_split(annotations: DataFrame, images: DataFrame, group: str, ratios=(0.7, 0.15, 0.15), seed: int = 0) -> DataFrame:
     """group and split: groups, stratified by their rarest class, cut at cumulative shares of files in hashed order."""
     named = annotations.join(images.select("image_id", group), "image_id")
     freq = annotations.groupBy("category_id").agg(F.count(F.lit(1)).alias("f"))
-    rare = named.join(F.broadcast(freq), "category_id").groupBy(group).agg(F.min_by("category_id", F.struct("f", "category_id")).alias("stratum"))
+    rare = named.join(freq, "category_id").groupBy(group).agg(F.min_by("category_id", F.struct("f", "category_id")).alias("stratum"))
     sized = images.groupBy(group).agg(F.count(F.lit(1)).alias("n_files")).join(rare, group, "left").withColumn("stratum", F.coalesce("stratum", F.lit(-1).cast("long")))
     order = [F.md5(F.concat(F.lit(f"{seed}/"), F.col(group))), group]
     summed = running_sums(sized, ["stratum"], order, {"_upto": F.col("n_files")})
     totals = sized.groupBy("stratum").agg(F.sum("n_files").alias("_all"))
     share = (F.col("_upto") - F.col("n_files")) / F.col("_all")
     split = F.when(share < ratios[0], "train").when(share < ratios[0] + ratios[1], "valid").otherwise("test")
-    return summed.join(F.broadcast(totals), "stratum").select(group, "stratum", "n_files", split.alias("split"))
+    return summed.join(totals, "stratum").select(group, "stratum", "n_files", split.alias("split"))
 
 
 def denoised(annotations: DataFrame, suspects: DataFrame, least_iou: float = 0.5) -> DataFrame:
@@ -116,7 +116,7 @@ def pseudo_labels(detections: DataFrame, images: DataFrame, least_score: float =
     """
     ids = detections.select("category_id").distinct().withColumn("class_id", F.dense_rank().over(Window.orderBy("category_id")) - 1)
     sure = detections.where(F.coalesce("score", F.lit(0.0)) >= least_score).withColumn("_n", F.row_number().over(Window.partitionBy("image_id").orderBy("ann_key"))).where(F.col("_n") <= most)
-    sized = sure.join(images.select("image_id", "width", "height"), "image_id").join(F.broadcast(ids), "category_id")
+    sized = sure.join(images.select("image_id", "width", "height"), "image_id").join(ids, "category_id")
     d = lambda k: F.col(k).cast("double")
     polygon = box_polygon(d("x"), d("y"), d("w"), d("h"), d("width"), d("height"))
     if "polygon" in detections.columns:
@@ -135,7 +135,7 @@ def hold_out(images: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     upto, total = F.sum("_n").over(Window.orderBy("_p")), F.sum("_n").over(Window.partitionBy())
     heads = hashed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumns({"_upto": upto, "_k": F.greatest(F.lit(1), F.floor(total * fraction))})
     edge = heads.where("_upto >= _k and _upto - _n < _k").select("_p", (F.col("_k") - F.col("_upto") + F.col("_n")).alias("_need"))
-    near = hashed.join(F.broadcast(edge), "_p").withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_h")))
+    near = hashed.join(edge, "_p").withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_h")))
     cut = near.where("_r = _need").select(F.col("_h").alias("_cut"))
     return hashed.join(F.broadcast(cut)).select("image_id", F.when(F.col("_h") <= F.col("_cut"), "valid").otherwise("train").alias("split"))
 
@@ -146,7 +146,7 @@ def paste_plan(annotations: DataFrame, images: DataFrame, max_count: int, copies
     Hosts are images of the same class's copy number, drawn by hash; scales lie in 0.8..1.2.
     """
     counts = annotations.groupBy("category_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= max_count)
-    rare = annotations.join(F.broadcast(counts.select("category_id")), "category_id").where((F.col("w") >= 4) & (F.col("h") >= 4))
+    rare = annotations.join(counts.select("category_id"), "category_id").where((F.col("w") >= 4) & (F.col("h") >= 4))
     hosts_n = images.agg(F.count(F.lit(1)).alias("_hosts"))
     u = lambda what: uniform(F.concat(F.lit(f"{seed}/{what}/"), F.col("ann_key"), F.lit("/"), F.col("copy"), F.lit("/"), F.col("try")))
     at = numbered(images.select(F.col("image_id").alias("host_id"), "width", "height"), ["host_id"], "_host").withColumn("_host", F.col("_host") - 1)
@@ -266,7 +266,7 @@ def scheme_ratios(weights: DataFrame, head_min: int, tail_max: int, schemes=("ef
 def adjusted_scores(detections: DataFrame, weights: DataFrame, least: float = 1e-4) -> DataFrame:
     """detections with adjusted: scores, kept `least` from 0 and 1, whose logits are moved by their class's shift."""
     s = F.greatest(F.lit(least), F.least(F.lit(1 - least), F.col("score")))
-    return detections.join(F.broadcast(weights.select("category_id", "logit_shift")), "category_id").withColumn("adjusted", 1 / (1 + F.exp(-(F.ln(s / (1 - s)) + F.col("logit_shift"))))).drop("logit_shift")
+    return detections.join(weights.select("category_id", "logit_shift"), "category_id").withColumn("adjusted", 1 / (1 + F.exp(-(F.ln(s / (1 - s)) + F.col("logit_shift"))))).drop("logit_shift")
 
 
 def weighted_draws(rows: DataFrame, weights: DataFrame, uniform: Column) -> DataFrame:

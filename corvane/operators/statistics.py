@@ -89,7 +89,7 @@ def contrasts(runs: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def admitted(means: DataFrame, baseline: str, floor: float) -> DataFrame:
     """Arms by their mean: delta against the baseline arm, admitted if above the floor, and the best marked."""
     base = means.where(F.col("arm") == baseline).select("metric", F.col("mean").alias("_b"))
-    delta = means.join(F.broadcast(base), "metric").withColumn("delta", F.col("mean") - F.col("_b"))
+    delta = means.join(base, "metric").withColumn("delta", F.col("mean") - F.col("_b"))
     best = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("mean"), "arm")) == 1
     return delta.select("arm", "metric", "mean", "delta", (F.col("delta") > floor).alias("is_admitted"), best.alias("is_best"))
 

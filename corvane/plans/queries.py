@@ -10,7 +10,7 @@ from corvane.functions.keys import hash32, uniform
 from corvane.functions.storage import durable
 from corvane.operators import audit, corpus, evaluation, statistics
 from corvane.plans import views
-from corvane.plans.registry import registered
+from corvane.plans.registry import QUERIES, SQL, registered  # noqa: F401
 
 _IOU = """(CASE WHEN a.w * a.h + b.w * b.h - greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) > 0
  THEN greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) /

@@ -7,11 +7,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.functions.geometry import box_iou, box_polygon, polygon_bbox, shoelace_area
+from corvane.functions.geometry import box_iou, box_polygon, corners, polygon_bbox, shoelace_area
 from corvane.functions.keys import anonymous, patient_key, source_key
 from corvane.functions.ranges import numbered, running_sums
-from corvane import plans
 from corvane.operators import audit, coco, corpus, evaluation, replies, statistics
+from corvane.plans import queries as plans
 
 TINY = "/root/testdata/sf0.001"
 BOXES = "image_id long, category_id long, ann_key string, x double, y double, w double, h double"
@@ -23,6 +23,8 @@ def test_geometry(spark):
     assert df.select(polygon_bbox(F.col("p"))).first()[0] == (0.0, 0.0, 4.0, 3.0)
     iou = spark.createDataFrame([(0, 0, 10, 10, 5, 0, 10, 10), (0, 0, 1, 1, 5, 5, 1, 1), (0, 0, 0, 0, 0, 0, 0, 0)], "ax int, ay int, aw int, ah int, bx int, by int, bw int, bh int")
     assert [r[0] for r in iou.select(box_iou("a", "b")).collect()] == [pytest.approx(1 / 3), 0.0, 0.0]
+    turned = spark.range(1).select(corners(F.lit(9.0), F.lit(2.0), F.lit(4.0), F.lit(8.0))).first()[0]
+    assert tuple(turned) == (4.0, 2.0, 5.0, 6.0)
     clip = spark.range(1).select(box_polygon(F.lit(-5.0), F.lit(0.0), F.lit(10.0), F.lit(4.0), F.lit(100), F.lit(100)), box_polygon(F.lit(-50.0), F.lit(0.0), F.lit(10.0), F.lit(4.0), F.lit(100), F.lit(100))).first()
     assert clip[0] == [0.0, 0.0, 5.0, 0.0, 5.0, 4.0, 0.0, 4.0] and clip[1] is None
 

@@ -31,6 +31,15 @@ def test_gate(spark, tmp_path):
     assert {(r.left_file, r.hamming) for r in spark.read.parquet(str(tmp_path / "out")).select("left_file", F.col("hamming")).collect()} == {("x", 1), ("y", 3)}
 
 
+def test_fresh(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0), ("a", 60), ("b", 60), ("b", 60)], "sha string, s long").select("sha", F.timestamp_seconds("s").alias("ts"))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    written = gate.fresh(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+    written.trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(r.sha for r in spark.read.schema(rows.schema).parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
 def test_logs_and_predictions(spark, tmp_path):
     for run in ("r1", "r2"):
         (tmp_path / run).mkdir()
