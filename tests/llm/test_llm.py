@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from corvane.functions.storage import durable
 from corvane.llm import chat_format, html_extraction, language_id, line_dedup, mixing, near_dedup, packing, piece_codec, prefix_trie, queries, quality_rules, token_counts, topk_search, whitening
 from corvane.llm.template import TemplateError, compiled
 
@@ -392,17 +393,33 @@ def test_near_dedup_keeps_pairs_together_where_nodes_branch(spark):
     a, b, c = (F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i, s=s: F.concat(F.lit(s), F.col("id"), F.lit("x"), i)) for s in "abc")
     common, own = 80 + F.col("id") % 3, 10 - F.ceil(F.col("id") % 3 / 2).cast("int")  # 80/100, 81/99, 82/100
     text = lambda own_words: F.concat_ws(" ", F.slice(a, F.lit(1), common.cast("int")), F.slice(own_words, F.lit(1), own))
-    x, y = (near_dedup.signatures(spark.range(n).select("id", text(w).alias("text")), 1, id_col="id").select("doc_id", "tokens", "deep").localCheckpoint() for w in (b, c))
+    x, y = (durable(near_dedup.signatures(spark.range(n).select("id", text(w).alias("text")), 1, id_col="id").select("doc_id", "tokens", "deep")) for w in (b, c))
     tokens = lambda side: side.select("doc_id", F.posexplode("tokens").alias("tree", "token"))
     level = tokens(x).join(tokens(y), ["doc_id", "tree", "token"]).select("doc_id", F.xxhash64("tree", "token").alias("node"))
     lost = []
     for _ in range(3):
         children = lambda side, level=level: level.join(side, "doc_id").select("doc_id", "node", F.posexplode(near_dedup.branches("node", "deep")).alias("i", "child"))
-        level = children(x).join(children(y), ["doc_id", "node", "i", "child"]).select("doc_id", F.col("child").alias("node")).localCheckpoint()
+        level = durable(children(x).join(children(y), ["doc_id", "node", "i", "child"]).select("doc_id", F.col("child").alias("node")))
         lost.append(1 - level.select("doc_id").distinct().count() / n)
     assert lost[1] <= 0.0005 and lost[2] <= 0.0008, lost
 
 
+@pytest.mark.parametrize("small", [2048, 0])
+def test_near_dedup_of_long_texts(spark, small):
+    """Texts of 500 to 900 words whose pairs lie between 80 and 87 percent, or just below."""
+    g, rows = random.Random(11), []
+    for i in range(120):
+        words = [f"w{g.randint(0, 10**7)}" for _ in range(g.randint(500, 900))]
+        other, step = list(words), g.randint(34, 55)
+        for at in range(g.randrange(step), len(other), step):
+            other[at] = f"x{at}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    want = components_by_hand(rows, 4)
+    linked = sum(want[2 * i + 1][1] == 2 * i for i in range(120))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=4, small=small).collect()}
+    assert got == want and 80 < linked < 120
+
+
 def test_near_dedup_odd_rows(spark, odd, empty):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and [r.kept for r in got if r.doc_id is None] == [True] and sum(r.doc_id == 4 and r.kept for r in got) == 2
