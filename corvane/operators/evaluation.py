@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corvane.functions.geometry import box_iou
 from corvane.functions.ranges import quantiles, running_sums
 from corvane.functions.storage import durable
-from corvane.functions.streams import streamed
+from corvane.functions.streams import begins, streamed, whole_keys
 from corvane.operators.corpus import size_group
 
 
@@ -120,25 +123,100 @@ def _overlaps(sizes: DataFrame) -> DataFrame:
     return sizes.withColumns({"dice": 2 * c / (g + d), "iou": c / (g + d - c), "tversky": tversky, "focal_tversky": F.pow(1 - tversky, F.lit(1 / 1.33)), "soft_dice": soft})
 
 
-def model_mask_cases(truth: DataFrame, predicted: DataFrame, models: Sequence) -> DataFrame:
-    """mask_cases() by model, image_id and category_id, with the truth's runs swept once for all models of the list.
+def box_cells(boxes: DataFrame, grid: int = 8, by: Sequence[str] = ("image_id", "category_id")) -> DataFrame:
+    """Boxes as blocks of grid cells, a row a box: the keys, y0, y1, x0, x1 (half open). What lies left of or above the image is cut off."""
+    c = lambda v: F.floor(F.greatest(v, F.lit(0)) / grid)
+    x, y = F.col("x"), F.col("y")
+    blocks = boxes.select(*by, c(y).alias("y0"), c(y + F.col("h")).alias("y1"), c(x).alias("x0"), c(x + F.col("w")).alias("x1"))
+    return blocks.where("x1 > x0 and y1 > y0")
+
+
+def _block_sizes(key: np.ndarray, side: np.ndarray, blocks: np.ndarray, shape: tuple[int, int], at_once: int = 200_000) -> np.ndarray:
+    """Of blocks (y0, y1, x0, x1) of keys 0, 1, ... and sides 0 (truth), 1, ...: cells of the truth, of each other side, and those these share with the truth.
 
-    predicted has model; runs of models that are not in the list don't count. A model has a case where it or the
-    truth has a cell.
+    Blocks may overlap. Lines are swept together from block end to block end; more lines than at_once are halved
+    by height first, so that only the blocks themselves are held whole.
     """
-    end = lambda x, step: F.struct(F.col(x).alias("x"), F.lit(step).alias("step"))
-    ends = F.explode(F.array(end("x0", 1), end("x1", -1))).alias("_e")
-    keys = ["image_id", "category_id", "line"]
-    events = truth.select(*keys, F.lit(-1).alias("_m"), ends).unionByName(predicted.select(*keys, F.array_position(F.array(*map(F.lit, models)), F.col("model")).cast("int").alias("_m"), ends).where("_m > 0")).select(*keys, "_m", "_e.*")
-    w = Window.partitionBy(*keys).orderBy("x")
-    held = w.rowsBetween(Window.unboundedPreceding, 0)
-    is_open = lambda m: F.sum(F.when(F.col("_m") == m, F.col("step")).otherwise(0)).over(held) > 0
-    swept = events.select(*keys, F.coalesce(F.lead("x").over(w) - F.col("x"), F.lit(0)).alias("_w"), is_open(-1).alias("_t"), *(is_open(i + 1).alias(f"_p{i}") for i in range(len(models))))
-    size = lambda cond: F.sum(F.when(cond, F.col("_w")).otherwise(0))
-    per = swept.where("_w > 0").groupBy("image_id", "category_id").agg(size(F.col("_t")).alias("gt_px"), *(size(F.col(f"_p{i}")).alias(f"_d{i}") for i in range(len(models))), *(size(F.col("_t") & F.col(f"_p{i}")).alias(f"_b{i}") for i in range(len(models))))
-    rows = F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"_d{i}").alias("dt_px"), F.col(f"_b{i}").alias("both_px")) for i, m in enumerate(models)))
-    each = per.select("image_id", "category_id", "gt_px", F.explode(rows).alias("_r")).select("_r.model", "image_id", "category_id", "gt_px", "_r.dt_px", "_r.both_px")
-    return _overlaps(each.where("gt_px > 0 or dt_px > 0"))
+    n_keys, n_sides = shape
+    y0, y1 = blocks[:, 0], blocks[:, 1]
+    lines = y1 - y0
+    top, bottom = int(y0.min()), int(y1.max())
+    if lines.sum() > at_once and top + 1 < bottom:
+        middle, out = (top + bottom) // 2, np.zeros((n_keys, 2 * n_sides - 1), dtype=np.int64)
+        for low, high in ((top, middle), (middle, bottom)):
+            part = np.clip(blocks, (low, low, -(1 << 62), -(1 << 62)), (high, high, 1 << 62, 1 << 62))
+            here = part[:, 1] > part[:, 0]
+            if here.any():
+                out += _block_sizes(key[here], side[here], part[here], shape, at_once)
+        return out
+    at = np.repeat(np.arange(len(blocks)), lines)
+    line = np.arange(len(at)) - np.repeat(np.cumsum(lines) - lines, lines) + (y0 - top)[at]
+    left, width, height = int(blocks[:, 2].min()), int(blocks[:, 3].max()) + 1 - int(blocks[:, 2].min()), bottom - top
+    place, x = key[at] * height + line, np.concatenate([blocks[at, 2], blocks[at, 3]]) - left
+    place = np.concatenate([place, place])
+    order = np.argsort(place * width + x) if n_keys * height * width < 1 << 62 else np.lexsort((x, place))
+    place, x, of_side = place[order], x[order], np.concatenate([side[at], side[at]])[order]
+    step = np.where(order < len(at), 1, -1).astype(np.int32)
+    of = place[:-1] // height
+    # at the end of a line all blocks are closed, so that sums over all lines begin anew at each
+    wide = np.where(place[1:] == place[:-1], x[1:] - x[:-1], 0)
+    open_of = [np.cumsum(np.where(of_side == s, step, 0))[:-1] > 0 for s in range(n_sides)]
+    cells = lambda held: np.bincount(of[held], wide[held], n_keys).astype(np.int64)
+    return np.stack([*(cells(o) for o in open_of), *(cells(open_of[0] & o) for o in open_of[1:])], axis=1)
+
+
+def _single_sizes(key: np.ndarray, side: np.ndarray, blocks: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """_block_sizes() of keys with one block a side at most."""
+    at = np.zeros((*shape, 4), dtype=np.int64)
+    at[key, side] = blocks
+    y0, y1, x0, x1 = np.moveaxis(at, 2, 0)
+    share = lambda low, high: np.clip(np.minimum(high[:, :1], high[:, 1:]) - np.maximum(low[:, :1], low[:, 1:]), 0, None)
+    return np.concatenate([(y1 - y0) * (x1 - x0), share(y0, y1) * share(x0, x1)], axis=1)
+
+
+def block_cases(truth: DataFrame, predicted: DataFrame, models: Sequence) -> DataFrame:
+    """mask_cases() by model, image_id and category_id, of blocks of cells (y0, y1, x0, x1, half open; see box_cells).
+
+    predicted has model; blocks of models that are not in the list don't count. A model has a case where it or
+    the truth has a cell. Blocks, not their lines, go through the one shuffle, the truth's once for all models. A
+    task holds the blocks of one class of one image and those of a batch.
+    """
+    n_models, keys, ends = len(models), ["image_id", "category_id"], ["y0", "y1", "x0", "x1"]
+    cells = [F.col(k).cast("long").alias(k) for k in ends]
+    number = F.array_position(F.array(*map(F.lit, models)), F.col("model")).cast("int")
+    both = truth.select(*keys, F.lit(0).alias("_m"), *cells).unionByName(predicted.select(*keys, number.alias("_m"), *cells).where("_m > 0")).where("x1 > x0 and y1 > y0")
+    ordered = both.repartition(*keys).sortWithinPartitions(*keys)
+    schema = T.StructType([both.schema["image_id"], both.schema["category_id"], T.StructField("_m", T.IntegerType()), *(T.StructField(k, T.LongType()) for k in ("gt_px", "dt_px", "both_px"))])
+    arrow = to_arrow_schema(schema)
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: pa.Table) -> pa.RecordBatch:
+            new = begins(rows, keys)
+            first, key = np.flatnonzero(new), np.cumsum(new) - 1
+            side, blocks, shape = rows["_m"].to_numpy(), np.stack([rows[k].to_numpy() for k in ends], axis=1), (len(first), n_models + 1)
+            several = (np.bincount(key * shape[1] + side, minlength=shape[0] * shape[1]).reshape(shape) > 1).any(1)[key]
+            sizes = _single_sizes(key[~several], side[~several], blocks[~several], shape)
+            if several.any():
+                sizes += _block_sizes(key[several], side[several], blocks[several], shape)
+            g, d, common = sizes[:, :1], sizes[:, 1 : n_models + 1], sizes[:, n_models + 1 :]
+            at, m = np.nonzero((g > 0) | (d > 0))
+            named = rows.select(keys).take(pa.array(first[at]))
+            values = [pa.array(m.astype(np.int32)), pa.array(g[at, 0]), pa.array(d[at, m]), pa.array(common[at, m])]
+            return pa.RecordBatch.from_arrays([*(named[k].combine_chunks() for k in keys), *values], schema=arrow)
+
+        for rows in whole_keys(batches, keys):
+            yield made(rows)
+
+    out = ordered.mapInArrow(sized, schema)
+    each = out.select(F.get(F.array(*map(F.lit, models)), F.col("_m")).alias("model"), *(c for c in out.columns if c != "_m"))
+    return _overlaps(each)
+
+
+def model_mask_cases(truth: DataFrame, predicted: DataFrame, models: Sequence) -> DataFrame:
+    """block_cases() of runs (line, x0, x1)."""
+    block = [F.col("line").alias("y0"), (F.col("line") + 1).alias("y1"), "x0", "x1"]
+    keys = ["image_id", "category_id"]
+    return block_cases(truth.select(*keys, *block), predicted.select("model", *keys, *block), models)
 
 
 def case_summary(cases: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,24 @@ def test_run_masks_match_cells(spark):
     assert (got.gt_px, got.dt_px, got.both_px) == (len(cells[0]), len(cells[1]), len(cells[0] & cells[1]))
 
 
+def test_block_cases_match_cells(spark):
+    rnd = random.Random(5)
+    block = lambda: (y := rnd.randint(0, 9), y + rnd.randint(1, 9), x := rnd.randint(0, 9), x + rnd.randint(1, 9))
+    kinds = [(i, c) for i in (1, 2, 3, None) for c in (1, 2)]
+    rows = [(m, *k, *block()) for k in kinds for m in ("t", "a", "b", "other") for _ in range(rnd.choice([0, 1, 1, 3]))]
+    given = spark.createDataFrame(rows, "model string, image_id long, category_id long, y0 long, y1 long, x0 long, x1 long")
+    cells = lambda m, k: {(y, x) for r in rows if r[:3] == (m, *k) for y in range(r[3], r[4]) for x in range(r[5], r[6])}
+    want = {(m, *k): (len(t), len(p), len(t & p)) for k in kinds for m in ("a", "b", "silent") if (t := cells("t", k)) | (p := cells(m, k))}
+    got = evaluation.block_cases(given.where("model = 't'"), given.where("model <> 't'"), ["a", "b", "silent"])
+    assert {(r.model, r.image_id, r.category_id): (r.gt_px, r.dt_px, r.both_px) for r in got.collect()} == want
+    key, side = np.array([k for k in range(5) for _ in range(40)]), np.array([rnd.randint(0, 2) for _ in range(200)])
+    blocks = np.array([block() for _ in range(200)])
+    whole = evaluation._block_sizes(key, side, blocks, (5, 3))
+    assert (evaluation._block_sizes(key, side, blocks, (5, 3), at_once=7) == whole).all() and whole.min() > 0
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan  # blocks are shuffled, not their lines
+
+
 def test_repeat_factors(spark):
     images = spark.range(100).withColumnRenamed("id", "image_id")
     ann = spark.createDataFrame([(i, 1) for i in range(99)] + [(50, 2)], "image_id long, category_id long")
