@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions.ranges import quantiles
+from corvane import plans
 from corvane.operators import audit, corpus, fits, rasters
 
 RUNS = "array<struct<line:long,x0:long,x1:long>>"
@@ -181,6 +182,11 @@ def test_polygons_of_masks(spark):
     assert lines[1].split()[0] == "0" and len(lines[1].split()) == 9 and lines[2] == "0 0.050000 0.025000 0.500000 0.025000 0.500000 1.000000 0.050000 1.000000" and lines[3] is None
 
 
+def test_pseudo_polygons_run_as_registered(spark):
+    lines = [r.line for r in plans.QUERIES["pseudo_polygons"](spark, "/root/testdata/sf0.01").where("line is not null").collect()]
+    assert lines and all(len(v.split()) % 2 == 1 and len(v.split()) >= 7 for v in lines)
+
+
 def test_simplified_keeps_what_lies_off():
     circle = np.array([(round(20 * math.cos(t / 50 * math.tau)), round(20 * math.sin(t / 50 * math.tau))) for t in range(50)], dtype=float)
     few = rasters.simplified(circle, 1.0)
