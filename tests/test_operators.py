@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions.geometry import box_iou, box_polygon, corners, polygon_bbox, shoelace_area
 from corvane.functions.keys import anonymous, patient_key, source_key
 from corvane.functions.ranges import numbered, running_sums
-from corvane.operators import audit, coco, corpus, evaluation, replies, statistics
+from corvane.operators import audit, coco, corpus, evaluation, experiments, replies, statistics
 from corvane.plans import queries as plans
 
 TINY = "/root/testdata/sf0.001"
@@ -107,6 +107,13 @@ def test_block_cases_match_cells(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "Generate" not in plan  # blocks are shuffled, not their lines
 
 
+def test_a_baseline_equals_itself(spark):
+    random_mean = F.rand().alias("mean")  # another one each time it is computed, as sums in another order are
+    means = spark.range(0, 40, 1, 4).select(F.concat(F.lit("m"), F.col("id") % 4).alias("arm"), F.floor(F.col("id") / 4).cast("string").alias("metric"), F.col("id")).groupBy("arm", "metric").agg(F.min("id")).select("arm", "metric", random_mean)
+    assert {r.verdict for r in experiments.verdicts(means, "m0").where("arm = 'm0'").collect()} == {"equal"}
+    assert {r.delta for r in statistics.admitted(means, "m0", 0.0).where("arm = 'm0'").collect()} == {0.0}
+
+
 def test_repeat_factors(spark):
     images = spark.range(100).withColumnRenamed("id", "image_id")
     ann = spark.createDataFrame([(i, 1) for i in range(99)] + [(50, 2)], "image_id long, category_id long")
