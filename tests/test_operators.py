@@ -1,6 +1,8 @@
 """Operators against values worked out by hand or by plain Python."""
 
+import hashlib
 import random
+from collections import Counter
 
 import duckdb
 import pandas as pd
@@ -114,6 +116,18 @@ def test_a_baseline_equals_itself(spark):
     assert {r.delta for r in statistics.admitted(means, "m0", 0.0).where("arm = 'm0'").collect()} == {0.0}
 
 
+def test_resamples_are_weights_of_images(spark):
+    ids, n_boot = list(range(100, 20_000, 3)), 7
+    images = spark.createDataFrame([(i,) for i in ids], "image_id long")
+    at = lambda j: int(int(hashlib.md5(f"0/{j}".encode()).hexdigest()[:8], 16) / 2**32 * len(ids))
+    want = Counter((j % n_boot, ids[at(j)]) for j in range(n_boot * len(ids)))
+    resamples = statistics.weights(images, n_boot)
+    assert {(b, r.image_id): w for r in resamples.collect() for b, w in enumerate(r.ws) if w} == want
+    assert {(r.b, r.image_id): r.w for r in statistics.draws(images, n_boot).collect()} == want
+    values = images.withColumn("v", F.col("image_id") % 11)
+    assert [tuple(statistics.bootstrap_mean(values, r, "v").first()) for r in (resamples,)] == [pytest.approx(tuple(statistics.bootstrap_mean(values, statistics.draws(images, n_boot), "v").first()))]
+
+
 def test_repeat_factors(spark):
     images = spark.range(100).withColumnRenamed("id", "image_id")
     ann = spark.createDataFrame([(i, 1) for i in range(99)] + [(50, 2)], "image_id long, category_id long")
