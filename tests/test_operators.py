@@ -128,6 +128,23 @@ def test_resamples_are_weights_of_images(spark):
     assert [tuple(statistics.bootstrap_mean(values, r, "v").first()) for r in (resamples,)] == [pytest.approx(tuple(statistics.bootstrap_mean(values, statistics.draws(images, n_boot), "v").first()))]
 
 
+def test_found_equals_greedy_matches():
+    rnd = random.Random(9)
+    box = lambda: [float(rnd.randint(0, 30)), float(rnd.randint(0, 30)), float(rnd.randint(20, 45)), float(rnd.randint(20, 45))]
+    areas = [*coco.AREAS.values(), (0.0, 600.0), (600.0, 900.0), (900.0, 1200.0), (500.0, 501.0)]  # more than 64 bits
+    rows = [(k, m, box()) for k in range(60) for m in (-1, 0, 1, 2) for _ in range(rnd.choice([0, 1, 1, 2, 4]))]
+    key = np.unique([r[0] for r in rows], return_inverse=True)[1]
+    side, boxes = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    for at_once in (1 << 20, 3):
+        hit, seen = coco._found(key, side, boxes, areas, at_once)
+        for k in set(key.tolist()):
+            for m in (0, 1, 2):
+                at = (key == k) & (side == m)
+                want = np.array(coco._match(boxes[(key == k) & (side < 0)].tolist(), boxes[at].tolist(), areas)).reshape(-1, 80)
+                assert (hit[at] == (want == 1)).all() and (seen[at] == (want >= 0)).all()
+    assert (coco._unpacked(coco._packed(coco._bits(hit)[3:]), 80) == hit[3:]).all()
+
+
 def test_repeat_factors(spark):
     images = spark.range(100).withColumnRenamed("id", "image_id")
     ann = spark.createDataFrame([(i, 1) for i in range(99)] + [(50, 2)], "image_id long, category_id long")
