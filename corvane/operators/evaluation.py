@@ -7,7 +7,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -37,10 +37,32 @@ def missed(annotations: DataFrame, detections: DataFrame, models: Sequence, leas
     return a.join(d, same & (box_iou("a_", "d_") >= least_iou), "left_anti").select("model", "image_id", "ann_key", "category_id")
 
 
+def _found_by(annotations: DataFrame, detections: DataFrame, models: Sequence, least_score: float = 0.15, least_iou: float = 0.1) -> DataFrame:
+    """Annotations (image_id, ann_key, category_id; see missed()) with _h0, _h1, ...: whether each model of the list hits them.
+
+    Annotations and detections are dealt once, by image and class, for all models. Of rows of one annotation all must be hit.
+    """
+    single = annotations.where(F.coalesce("iscrowd", F.lit(0)) == 0) if "iscrowd" in annotations.columns else annotations
+    keys, box = ["image_id", "ann_key", "category_id"], [f"a_{k}" for k in "xywh"]
+    a = single.select(*keys, *(F.col(k).alias(f"a_{k}") for k in "xywh"))
+    d = sure(detections, least_score, 0.0).where(F.col("model").isin(*models)).select(F.col("model").alias("_m"), F.col("image_id").alias("_i"), F.col("category_id").alias("_c"), *(F.col(k).alias(f"d_{k}") for k in "xywh"))
+    same = (F.col("image_id") == F.col("_i")) & (F.col("category_id") == F.col("_c"))
+    flags = {f"_h{i}": F.coalesce(F.max(F.col("_m") == m), F.lit(False)) for i, m in enumerate(models)}
+    hit = a.join(d, same & (box_iou("a_", "d_") >= least_iou), "left").groupBy(*keys, *box).agg(*(v.alias(k) for k, v in flags.items()))
+    return hit.groupBy(*keys).agg(*(F.min(k).alias(k) for k in flags))
+
+
+def _none(n: int) -> Column:
+    """Whether none of the first n flags of _found_by() is set."""
+    out = F.lit(True)
+    for i in range(n):
+        out &= ~F.col(f"_h{i}")
+    return out
+
+
 def universal_misses(annotations: DataFrame, detections: DataFrame, models: Sequence, **cut) -> DataFrame:
     """Annotations that all models of the list miss."""
-    lost = missed(annotations, detections, models, **cut).groupBy("image_id", "ann_key", "category_id").agg(F.count_distinct("model").alias("n"))
-    return lost.where(F.col("n") == len(models)).drop("n")
+    return _found_by(annotations, detections, models, **cut).where(_none(len(models))).select("image_id", "ann_key", "category_id")
 
 
 def miss_shares(annotations: DataFrame, universal: DataFrame) -> DataFrame:
@@ -53,9 +75,8 @@ def miss_shares(annotations: DataFrame, universal: DataFrame) -> DataFrame:
 
 def probe_recovery(annotations: DataFrame, detections: DataFrame, probe: int, others: Sequence[int]) -> DataFrame:
     """Per class: misses of all other models, and how many of them the probe finds."""
-    universal = universal_misses(annotations, detections, others)
-    again = missed(annotations, detections, [probe]).select("ann_key", F.lit(1).alias("_lost"))
-    return universal.join(again, "ann_key", "left").groupBy("category_id").agg(F.count(F.lit(1)).alias("universal"), F.count_if(F.col("_lost").isNull()).alias("recovered"))
+    found = _found_by(annotations, detections, [*others, probe]).where(_none(len(others)))
+    return found.groupBy("category_id").agg(F.count(F.lit(1)).alias("universal"), F.count_if(f"_h{len(others)}").alias("recovered"))
 
 
 def top_detections(detections: DataFrame, k: int) -> DataFrame:

@@ -145,6 +145,15 @@ def test_found_equals_greedy_matches():
     assert (coco._unpacked(coco._packed(coco._bits(hit)[3:]), 80) == hit[3:]).all()
 
 
+def test_misses_deal_annotations_once(spark):
+    a, d = plans.views.annotations(spark, "/root/testdata/sf0.001"), plans.views.detections(spark, "/root/testdata/sf0.001")
+    lost = evaluation.universal_misses(a, d, range(5))
+    want = evaluation.missed(a, d, range(5)).groupBy("ann_key").agg(F.count_distinct("model").alias("n")).where("n = 5")
+    assert {r.ann_key for r in lost.collect()} == {r.ann_key for r in want.collect()} != set()
+    plan = lost._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") <= 2
+
+
 def test_repeat_factors(spark):
     images = spark.range(100).withColumnRenamed("id", "image_id")
     ann = spark.createDataFrame([(i, 1) for i in range(99)] + [(50, 2)], "image_id long, category_id long")
