@@ -110,8 +110,10 @@ def test_block_cases_match_cells(spark):
 
 
 def test_a_baseline_equals_itself(spark):
-    random_mean = F.rand().alias("mean")  # another one each time it is computed, as sums in another order are
+    random_mean = F.rand().alias("mean")
     means = spark.range(0, 40, 1, 4).select(F.concat(F.lit("m"), F.col("id") % 4).alias("arm"), F.floor(F.col("id") / 4).cast("string").alias("metric"), F.col("id")).groupBy("arm", "metric").agg(F.min("id")).select("arm", "metric", random_mean)
+    plan = experiments.verdicts(means, "m0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1  # means are computed once
     assert {r.verdict for r in experiments.verdicts(means, "m0").where("arm = 'm0'").collect()} == {"equal"}
     assert {r.delta for r in statistics.admitted(means, "m0", 0.0).where("arm = 'm0'").collect()} == {0.0}
 
