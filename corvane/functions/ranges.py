@@ -39,15 +39,17 @@ def numbered(rows: DataFrame, order: Sequence[Column | str], name: str) -> DataF
 def quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Per group of `by` exact quantiles of a column, between two values in proportion; a column for each name in shares.
 
-    Nulls don't count, and a group without a value has no row. Values are ranked by ranges; only those at the
-    ranks that are asked for meet in one task.
+    Nulls don't count, and a group without a value has no row. Equal values are counted first, so that a value
+    goes through the shuffle once a task; distinct ones are ranked by ranges, and only those at the ranks that are
+    asked for meet in one task.
     """
     one = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    ranked = durable(running_sums(one, by, ["_v"], {"_r": F.lit(1).cast("long")}))
+    counted = one.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = durable(running_sums(counted, by, ["_v"], {"_r": F.col("_c")}))
     sizes = ranked.groupBy(*by).agg(F.max("_r").alias("_n")).withColumnsRenamed({k: f"_by_{k}" for k in by})
     asked = F.array(*(F.struct(F.lit(k).alias("name"), ((F.col("_n") - 1) * F.lit(float(q))).alias("at")) for k, q in shares.items()))
     wanted = sizes.select(*(f"_by_{k}" for k in by), F.explode(asked).alias("_a")).select("*", "_a.*").select("*", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("_k"))
-    same = F.col("_r") == F.col("_k") + 1
+    same = (F.col("_k") < F.col("_r")) & (F.col("_k") >= F.col("_r") - F.col("_c"))
     for k in by:
         same &= F.col(k).eqNullSafe(F.col(f"_by_{k}"))
     weight = F.when(F.floor("at") == F.ceil("at"), 1.0).otherwise(1 - F.abs(F.col("at") - F.col("_k")))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.functions import ranges, storage
 from corvane.functions.ranges import quantiles
 from corvane import plans
 from corvane.operators import audit, corpus, fits, rasters
@@ -110,6 +111,28 @@ def test_grid_ceilings(spark):
     assert rasters.grid_ceilings(df.limit(0), ["category_id"]).count() == 0
 
 
+def test_grid_ceilings_of_polygons(spark):
+    g = random.Random(21)
+    box = lambda n: (x := g.uniform(-3, 25), y := g.uniform(-3, 25), x + g.uniform(0, n), y + g.uniform(0, n))
+    rows = [(k, g.choice([23, 31]), g.choice([19, 40]), box(g.choice([1, 2, 9, 40]))) for k in range(40)]
+    shapes = spark.createDataFrame([(k, h, w, [a, b, c, b, c, d, a, d]) for k, h, w, (a, b, c, d) in rows], "k long, height int, width int, polygon array<double>")
+    want = {}
+    for k, h, w, (a, b, c, d) in rows:
+        mask = np.array([[a <= 2 * x + 1 < c and b <= 2 * y + 1 < d for x in range(w)] for y in range(h)])
+        if mask.any():
+            want |= {(k, grid): (*trip_by_hand(mask, grid), math.sqrt(mask.sum())) for grid in (5, 12)}
+    got = {(r.k, r.grid): (r.dice, r.iou, r.side) for r in rasters.grid_ceilings(shapes, ["k"], (5, 12), 2.0).collect()}
+    assert set(got) == set(want) and len(want) > 40 and np.allclose([got[k] for k in want], list(want.values()))
+
+
+def test_quantiles_rank_equal_values_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(ranges, "durable", lambda df: (made := storage.durable(df), kept.append(made.count()))[0])
+    df = spark.range(20_000).select((F.col("id") % 2).alias("k"), (F.col("id") % 7).cast("double").alias("v"))
+    got = {r.k: (r.half, r.top) for r in quantiles(df, ["k"], "v", {"half": 0.5, "top": 1.0}).collect()}
+    assert got == {0: (3.0, 6.0), 1: (3.0, 6.0)} and max(kept) == 14
+
+
 def test_ridge_fits(spark):
     rng = np.random.default_rng(5)
     groups = {("a", 1): 40, ("a", 2): 3, (None, 1): 25, ("b", 1): 200}
