@@ -115,11 +115,16 @@ def average_precision(scored: DataFrame, key: str) -> DataFrame:
     return ranked.groupBy(key).agg((F.sum(F.col("_p") * F.col("label")) / F.nullif(real, F.lit(0))).alias("ap"), (tp / F.greatest(said, F.lit(1))).alias("precision"), (tp / F.greatest(real, F.lit(1))).alias("recall"), F.avg("label").alias("prevalence"))
 
 
+def box_blocks(boxes: DataFrame, grid: int = 8, by: Sequence[str] = ("image_id", "category_id")) -> DataFrame:
+    """Boxes as blocks of grid cells: the keys, line, stop (the line after the last), x0, x1 (half open)."""
+    c = lambda v: F.floor(v / grid)
+    blocks = boxes.select(*by, c(F.greatest(F.col("y"), F.lit(0))).alias("line"), c(F.greatest(F.col("y") + F.col("h"), F.lit(0))).alias("stop"), c(F.greatest(F.col("x"), F.lit(0))).alias("x0"), c(F.greatest(F.col("x") + F.col("w"), F.lit(0))).alias("x1"))
+    return blocks.where("x1 > x0 and stop > line")
+
+
 def box_runs(boxes: DataFrame, grid: int = 8, by: Sequence[str] = ("image_id", "category_id")) -> DataFrame:
     """Boxes as runs of grid cells: the keys, line, x0, x1 (half open)."""
-    c = lambda v: F.floor(v / grid)
-    runs = boxes.select(*by, c(F.greatest(F.col("x"), F.lit(0))).alias("x0"), c(F.greatest(F.col("x") + F.col("w"), F.lit(0))).alias("x1"), c(F.greatest(F.col("y"), F.lit(0))).alias("_y0"), c(F.greatest(F.col("y") + F.col("h"), F.lit(0))).alias("_y1"))
-    return runs.where("x1 > x0 and _y1 > _y0").select(*by, F.explode(F.sequence("_y0", F.col("_y1") - 1)).alias("line"), "x0", "x1")
+    return box_blocks(boxes, grid, by).select(*by, F.explode(F.sequence("line", F.col("stop") - 1)).alias("line"), "x0", "x1")
 
 
 def mask_cases(truth: DataFrame, predicted: DataFrame, by: Sequence[str] = ("image_id", "category_id")) -> DataFrame:

@@ -21,8 +21,8 @@ def pictures(spark: SparkSession, d: str) -> DataFrame:
     """Boxes drawn on cells of 8 pixels, as light as their class's number."""
     grid = lambda k: F.ceil(F.col(k) / 8).cast("int").alias(k)
     images = views.images(spark, d).select("image_id", grid("height"), grid("width"))
-    runs = evaluation.box_runs(views.annotations(spark, d), 8, ("image_id", "category_id")).withColumnRenamed("category_id", "level")
-    return fingerprints.drawn_fingerprints(images, runs, thumbs=False)
+    blocks = evaluation.box_blocks(views.annotations(spark, d), 8, ("image_id", "category_id")).withColumnRenamed("category_id", "level")
+    return fingerprints.drawn_fingerprints(images, blocks, thumbs=False)
 
 
 @registered(f"WITH {_DRAWN} SELECT p.image_id, dhash, coalesce(sum(level * (x1 - x0) * (y1 - y0)), 0) / any_value(w8 * h8) AS mean FROM prints p JOIN sized USING (image_id) LEFT JOIN boxes USING (image_id) GROUP BY 1, 2")

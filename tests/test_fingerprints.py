@@ -72,3 +72,37 @@ def test_drawn_fingerprints(spark):
     got = {r.image_id: r for r in fingerprints.drawn_fingerprints(images, runs).collect()}
     assert set(got) == {1, 2, 3} and got[1].dhash == bits_by_hand(grey) and np.isclose(got[1].mean, grey.mean())
     assert got[2].dhash == 0 and got[2].mean == 0 and np.isclose(sum(got[3].thumb) / 128**2, 7 / 16)
+
+
+def test_block_sums_draw_no_picture():
+    g = np.random.default_rng(5)
+    height, width, picture = np.array([30, 1, 640]), np.array([7, 50, 9]), np.array([0, 0, 0, 1, 1, 2])
+    line, x0 = g.integers(-5, 30, 6), g.integers(-5, 9, 6)
+    blocks = np.stack([line, line + g.integers(-1, 40, 6), x0, x0 + g.integers(-1, 60, 6), g.integers(1, 9, 6)])
+    sums = fingerprints.block_sums(picture, height[picture], width[picture], blocks, at_once=2)
+    for p in range(3):
+        grey = np.zeros((height[p], width[p]), dtype=int)
+        for a, b, c, d, level in blocks[:, picture == p].T:
+            grey[max(a, 0) : max(b, 0), max(c, 0) : max(d, 0)] += level
+        assert (sums[p] == fingerprints.area_sums(grey, 8, 9)).all()
+
+
+def test_drawn_pictures_that_batches_cut(spark):
+    images = spark.createDataFrame([(i, 20 + i % 7, 30 + i % 5) for i in range(60)], "image_id long, height int, width int")
+    g = np.random.default_rng(6)
+    made = [(i, int(a), int(a + b), int(c), int(c + d), int(v)) for i in range(50) for a, b, c, d, v in g.integers((-3, 0, -3, 0, 1), (25, 9, 30, 20, 9), (40, 5))]
+    blocks = spark.createDataFrame(made, "image_id long, line long, stop long, x0 long, x1 long, level long")
+    lines = spark.createDataFrame([(i, y, c, d, v) for i, a, b, c, d, v in made for y in range(a, b)], "image_id long, line long, x0 long, x1 long, level long")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+        got = {r.image_id: (r.dhash, r.mean, r.thumb) for r in fingerprints.drawn_fingerprints(images, blocks).collect()}
+        same = {r.image_id: (r.dhash, r.mean, r.thumb) for r in fingerprints.drawn_fingerprints(images, lines).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert got == same and set(got) == set(range(60))
+    for i, (dhash, mean, thumb) in got.items():
+        grey = np.zeros((20 + i % 7, 30 + i % 5), dtype=int)
+        for _, a, b, c, d, v in (m for m in made if m[0] == i):
+            grey[max(a, 0) : max(b, 0), max(c, 0) : max(d, 0)] += v
+        assert (dhash, mean) == (bits_by_hand(grey), grey.mean()) and np.allclose(thumb, fingerprints.thumbnail(grey), atol=1e-3)
