@@ -11,6 +11,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ BLOCK_CHUNKS, BLOCK_CHARS, BLOCK_DOCS = 400_000, 32_000_000, 200_000
 #: Chunks whose ids a task keeps at most while it segments; more begin anew, with the same results.
 KEPT_CHUNKS = 500_000
 #: Ids of one batch of documents.
-BATCH_IDS = 1_000_000
+BATCH_IDS = 250_000
 #: The chunks of at most so many characters that the first documents of the first tasks hold most often have numbers of their own.
 COMMON_CHUNKS, COMMON_CHARS, COMMON_DOCS, COMMON_TASKS = 200_000, 24, 1_000, 8
 
@@ -175,19 +176,20 @@ def _segmented(model_file: str):
         sp = held(("chunks", model_file), lambda: processor(model_file))
         known: dict[str, bytes] = {}  # ids of 4 bytes, a quarter of what a list takes
         for batch in batches:
-            data = batch.column("data").to_pylist()
-            for i, pack in enumerate(batch.column("words").to_pylist()):
-                if pack is None:
-                    continue
-                words = expanded(pack).decode("utf-8", "surrogatepass").split("\n")
+            is_words = pc.is_valid(batch.column("words"))
+            yield batch.filter(pc.invert(is_words))
+            batch = batch.filter(is_words)
+            data = []
+            for numbers, pack in zip(batch.column("data"), batch.column("words"), strict=True):
+                words = expanded(pack.as_py()).decode("utf-8", "surrogatepass").split("\n")
                 if len(known) >= KEPT_CHUNKS:
                     known.clear()
                 if new := [w for w in words if w not in known]:
                     known.update((w, array("i", x).tobytes()) for w, x in zip(new, chunk_ids(sp, new), strict=True))
                 ids = [known[w] for w in words]
                 # numbers, then how many ids each chunk has, then the ids
-                parts = [data[i], packed([len(x) // 4 for x in ids]), packed(np.frombuffer(b"".join(ids), dtype=np.int32))]
-                data[i] = squeezed(b"".join((*(len(p).to_bytes(4, "little") for p in parts[:2]), *parts)))
+                parts = [numbers.as_py(), packed([len(x) // 4 for x in ids]), packed(np.frombuffer(b"".join(ids), dtype=np.int32))]
+                data.append(squeezed(b"".join((*(len(p).to_bytes(4, "little") for p in parts[:2]), *parts))))
             columns = [batch.column(k) for k in _NAMES[:4]] + [pa.array(data, pa.binary()), pa.nulls(len(data), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, _NAMES)
 
@@ -220,19 +222,21 @@ def common_table(model_file: str, chunks: list[str]) -> Table:
     return np.cumsum(size) - size, size, np.array([x for each in ids for x in each], dtype=np.int32)
 
 
-def _joined(common):
-    """Documents (row, ids): rows come sorted by block, its chunks before its documents."""
+def _joined(common, decoder: str | None = None):
+    """Documents (row, ids, and decoded if a model is given for it): rows come sorted by block, its chunks before its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, rows, table = None, [], None
+        sp = held(("decode", decoder), lambda: processor(decoder)) if decoder else None
         for batch in batches:
             blocks, kinds, data = batch.column("block").to_pylist(), batch.column("kind").to_pylist(), batch.column("data")
-            at, lengths, values, held_ids = [], [0], [], 0
+            at, lengths, values, texts, held_ids = [], [0], [], [], 0
 
             def made(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
                 flat = pa.array(np.concatenate(values) if values else np.zeros(0, dtype=np.int32), pa.int32())
                 ids = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), flat)
-                return pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(at)), ids], ["row", "ids"])
+                columns = {"row": batch.column("row").take(pa.array(at)), "ids": ids} | ({"decoded": pa.array(texts, pa.string())} if sp else {})
+                return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
             for i, (b, kind) in enumerate(zip(blocks, kinds, strict=True)):
                 if b != block:
@@ -252,18 +256,23 @@ def _joined(common):
                     held_ids += lengths[-1]
                 else:
                     lengths.append(0)
+                if sp:
+                    texts.append(sp.decode(values[-1].tolist()) if len(chunk) else "")
                 if held_ids >= BATCH_IDS:
                     yield made()
-                    at, lengths, values, held_ids = [], [0], [], 0
+                    at, lengths, values, texts, held_ids = [], [0], [], [], 0
             if at:
                 yield made()
 
     return run
 
 
-def encode(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_file: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """docs without the text and with ids (array of int), those of the SentencePiece library for the whole text.
 
+    If asked for, also with decoded, as decode() gives it: the worker that has joined a text's ids decodes them, where
+    decode() would put a second worker beside each.
+
     Neither begin nor end ids, no sampling; names of special tokens inside a text are ordinary text. A null or
     empty text has no ids. Rows stay, repeated ones too, in any order; an empty table gives an empty one. A
     column ids of docs is replaced. A vocabulary whose pieces cross space marks is refused.
@@ -276,7 +285,8 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFram
     each of the first 8 tasks hold most often are segmented by the driver and broadcast: nearly every block has them.
     """
     check_pieces(model_file)
-    row = F.struct(*(docs[c] for c in docs.columns if c != text_col and c.lower() != "ids"))
+    replaced = {"ids", "decoded"} if decoded else {"ids"}
+    row = F.struct(*(docs[c] for c in docs.columns if c != text_col and c.lower() not in replaced))
     given = docs.select(row.alias("row"), docs[text_col].alias("text"))
     schema, spark = _fields(given.schema["row"].dataType), docs.sparkSession
     chunks = ["\n", *(c for c in common_chunks(given) if c != "\n")]  # lists of other chunks are joined by line ends
@@ -286,8 +296,9 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFram
     to_bucket = F.when(F.col("kind") == _WORDS, F.col("bucket").cast("long")).otherwise(F.xxhash64("block", "bucket"))
     segmented = chunked.repartition(to_bucket).mapInArrow(_segmented(model_file), schema)
     ordered = segmented.drop("words", "bucket").repartition("block").sortWithinPartitions("block", "kind")
-    out = ordered.mapInArrow(_joined(common_ids), T.StructType([T.StructField("row", schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    return out.select("row.*", "ids")
+    more = [T.StructField("decoded", T.StringType())] if decoded else []
+    out = ordered.mapInArrow(_joined(common_ids, model_file if decoded else None), T.StructType([T.StructField("row", schema["row"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), *more]))
+    return out.select("row.*", *(c for c in out.columns if c != "row"))
 
 
 def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids") -> DataFrame:

@@ -489,6 +489,18 @@ def test_piece_codec(spark, odd, empty, monkeypatch):
     assert piece_codec.decode(spark.createDataFrame([(None,), ([],), ([6312, None, 28709],)], "ids array<int>"), MODEL).toPandas().decoded.tolist() == ["", "", "hello"]
 
 
+def test_piece_codec_decodes_where_ids_are_joined(spark, odd, empty, monkeypatch):
+    """A text's ids and what is decoded of them come from one worker, as from two."""
+    monkeypatch.setattr(piece_codec, "BATCH_IDS", 40)
+    given = odd.unionByName(spark.createDataFrame([(900 + i, t) for i, t in enumerate(["", None, " a  b\n", "😀" * 30, "x" * 3_000])], "doc_id long, text string"), allowMissingColumns=True).select("doc_id", "text")
+    both = piece_codec.encode(given, MODEL, decoded=True)
+    apart = piece_codec.decode(piece_codec.encode(given, MODEL), MODEL)
+    assert both.columns == apart.columns and sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
+    assert piece_codec.encode(empty, MODEL, decoded=True).count() == 0
+    plan = queries.op12_piece_codec(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "decoded" in plan
+
+
 @given(st.lists(st.integers(0, 2**32 - 1)), st.binary(max_size=300))
 def test_packed_numbers(numbers, data):
     assert piece_codec.unpacked(piece_codec.packed(numbers)).tolist() == numbers
