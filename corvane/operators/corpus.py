@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions.gates import refused
 from corvane.functions.geometry import box_iou, box_polygon, polygon_bbox, scaled, shoelace_area
 from corvane.functions.keys import hash32, uniform
+from corvane.functions.parts import finely
 from corvane.functions.ranges import numbered, quantiles, running_sums
 from corvane.operators.audit import typed_lines
 
@@ -18,9 +19,14 @@ def size_group(n: str, head_min: int = 5000, tail_max: int = 100):
 
 
 def class_counts(annotations: DataFrame, images: DataFrame, splits=("train", "valid", "test")) -> DataFrame:
-    """Per class: instances and distinct images of each split."""
-    named = annotations.join(images.select("image_id", "split"), "image_id")
-    wide = named.groupBy("category_id").pivot("split", list(splits)).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("image_id").alias("images"))
+    """Per class: instances and distinct images of each split.
+
+    Annotations are counted by image and class, then by class: a distinct count needs no set of images. Both tables are
+    dealt by image, finely, and nothing else is shuffled but counts.
+    """
+    per = finely(annotations.select("image_id", "category_id"), "image_id").groupBy("image_id", "category_id").agg(F.count(F.lit(1)).alias("_n"))
+    named = finely(images.select("image_id", "split"), "image_id").groupBy("image_id", "split").agg(F.count(F.lit(1)).alias("_times"))
+    wide = per.join(named, "image_id").groupBy("category_id").pivot("split", list(splits)).agg(F.sum(F.col("_n") * F.col("_times")).alias("n"), F.count(F.lit(1)).alias("images"))
     return wide.select("category_id", *(F.coalesce(f"{s}_{k}", F.lit(0)).alias(f"{s}_{k}") for s in splits for k in ("n", "images")))
 
 

@@ -281,3 +281,12 @@ def test_replies_in_single_quotes_are_no_json(spark):
     texts = ["[{'class':'tooth','box_2d':[1,1,5,5]}]", '[{"class":"tooth","box_2d":[1,1,5,5]}]']
     df = spark.createDataFrame([(i, 10, 10, x) for i, x in enumerate(texts)], "image_id long, width int, height int, text string")
     assert [r.image_id for r in replies.reply_boxes(df, spark.createDataFrame([(1, "tooth")], "category_id long, name string")).collect()] == [1]
+
+
+def test_class_counts_hold_no_sets_of_images(spark):
+    """Repeated annotations and images count as in a join; distinct images are counted without a set a class."""
+    a = spark.createDataFrame([(1, 7), (1, 7), (1, 8), (2, 7), (3, None), (None, 7), (9, 7), (4, 8)], "image_id long, category_id long")
+    i = spark.createDataFrame([(1, "train"), (1, "train"), (2, "valid"), (2, "test"), (3, "test"), (4, None), (None, "train")], "image_id long, split string")
+    got = corpus.class_counts(a, i)
+    assert {tuple(r) for r in got.collect()} == {(7, 4, 1, 1, 1, 1, 1), (8, 2, 1, 0, 0, 0, 0), (None, 0, 0, 0, 0, 1, 1)}
+    assert "distinct" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
