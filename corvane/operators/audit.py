@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions.gates import refused
 from corvane.functions.geometry import let, scaled, shoelace_area
 from corvane.functions.keys import SAFE, anonymous, patient_key, source_key
+from corvane.functions.parts import finely
 from corvane.functions.ranges import quantiles
 from corvane.functions.storage import durable
 
@@ -66,10 +67,15 @@ def split_verdicts(checked: DataFrame) -> DataFrame:
 
 
 def unpaired(images: DataFrame, labels: DataFrame, key: str = "image_id") -> DataFrame:
-    """Keys that only one side has, with the problem's name."""
-    a = images.select(key).distinct().join(labels.select(key).distinct(), key, "left_anti").withColumn("problem", F.lit("image_without_label"))
-    b = labels.select(key).distinct().join(images.select(key).distinct(), key, "left_anti").withColumn("problem", F.lit("label_without_image"))
-    return a.unionByName(b)
+    """Keys that only one side has, with the problem's name; a null key equals none of the other side.
+
+    Keys of both sides meet in one shuffle and are grouped once.
+    """
+    side = lambda rows, image: rows.select(key, F.lit(image).alias("_image"))
+    met = finely(side(images, True).unionByName(side(labels, False)), key).groupBy(key).agg(F.bool_or("_image").alias("_a"), F.bool_and("_image").alias("_b"))
+    null, has_image, has_label = F.col(key).isNull(), F.col("_a"), ~F.col("_b")
+    problems = F.array(F.when(has_image & (null | ~has_label), "image_without_label"), F.when(has_label & (null | ~has_image), "label_without_image"))
+    return met.select(key, F.explode(F.array_compact(problems)).alias("problem"))
 
 
 def exact_groups(files: DataFrame) -> DataFrame:

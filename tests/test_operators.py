@@ -290,3 +290,11 @@ def test_class_counts_hold_no_sets_of_images(spark):
     got = corpus.class_counts(a, i)
     assert {tuple(r) for r in got.collect()} == {(7, 4, 1, 1, 1, 1, 1), (8, 2, 1, 0, 0, 0, 0), (None, 0, 0, 0, 0, 1, 1)}
     assert "distinct" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_unpaired_groups_keys_once(spark):
+    a = spark.createDataFrame([(1,), (1,), (2,), (None,)], "image_id long")
+    b = spark.createDataFrame([(2,), (3,), (3,), (None,)], "image_id long")
+    got = audit.unpaired(a, b)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, "image_without_label"), (None, "image_without_label"), (3, "label_without_image"), (None, "label_without_image")]))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
