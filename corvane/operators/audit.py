@@ -101,10 +101,12 @@ def _near_hashes(left: DataFrame, right: DataFrame, bits: int, distance: int, ba
     choices = list(combinations(range(bands), whole))
     key = lambda h, c: reduce(lambda k, i: F.shiftleft(k, cuts[i][1]).bitwiseOR(band(h, i)), c, F.lit(0).cast("long"))
     keys = lambda rows, name: rows.select(F.col("dhash").alias(name), F.posexplode(F.array(*(key(F.col("dhash"), c) for c in choices))).alias("_c", "_key"))
+    # dealt before they become so many keys, which few tasks would make and hold else, and once more by key
+    dealt = lambda rows, name: finely(keys(finely(rows.select("dhash"), "dhash").distinct(), name), "_c", "_key")
     apart = F.bit_count(F.col("_a").bitwiseXOR(F.col("_b")))
     equal = F.concat(*(F.when(band(F.col("_a"), i) == band(F.col("_b"), i), F.array(F.lit(i))).otherwise(F.array().cast("array<int>")) for i in range(bands)))
     first = F.array_position(F.array(*(F.array(*map(F.lit, c)) for c in choices)), F.slice(equal, 1, whole)) - 1
-    met = keys(left.select("dhash").distinct(), "_a").join(keys(right.select("dhash").distinct(), "_b"), ["_c", "_key"])
+    met = dealt(left, "_a").join(dealt(right, "_b"), ["_c", "_key"])
     return met.where((apart <= distance) & (first == F.col("_c"))).select("_a", "_b", apart.cast("int").alias("hamming"))
 
 
@@ -151,13 +153,18 @@ def correlation(a: Column, b: Column) -> Column:
     return F.when(var > 1e-18, cov / F.sqrt(var))
 
 
-def confirmed_pairs(pairs: DataFrame, thumbs: DataFrame, least: float = 0.98) -> DataFrame:
-    """pairs with ncc and verdict: confirmed (also without a score) or rejected."""
+def _scored(pairs: DataFrame, thumbs: DataFrame, least: float) -> DataFrame:
+    """pairs, finely dealt by left_file, with ncc and verdict. Thumbnails are dealt as finely as the pairs that they join, as a task sorts its share of all of them."""
     a, b = thumbs.select(F.col("file_name").alias("left_file"), F.col("thumb").alias("_x")), thumbs.select(F.col("file_name").alias("right_file"), F.col("thumb").alias("_y"))
-    scored = pairs.join(a, "left_file").join(b, "right_file").withColumn("ncc", correlation(F.col("_x"), F.col("_y"))).drop("_x", "_y")
+    scored = finely(pairs.join(a, "left_file"), "right_file").join(b, "right_file").withColumn("ncc", correlation(F.col("_x"), F.col("_y"))).drop("_x", "_y")
     return scored.withColumn("verdict", F.when(F.coalesce(F.col("ncc") >= least, F.lit(True)), "confirmed").otherwise("rejected"))
 
 
+def confirmed_pairs(pairs: DataFrame, thumbs: DataFrame, least: float = 0.98) -> DataFrame:
+    """pairs with ncc and verdict: confirmed (also without a score) or rejected."""
+    return _scored(finely(pairs, "left_file"), thumbs, least)
+
+
 def verdict_counts(confirmed: DataFrame) -> DataFrame:
     """One row: pairs confirmed, rejected, and unscored, which count as confirmed as well."""
     return confirmed.agg(F.count_if(F.col("verdict") == "confirmed").alias("confirmed"), F.count_if(F.col("verdict") == "rejected").alias("rejected"), F.count_if(F.col("ncc").isNull()).alias("unscored"))
@@ -170,9 +177,9 @@ def apart_from_groups(files: DataFrame, groups: DataFrame) -> DataFrame:
 
 def confirmed_partners(pairs: DataFrame, thumbs: DataFrame, least: float = 0.98) -> DataFrame:
     """Each left file's nearest confirmed partner, or its nearest one if all are rejected, ties to the first name, with ncc, verdict and the number of its pairs."""
-    counted = pairs.withColumn("n_pairs", F.count(F.lit(1)).over(Window.partitionBy("left_file")))
+    counted = finely(pairs, "left_file").withColumn("n_pairs", F.count(F.lit(1)).over(Window.partitionBy("left_file")))
     best = F.min(F.struct((F.col("verdict") != "confirmed").alias("_r"), "hamming", "right_file", "ncc", "verdict"))
-    return confirmed_pairs(counted, thumbs, least).groupBy("left_file", "n_pairs").agg(best.alias("_best")).select("left_file", "n_pairs", "_best.right_file", "_best.hamming", "_best.ncc", "_best.verdict")
+    return _scored(counted, thumbs, least).groupBy("left_file", "n_pairs").agg(best.alias("_best")).select("left_file", "n_pairs", "_best.right_file", "_best.hamming", "_best.ncc", "_best.verdict")
 
 
 def dhash(values: Column) -> Column:

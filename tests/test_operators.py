@@ -304,3 +304,12 @@ def test_top_detections_shuffle_annotations_alone(spark):
     """The one shuffle is of the table's numbers, before models and keys are made of them."""
     plan = plans.top_detections(spark, TINY)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "hashpartitioning(l_orderkey" in plan
+
+
+def test_near_duplicates_are_dealt_finely(spark):
+    """Hash keys and the pairs that fetch thumbnails go to more partitions than other shuffles, whose number adaptive execution may lower."""
+    n = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = plans.cross_split_hashes(spark, TINY)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f", {n}\n") >= 4 and "RepartitionByExpression [_c" in plan and "RepartitionByExpression [dhash" in plan
+    plan = plans.near_duplicate_images(spark, TINY)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [left_file" in plan and "RepartitionByExpression [right_file" in plan
