@@ -205,6 +205,35 @@ def test_polygons_of_masks(spark):
     assert lines[1].split()[0] == "0" and len(lines[1].split()) == 9 and lines[2] == "0 0.050000 0.025000 0.500000 0.025000 0.500000 1.000000 0.050000 1.000000" and lines[3] is None
 
 
+def test_outlines_of_many_masks_at_once(spark, monkeypatch):
+    g = np.random.default_rng(3)
+    shapes = []
+    for k in range(150):
+        mask = np.zeros((60, 60), dtype=bool)
+        for y, x, h, w in g.integers(1, 25, (3, 4)):
+            mask[y : y + h, x : x + w] = True
+        mask &= g.random(mask.shape) < (1.0, 0.9, 0.4)[k % 3]
+        edges = np.diff(mask.astype(int), axis=1, prepend=0, append=0)
+        shapes.append([(int(y) - 9, int(a) - 7, int(b) - 7) for (y, a), (_, b) in zip(np.argwhere(edges == 1), np.argwhere(edges == -1), strict=True)])
+    want = [None if found is None else found.ravel().tolist() for found in (rasters.largest_outline(np.array(r)) for r in shapes)]
+    assert sum(w is not None for w in want) > 80
+    monkeypatch.setattr(rasters, "largest_outline", None)  # tracing goes without it
+    rows = spark.createDataFrame(list(enumerate(shapes)), f"k long, runs {RUNS}")
+    assert [r.polygon for r in rasters.mask_polygons(rows).orderBy("k").collect()] == want
+    numbers = np.array([(k, *r) for k, rs in enumerate(shapes) for r in rs]).T
+    monkeypatch.setattr(rasters.masks, "AT_ONCE", 64)
+    flat, sizes = rasters.masks.largest_outlines(rasters.masks.Runs(*numbers), len(shapes))
+    assert [f.tolist() or None for f in np.split(flat, np.cumsum(sizes)[:-1])] == want
+    hexagons = spark.createDataFrame([(k, [k - 9.5, 0.25, k + 9.0, 0.5, k + 14.0, 20.0, k + 9.0, 41.5, k - 9.0, 40.0, k - 14.0, 20.0]) for k in range(9)], "k long, polygon array<double>")
+    scanned = hexagons.select("k", rasters.scanlines(F.col("polygon"), 2.0).alias("runs"))
+    assert rasters.mask_polygons(hexagons, 2.0).orderBy("k").collect() == rasters.mask_polygons(scanned).select("k", "polygon").orderBy("k").collect()
+
+
+def test_pseudo_polygons_trace_once_and_in_many_tasks(spark):
+    df = plans.QUERIES["pseudo_polygons"](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()  # traced masks are kept, as two steps read them
+
+
 def test_pseudo_polygons_run_as_registered(spark):
     lines = [r.line for r in plans.QUERIES["pseudo_polygons"](spark, "/root/testdata/sf0.01").where("line is not null").collect()]
     assert lines and all(len(v.split()) % 2 == 1 and len(v.split()) >= 7 for v in lines)
