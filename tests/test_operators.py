@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions.geometry import box_iou, box_polygon, corners, polygon_bbox, shoelace_area
-from corvane.functions.keys import anonymous, patient_key, source_key
+from corvane.functions.keys import anonymous, md5_heads, patient_key, source_key
 from corvane.functions.ranges import numbered, running_sums
 from corvane.operators import audit, coco, corpus, evaluation, experiments, replies, statistics
 from corvane.plans import queries as plans
@@ -130,6 +130,25 @@ def test_resamples_are_weights_of_images(spark):
     assert [tuple(statistics.bootstrap_mean(values, r, "v").first()) for r in (resamples,)] == [pytest.approx(tuple(statistics.bootstrap_mean(values, statistics.draws(images, n_boot), "v").first()))]
 
 
+def test_weights_of_resamples_are_never_broadcast(spark):
+    images = spark.range(20_000).withColumnRenamed("id", "image_id")
+    values = images.select("image_id", (F.col("image_id") % 3).alias("category_id"), (F.col("image_id") % 11).alias("dice"))
+    resamples = statistics.weights(images, 100)
+    for df, joins in ((resamples, 1), (statistics.bootstrap_mean(values, resamples, "dice", ["category_id"]), 2)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("SortMergeJoin") >= joins  # with numbers of images, and with their values
+    by_class, by_rows = ({r.category_id: r for r in statistics.bootstrap_classes(values, r, "dice").collect()} for r in (resamples, statistics.draws(images, 100)))
+    assert by_class.keys() == by_rows.keys() == {0, 1, 2, None}
+    assert all(tuple(by_class[k])[1:] == pytest.approx(tuple(by_rows[k])[1:]) for k in by_rows)
+
+
+def test_md5_heads_equal_those_of_the_library():
+    numbers = np.concatenate([np.arange(1200), np.random.default_rng(0).integers(0, 10**15, 500), [10**17, 10**18 - 1, 10**18]])
+    for prefix in (b"0/", b"", b"a longer prefix/"):
+        assert md5_heads(prefix, numbers).tolist() == [int(hashlib.md5(prefix + b"%d" % i).hexdigest()[:8], 16) for i in numbers.tolist()]
+
+
 def test_found_equals_greedy_matches():
     rnd = random.Random(9)
     box = lambda: [float(rnd.randint(0, 30)), float(rnd.randint(0, 30)), float(rnd.randint(20, 45)), float(rnd.randint(20, 45))]
