@@ -332,3 +332,25 @@ def test_near_duplicates_are_dealt_finely(spark):
     assert plan.count(f", {n}\n") >= 4 and "RepartitionByExpression [_c" in plan and "RepartitionByExpression [dhash" in plan
     plan = plans.near_duplicate_images(spark, TINY)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [left_file" in plan and "RepartitionByExpression [right_file" in plan
+
+
+def test_matching_deals_boxes_once_and_keeps_them_small(spark):
+    g = random.Random(21)
+    box = lambda i: (i % 7, i % 3, f"k{i:03d}", float(g.randint(0, 40)), float(g.randint(0, 40)), float(g.randint(5, 60)), float(g.randint(5, 60)))
+    gt = spark.createDataFrame([box(i) for i in range(120)], BOXES)
+    det = spark.createDataFrame([(*box(i), m, g.choice([0.25, 0.5, None])) for i in range(200) for m in "ab"], BOXES + ", model string, score double")
+    found = coco.matches(gt, det, ["a", "b"], 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+    ranks = {}
+    for r in found.collect():
+        ranks.setdefault((r.model, r.image_id, r.category_id), []).append((r["rank"], r.score))
+    want = {}
+    for r in det.collect():
+        want.setdefault(("ab".index(r.model), r.image_id, r.category_id), []).append((-r.score if r.score is not None else 1, r.ann_key, r.score))
+    assert {k: sorted(v) for k, v in ranks.items()} == {k: [(i, s) for i, (_, _, s) in enumerate(sorted(v)[:5])] for k, v in want.items()}
+    rows = found.select(F.lit(0).alias("_range"), F.lit(0).alias("model"), F.lit(1).cast("long").alias("category_id"), "rank", "hit", "seen").coalesce(1)
+    (bundle,) = rows.mapInArrow(coco._bundled, coco._DEALT).collect()
+    hit, seen, rank = coco._opened(bundle.rows, 40)
+    assert [(h.tobytes(), s.tobytes(), int(k)) for h, s, k in zip(hit, seen, rank, strict=True)] == [(bytes(r.hit), bytes(r.seen), r["rank"]) for r in rows.collect()]
+    assert coco.coco_ap(gt, det, ["a", "b"]).collect() == coco.coco_ap(gt, None, ["a", "b"], boxes=coco.together(gt, det)).collect()
