@@ -354,3 +354,21 @@ def test_matching_deals_boxes_once_and_keeps_them_small(spark):
     hit, seen, rank = coco._opened(bundle.rows, 40)
     assert [(h.tobytes(), s.tobytes(), int(k)) for h, s, k in zip(hit, seen, rank, strict=True)] == [(bytes(r.hit), bytes(r.seen), r["rank"]) for r in rows.collect()]
     assert coco.coco_ap(gt, det, ["a", "b"]).collect() == coco.coco_ap(gt, None, ["a", "b"], boxes=coco.together(gt, det)).collect()
+
+
+def test_cases_of_one_model_make_no_others(spark):
+    zero = plans.cases(spark, TINY, models=[0])
+    assert "[-1,0]" in zero._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, zero.collect())) == sorted(map(tuple, plans.cases(spark, TINY).where("model = 0").collect()))
+    plan = plans.QUERIES["class_bootstrap"](spark, TINY)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow sized" not in plan  # cases are kept, as two steps read them
+
+
+def test_blocks_of_one_dealt_table(spark):
+    g = random.Random(31)
+    block = lambda: (g.randint(0, 9), g.randint(8, 15), g.randint(0, 9), g.randint(8, 15))
+    rows = [(m, i, c, *block()) for m in (None, 0, 1, 7) for i in range(9) for c in (1, None) for _ in range(g.randint(0, 3))]
+    both = spark.createDataFrame(rows, "model int, image_id long, category_id long, y0 long, y1 long, x0 long, x1 long")
+    apart = evaluation.block_cases(both.where("model is null").drop("model"), both.where("model is not null"), [1, 0])
+    one = evaluation.block_cases(None, None, [1, 0], both.repartition("image_id"))
+    assert sorted(map(str, apart.collect())) == sorted(map(str, one.collect())) and one.count() > 20
